@@ -27,17 +27,65 @@ from lensdq.operators.profile import outside
 
 @dataclass
 class Scorer:
-    """Aggregates to run and the detail rows they turn into; every row has column_name and score."""
+    """Raw counts of one dimension: one (dimension, column_name, check, checked, hits) row per column.
+
+    ``hits`` is the non-null count, the flagged count, the best pattern count, or the newest
+    stamp in microseconds, depending on the dimension; ``extra`` holds counts only the detail shows.
+    """
 
     dimension: str
     aggs: dict[str, Column] = field(default_factory=dict)
     rows: list[Column] = field(default_factory=list)
 
-    def detail(self, df: DataFrame, empty: str) -> DataFrame:
-        if not self.rows:
-            return df.sparkSession.createDataFrame([], empty)
-        row = df.agg(*[c.alias(n) for n, c in self.aggs.items()])
-        return row.select(F.explode(F.array(*self.rows)).alias("r")).select("r.*")
+    def add(self, df: DataFrame, column: str, check: str, checked: Column, hits: Column, extra: list[Column] = ()) -> None:
+        prefix = f"{self.dimension}_{len(self.rows)}_"
+        self.aggs[f"{prefix}n"] = checked
+        self.aggs[f"{prefix}h"] = hits
+        for j, c in enumerate(extra):
+            self.aggs[f"{prefix}e{j}"] = c
+        best = F.greatest(*[F.col(f"{prefix}e{j}") for j in range(len(extra))]) if extra else F.col(f"{prefix}h")
+        self.rows.append(
+            F.struct(
+                F.lit(self.dimension).alias("dimension"),
+                F.lit(column).alias("column_name"),
+                F.lit(check).alias("check"),
+                F.col(f"{prefix}n").alias("checked"),
+                best.alias("hits"),
+                F.array(*[F.col(f"{prefix}e{j}") for j in range(len(extra))]).cast("array<bigint>").alias("extra"),
+            )
+        )
+
+
+def raw_counts(df: DataFrame, scorers: list[Scorer]) -> DataFrame:
+    """All scorers in a single aggregate over the table, then one row per column and dimension."""
+    rows = [r for s in scorers for r in s.rows]
+    if not rows:
+        fields = "dimension string, column_name string, check string, checked bigint, hits bigint, extra array<bigint>"
+        return df.sparkSession.createDataFrame([], fields)
+    row = df.agg(*[c.alias(n) for s in scorers for n, c in s.aggs.items()])
+    return row.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def scored(raw: DataFrame, as_of: str | None = None) -> DataFrame:
+    """Add the 0-100 score of each raw row; null where the column does not count."""
+    d, n, h = F.col("dimension"), F.col("checked"), F.col("hits")
+    kept = F.round((1 - h / n) * 100, 2)
+    hours = staleness_hours(as_of) if as_of else F.lit(None).cast("double")
+    fresh = F.when(hours <= FRESHNESS_HOURS[0], 100.0).when(hours <= FRESHNESS_HOURS[1], 70.0).otherwise(40.0)
+    score = (
+        F.when(n == 0, F.lit(None).cast("double"))
+        .when(d == "completeness", F.round(h * 100.0 / n, 2))
+        .when(F.col("check") == "outliers", F.round(100 - percent(h, n), 2))
+        .when(d == "accuracy", F.when(h > 0, kept))
+        .when(d == "consistency", F.when(n >= 5, F.round(h * 100.0 / n, 2)))
+        .when(d == "timeliness", fresh)
+        .otherwise(kept)
+    )
+    return raw.withColumn("score", score)
+
+
+def staleness_hours(as_of: str) -> Column:
+    return (F.unix_micros(F.lit(as_of).cast("timestamp")) - F.col("hits")) / 3.6e9
 
 
 def status_of(dimension: str, score: Column) -> Column:
@@ -48,23 +96,18 @@ def status_of(dimension: str, score: Column) -> Column:
 
 
 def completeness_scorer(df: DataFrame) -> Scorer:
-    s = Scorer("completeness", {"c_rows": F.count(F.lit(1))})
-    for i, c in enumerate(df.columns):
-        s.aggs[f"c{i}"] = F.count(clean(df, c))
-        pct = F.round(F.col(f"c{i}") * 100.0 / F.col("c_rows"), 2)
-        s.rows.append(
-            F.struct(
-                F.lit(c).alias("column_name"),
-                (F.col("c_rows") - F.col(f"c{i}")).alias("null_count"),
-                pct.alias("score"),
-                status_of("completeness", pct).alias("status"),
-            )
-        )
+    s = Scorer("completeness")
+    for c in df.columns:
+        s.add(df, c, "non_null", F.count(F.lit(1)), F.count(clean(df, c)))
     return s
 
 
 def completeness(df: DataFrame) -> DataFrame:
-    return completeness_scorer(df).detail(df, "column_name string, null_count bigint, score double, status string")
+    rows = scored(raw_counts(df, [completeness_scorer(df)]))
+    return rows.select(
+        "column_name", (F.col("checked") - F.col("hits")).alias("null_count"), "score",
+        status_of("completeness", F.col("score")).alias("status"),
+    )
 
 
 def _numeric_facts(df: DataFrame) -> dict[str, dict]:
@@ -92,7 +135,6 @@ def accuracy_scorer(df: DataFrame, max_flag_length: int = 1) -> Scorer:
     """
     s = Scorer("accuracy")
     facts = _numeric_facts(df)
-    k = 0
     for c in numeric_columns(df):
         if c not in facts:
             continue
@@ -102,64 +144,39 @@ def accuracy_scorer(df: DataFrame, max_flag_length: int = 1) -> Scorer:
             tests.append(outside(x, f["fence"]))
         if f["std"]:
             tests.append(F.abs(x - F.lit(f["mean"])) / F.lit(f["std"]) > 3)
-        s.aggs[f"a{k}"] = F.count(x)
-        s.aggs[f"h{k}"] = F.count(F.when(any_of(tests), 1))
-        pct = percent(F.col(f"h{k}"), F.col(f"a{k}"))
-        s.rows.append(
-            F.struct(
-                F.lit(c).alias("column_name"), F.lit("outliers").alias("check"), F.col(f"a{k}").alias("checked"),
-                F.col(f"h{k}").alias("flagged"), F.round(100 - pct, 2).alias("score"),
-            )
-        )
-        k += 1
+        s.add(df, c, "outliers", F.count(x), F.count(F.when(any_of(tests), 1)))
     for c in string_columns(df):
         t = F.lower(F.trim(F.col(quoted(c))))
-        s.aggs[f"a{k}"] = F.count(t)
-        s.aggs[f"h{k}"] = F.count(F.when(t.isin(SUSPECT_VALUES) | (F.length(t) <= max_flag_length), 1))
-        clear = F.when(F.col(f"h{k}") > 0, F.round((1 - F.col(f"h{k}") / F.col(f"a{k}")) * 100, 2))
-        s.rows.append(
-            F.struct(
-                F.lit(c).alias("column_name"), F.lit("suspect_values").alias("check"), F.col(f"a{k}").alias("checked"),
-                F.col(f"h{k}").alias("flagged"), clear.alias("score"),
-            )
-        )
-        k += 1
+        s.add(df, c, "suspect_values", F.count(t), F.count(F.when(t.isin(SUSPECT_VALUES) | (F.length(t) <= max_flag_length), 1)))
     return s
 
 
 def accuracy(df: DataFrame, max_flag_length: int = 1) -> DataFrame:
-    return accuracy_scorer(df, max_flag_length).detail(
-        df, "column_name string, check string, checked bigint, flagged bigint, score double"
-    )
+    rows = scored(raw_counts(df, [accuracy_scorer(df, max_flag_length)]))
+    return rows.select("column_name", "check", "checked", F.col("hits").alias("flagged"), "score")
 
 
 def consistency_scorer(df: DataFrame) -> Scorer:
     s = Scorer("consistency")
-    names = list(FORMAT_PATTERNS)
-    for i, c in enumerate(string_columns(df)):
+    for c in string_columns(df):
         col = F.col(quoted(c))
-        s.aggs[f"k{i}"] = F.count(col)
-        for j, p in enumerate(names):
-            s.aggs[f"k{i}_{j}"] = F.count(F.when(col.rlike(FORMAT_PATTERNS[p]), 1))
-        hits = [F.col(f"k{i}_{j}") for j in range(len(names))]
-        best = F.greatest(*hits)
-        dominant = F.lit("mixed")
-        for j in reversed(range(len(names))):
-            dominant = F.when((hits[j] == best) & (best > 0), names[j]).otherwise(dominant)
-        share = F.when(F.col(f"k{i}") >= 5, F.round(best * 100.0 / F.col(f"k{i}"), 2))
-        s.rows.append(
-            F.struct(
-                F.lit(c).alias("column_name"), dominant.alias("dominant_pattern"), F.col(f"k{i}").alias("checked"),
-                (share < 90).alias("is_issue"), share.alias("score"),
-            )
-        )
+        hits = [F.count(F.when(col.rlike(p), 1)) for p in FORMAT_PATTERNS.values()]
+        s.add(df, c, "format", F.count(col), F.count(col), hits)
     return s
 
 
 def consistency(df: DataFrame) -> DataFrame:
-    return consistency_scorer(df).detail(
-        df, "column_name string, dominant_pattern string, checked bigint, is_issue boolean, score double"
-    ).where(F.col("score").isNotNull())
+    """Dominant text format per column and the share of values that follow it."""
+    names = F.array(*[F.lit(n) for n in FORMAT_PATTERNS])
+    first = F.array_position("extra", F.array_max("extra")).cast("int")
+    rows = scored(raw_counts(df, [consistency_scorer(df)])).where(F.col("score").isNotNull())
+    return rows.select(
+        "column_name",
+        F.when(F.col("hits") > 0, F.element_at(names, first)).otherwise("mixed").alias("dominant_pattern"),
+        "checked",
+        (F.col("score") < 90).alias("is_issue"),
+        "score",
+    )
 
 
 def date_order_issues(df: DataFrame) -> DataFrame:
@@ -205,34 +222,25 @@ def _timed_columns(df: DataFrame) -> dict[str, Column]:
     return timed
 
 
-def timeliness_scorer(df: DataFrame, as_of: str, timed: dict[str, Column] | None = None) -> Scorer:
+def timeliness_scorer(df: DataFrame, timed: dict[str, Column] | None = None) -> Scorer:
     s = Scorer("timeliness")
-    now = F.lit(as_of).cast("timestamp")
-    for i, (c, stamp) in enumerate((timed if timed is not None else _timed_columns(df)).items()):
-        s.aggs[f"t{i}"] = F.max(stamp)
-        hours = (F.unix_micros(now) - F.unix_micros(F.col(f"t{i}"))) / 3.6e9
-        score = F.when(hours <= FRESHNESS_HOURS[0], 100.0).when(hours <= FRESHNESS_HOURS[1], 70.0).otherwise(40.0)
-        s.rows.append(
-            F.struct(
-                F.lit(c).alias("column_name"),
-                F.date_format(F.col(f"t{i}"), "yyyy-MM-dd HH:mm:ss").alias("most_recent"),
-                F.round(hours, 1).alias("staleness_hours"),
-                F.when(F.col(f"t{i}").isNotNull(), score).alias("score"),
-            )
-        )
+    for c, stamp in (timed if timed is not None else _timed_columns(df)).items():
+        s.add(df, c, "staleness", F.count(stamp), F.max(F.unix_micros(stamp)))
     return s
 
 
 def timeliness(df: DataFrame, as_of: str) -> DataFrame:
     """Staleness against ``as_of`` plus gap analysis per temporal column."""
     timed = _timed_columns(df)
-    empty = (
-        "column_name string, most_recent string, staleness_hours double, score double, "
-        "gaps_detected bigint, largest_gap_seconds double"
+    fresh = scored(raw_counts(df, [timeliness_scorer(df, timed)]), as_of).select(
+        "column_name",
+        F.date_format(F.timestamp_micros("hits"), "yyyy-MM-dd HH:mm:ss").alias("most_recent"),
+        F.round(staleness_hours(as_of), 1).alias("staleness_hours"),
+        "score",
     )
     if not timed:
-        return df.sparkSession.createDataFrame([], empty)
-    fresh = timeliness_scorer(df, as_of, timed).detail(df, empty)
+        nothing = [F.lit(0).cast("bigint").alias("gaps_detected"), F.lit(0.0).alias("largest_gap_seconds")]
+        return fresh.select("*", *nothing)
     gap_rows = None
     for c, stamp in timed.items():
         stamps = df.select(stamp.alias("ts"))
@@ -276,7 +284,7 @@ def row_uniqueness(df: DataFrame) -> DataFrame:
 def validity_scorer(df: DataFrame, as_of: str) -> Scorer:
     s = Scorer("validity")
     numbers, stamps, texts = numeric_columns(df), temporal_columns(df), string_columns(df)
-    for i, c in enumerate(df.columns):
+    for c in df.columns:
         name, col = c.lower(), clean(df, c)
         if c in numbers and any(h in name for h in POSITIVE_NAME_HINTS):
             rule, bad = "expected_positive", col < 0
@@ -296,37 +304,22 @@ def validity_scorer(df: DataFrame, as_of: str) -> Scorer:
                 rule, bad = "whitespace_only", F.regexp_replace(col, r"\s+", "") == ""
         else:
             continue
-        s.aggs[f"v{i}"] = F.count(col)
-        s.aggs[f"x{i}"] = F.count(F.when(col.isNotNull() & bad, 1))
-        valid = F.when(F.col(f"v{i}") > 0, F.round((1 - F.col(f"x{i}") / F.col(f"v{i}")) * 100, 2))
-        s.rows.append(
-            F.struct(
-                F.lit(c).alias("column_name"), F.lit(rule).alias("rule"), F.col(f"x{i}").alias("violations"),
-                valid.alias("score"),
-            )
-        )
+        s.add(df, c, rule, F.count(col), F.count(F.when(col.isNotNull() & bad, 1)))
     return s
 
 
 def validity(df: DataFrame, as_of: str) -> DataFrame:
-    return validity_scorer(df, as_of).detail(
-        df, "column_name string, rule string, violations bigint, score double"
-    ).where(F.col("score").isNotNull())
+    rows = scored(raw_counts(df, [validity_scorer(df, as_of)])).where(F.col("score").isNotNull())
+    return rows.select("column_name", F.col("check").alias("rule"), F.col("hits").alias("violations"), "score")
 
 
 def column_scores(df: DataFrame, as_of: str, max_flag_length: int = 1) -> DataFrame:
     """(dimension, column_name, score) for the five column-wise dimensions from one aggregate over the table."""
     scorers = [
         completeness_scorer(df), accuracy_scorer(df, max_flag_length), consistency_scorer(df),
-        timeliness_scorer(df, as_of), validity_scorer(df, as_of),
-    ]
-    row = df.agg(*[c.alias(n) for s in scorers for n, c in s.aggs.items()])
-    items = [
-        F.struct(F.lit(s.dimension).alias("dimension"), r["column_name"].alias("column_name"), r["score"].alias("score"))
-        for s in scorers
-        for r in s.rows
+        timeliness_scorer(df), validity_scorer(df, as_of),
     ]
-    return row.select(F.explode(F.array(*items)).alias("r")).select("r.*")
+    return scored(raw_counts(df, scorers), as_of).select("dimension", "column_name", "score")
 
 
 def dimension_scores(columns: DataFrame, unique: DataFrame, keys: list[str]) -> DataFrame:

@@ -167,7 +167,7 @@ def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> DataFram
             "n",
             *[F.round(c, 4).alias(c) for c in ("mean", "median", "std", "min_value", "max_value", "q25", "q75")],
             F.round("total", 2).alias("total"),
-            F.round("skewness", 3).alias("skewness"),
+            (F.round("skewness", 3) + F.lit(0.0)).alias("skewness"),
             F.round("kurtosis", 3).alias("kurtosis"),
             shape.alias("shape"),
             F.round(F.col("q25") - 1.5 * iqr, 2).alias("lower_fence"),

@@ -69,7 +69,7 @@ add(
         """SELECT '@c' AS column_name, CAST(count(@c) AS BIGINT) AS n, round(avg(@c), 4) AS mean,
         round(median(@c), 4) AS median, round(stddev_samp(@c), 4) AS std, round(min(@c), 4) AS min_value,
         round(max(@c), 4) AS max_value, round(any_value(q.q25), 4) AS q25, round(any_value(q.q75), 4) AS q75,
-        round(sum(@c), 2) AS total, round(skewness(@c), 3) AS skewness, round(kurtosis(@c), 3) AS kurtosis,
+        round(sum(@c), 2) AS total, round(skewness(@c), 3) + 0 AS skewness, round(kurtosis(@c), 3) AS kurtosis,
         CASE WHEN abs(skewness(@c)) < 0.5 AND abs(kurtosis(@c)) < 1 THEN 'approximately_normal'
              WHEN skewness(@c) > 1 THEN 'right_skewed' WHEN skewness(@c) < -1 THEN 'left_skewed'
              WHEN kurtosis(@c) > 3 THEN 'heavy_tailed' ELSE 'moderate_skew' END AS shape,
@@ -405,7 +405,7 @@ add(
 # --- Q19 statistical profile
 _STAT_NUM = """SELECT '@c' AS column_name, CAST(count(*) - count(@c) AS BIGINT) AS null_count, round((count(*) - count(@c)) * 100.0 / count(*), 2) AS null_pct,
     CAST(count(DISTINCT @c) AS BIGINT) AS distinct_count, round(count(DISTINCT @c) / count(*), 4) AS cardinality_ratio,
-    round(avg(@c), 4) AS mean, round(median(@c), 4) AS median, round(stddev_samp(@c), 4) AS std, round(skewness(@c), 3) AS skewness,
+    round(avg(@c), 4) AS mean, round(median(@c), 4) AS median, round(stddev_samp(@c), 4) AS std, round(skewness(@c), 3) + 0 AS skewness,
     round(kurtosis(@c), 3) AS kurtosis, round(any_value(q.iqr), 4) AS iqr,
     CAST(count(*) FILTER (@c < q.lo OR @c > q.hi) AS BIGINT) AS outlier_count,
     round(count(*) FILTER (@c = 0) * 100.0 / count(@c), 2) AS zeros_pct, round(count(*) FILTER (@c < 0) * 100.0 / count(@c), 2) AS negatives_pct,
