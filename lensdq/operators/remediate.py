@@ -18,7 +18,9 @@ def deduplicate(df: DataFrame) -> DataFrame:
 
 def impute(df: DataFrame) -> DataFrame:
     """Missing numbers become the column median, missing text becomes 'Unknown'."""
-    numbers = numeric_columns(df)
+    every = numeric_columns(df)
+    holes = df.agg(*[F.count_if(clean(df, c).isNull()).alias(f"n{i}") for i, c in enumerate(every)]).first() if every else []
+    numbers = [c for c, n in zip(every, holes) if n]
     medians = {r["column_name"]: r["m"] for r in quantiles(df, numbers, {"m": 0.5}).collect()} if numbers else {}
     texts = set(string_columns(df))
     out = []

@@ -341,12 +341,12 @@ def _rounded(df, names, digits=2):
     return df.withColumns({n: F.round(n, digits) for n in names}).withColumn("month", F.col("month").cast("string"))
 
 
-_RUN = ["running_sum", "running_avg", "running_min", "running_max", "window_sum", "window_avg"]
+_RUN = ["running_sum", "running_min", "running_max", "window_sum"]
 add(
     "w11_running",
-    lambda t: _rounded(windows.running(_monthly_view(t), "y", ["month"], ["c_mktsegment"]), _RUN),
-    "WITH v AS (" + _MONTHLY + """) SELECT c_mktsegment, CAST(CAST(m AS DATE) AS VARCHAR) AS month, y, round(sum(y) OVER r, 2) AS running_sum, round(avg(y) OVER r, 2) AS running_avg, CAST(count(y) OVER r AS BIGINT) AS running_count,
-    round(min(y) OVER r, 2) AS running_min, round(max(y) OVER r, 2) AS running_max, round(sum(y) OVER p, 2) AS window_sum, round(avg(y) OVER p, 2) AS window_avg, CAST(count(*) OVER p AS BIGINT) AS size
+    lambda t: _rounded(_rounded(windows.running(_monthly_view(t), "y", ["month"], ["c_mktsegment"]), ["running_avg", "window_avg"], 4), _RUN),
+    "WITH v AS (" + _MONTHLY + """) SELECT c_mktsegment, CAST(CAST(m AS DATE) AS VARCHAR) AS month, y, round(sum(y) OVER r, 2) AS running_sum, round(avg(y) OVER r, 4) AS running_avg, CAST(count(y) OVER r AS BIGINT) AS running_count,
+    round(min(y) OVER r, 2) AS running_min, round(max(y) OVER r, 2) AS running_max, round(sum(y) OVER p, 2) AS window_sum, round(avg(y) OVER p, 4) AS window_avg, CAST(count(*) OVER p AS BIGINT) AS size
     FROM v WINDOW r AS (PARTITION BY c_mktsegment ORDER BY m ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY c_mktsegment)""",
 )
 add(
