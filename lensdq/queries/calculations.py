@@ -279,7 +279,25 @@ add(
     """SELECT CAST(count(*) AS BIGINT) AS points, round(r, 4) AS r, CASE WHEN abs(r) > 0.7 THEN 'strong' WHEN abs(r) > 0.3 THEN 'moderate' ELSE 'weak' END AS strength, CASE WHEN r > 0.1 THEN 'positive' WHEN r < -0.1 THEN 'negative' ELSE 'no clear' END AS direction
     FROM {lineitem}, (SELECT corr(l_quantity, l_extendedprice) AS r FROM {lineitem}) GROUP BY r""",
 )
-add("a08_chart_plan", lambda t: present.run_charts(t.sales))
+def _bars(i: int, kind: str, x: str, y: str, top: str) -> str:
+    return f"""SELECT * FROM (SELECT {i} AS chart, '{kind}' AS type, {x} AS x, round(sum({y}), 2)::DOUBLE AS y FROM {{lineitem}} GROUP BY {x} ORDER BY y DESC, x {top})"""
+
+
+def _lines(i: int, kind: str, y: str) -> str:
+    return f"SELECT {i}, '{kind}', CAST(CAST(date_trunc('quarter', l_shipdate) AS DATE) AS VARCHAR), round(sum({y}), 2)::DOUBLE FROM {{lineitem}} GROUP BY 3"
+
+
+add(
+    "a08_chart_plan",
+    lambda t: present.run_charts(t.lineitem),
+    " UNION ALL ".join([
+        _bars(1, "bar", "l_returnflag", "l_orderkey", "LIMIT 15"), _lines(0, "line", "l_orderkey"), _bars(2, "hbar", "l_linestatus", "l_orderkey", "LIMIT 12"),
+        _bars(3, "donut", "l_returnflag", "l_orderkey", ""),
+        """SELECT 4, 'scatter', CASE WHEN abs(r) > 0.7 THEN 'strong' WHEN abs(r) > 0.3 THEN 'moderate' ELSE 'weak' END || ' ' || CASE WHEN r > 0.1 THEN 'positive' WHEN r < -0.1 THEN 'negative' ELSE 'no clear' END, round(r, 4)
+        FROM (SELECT corr(l_orderkey, l_partkey) AS r FROM {lineitem})""",
+        _lines(5, "area", "l_partkey"), _bars(6, "donut", "l_linestatus", "l_orderkey", ""),
+    ]),
+)
 _NAMED = [Metric("revenue", "SUM", "l_extendedprice * (1 - l_discount)"), Metric("average_quantity", "AVERAGE", "l_quantity"), Metric("row_total", "COUNTROWS"), Metric("smallest", "MIN", "l_quantity"), Metric("largest", "MAX", "l_quantity"), Metric("parts", "DISTINCTCOUNT", "l_partkey"),
           Ratio("net_share", Metric("n", "SUM", "l_extendedprice * (1 - l_discount)"), Metric("d", "SUM", "l_extendedprice"))]
 _NAMED_SQL = """round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_quantity), 4) AS average_quantity, CAST(count(*) AS BIGINT) AS row_total, min(l_quantity) AS smallest, max(l_quantity) AS largest,
