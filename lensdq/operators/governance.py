@@ -185,21 +185,21 @@ def issues_from_findings(findings: DataFrame, open_issues: DataFrame, created_at
 
 
 def issue_state(events: DataFrame) -> DataFrame:
-    """Current state per issue from its events (issue_id, at, seq, event, details).
+    """Current state per issue from its events (issue_id, event_ts, seq, event, details).
 
     Events: created, assign (details = person), status (details = new status), comment, escalate.
     An assignment moves an open issue to Assigned; an explicit status stands until the next one.
     Every field is a partial aggregate, so an issue with very many events needs no ordering.
     """
-    e, when_ = F.col("event"), F.struct("at", "seq")
+    e, when_ = F.col("event"), F.struct("event_ts", "seq")
     pick = lambda name, value: F.max_by(F.when(e == name, F.col(value)), F.when(e == name, when_))
     moment = lambda cond: F.max(F.when(cond, when_))
     closing = (e == "status") & F.col("details").isin("Resolved", "Closed")
     folded = events.groupBy("issue_id").agg(
-        F.min("at").alias("created_at"), F.max("at").alias("updated_at"), pick("status", "details").alias("explicit"),
+        F.min("event_ts").alias("created_at"), F.max("event_ts").alias("updated_at"), pick("status", "details").alias("explicit"),
         moment(e == "status").alias("status_at"), moment(e == "assign").alias("assigned_at"), pick("assign", "details").alias("assigned_to"),
         F.count_if(e == "escalate").alias("escalations"), F.count_if(e == "comment").alias("comments"), F.count(F.lit(1)).alias("history_length"),
-        F.max(F.when(closing, F.col("at"))).alias("resolved_at"),
+        F.max(F.when(closing, F.col("event_ts"))).alias("resolved_at"),
     )
     base = F.coalesce("explicit", F.lit("Open"))
     moved = F.col("assigned_at").isNotNull() & (F.col("status_at").isNull() | (F.col("assigned_at") > F.col("status_at")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["profiles", "rule_checks", "relations", "statistics", "calculations"]
+MODULES = ["profiles", "rule_checks", "relations", "statistics", "calculations", "governing", "lifecycle"]
 
 
 def suites():

@@ -47,6 +47,48 @@ DERIVED = {
                CASE WHEN c_acctbal > 9000 THEN NULL ELSE c_acctbal * 1.2 END AS c_acctbal,
                CASE WHEN c_mktsegment = 'BUILDING' THEN 'CONSTRUCTION' ELSE c_mktsegment END AS segment
         FROM {customer} WHERE c_nationkey < 19""",
+    "history": """
+        SELECT event_type AS table_name, ts AS scanned_at, event_id AS scan_id, round(least(value, 100.0), 1) AS overall_score,
+               CAST(user_id % 101 AS DOUBLE) AS completeness, CAST((user_id * 7) % 101 AS DOUBLE) AS accuracy
+        FROM {events}""",
+    "issue_events": """
+        SELECT user_id * 10 + event_id % 10 AS issue_id, ts AS event_ts, event_id AS seq,
+               CASE event_type WHEN 'signup' THEN 'created' WHEN 'click' THEN 'assign' WHEN 'purchase' THEN 'status'
+                    WHEN 'view' THEN 'comment' ELSE 'escalate' END AS event,
+               CASE WHEN event_type = 'click' THEN concat('steward', CAST(event_id % 9 AS VARCHAR(5)))
+                    WHEN event_type = 'purchase' THEN CASE event_id % 7 WHEN 0 THEN 'Open' WHEN 1 THEN 'In Progress' WHEN 2 THEN 'Resolved'
+                         WHEN 3 THEN 'Closed' WHEN 4 THEN 'Wont Fix' WHEN 5 THEN 'Verified' ELSE 'Open' END END AS details
+        FROM {events}""",
+    "incident": """
+        SELECT event_id AS incident_id,
+               CASE event_id % 4 WHEN 0 THEN 'CRITICAL' WHEN 1 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
+               CASE user_id % 3 WHEN 0 THEN 'Schema' WHEN 1 THEN 'Volume' ELSE 'Data Quality' END AS category,
+               CASE event_id % 5 WHEN 0 THEN 'Open' WHEN 1 THEN 'Acknowledged' WHEN 2 THEN 'Resolved' ELSE 'Closed' END AS status, ts AS detected_at,
+               CASE WHEN event_id % 5 > 1 THEN ts + INTERVAL '1' HOUR * CAST(1 + user_id % 50 AS INTEGER) END AS resolved_at,
+               CASE WHEN user_id % 4 = 0 THEN NULL WHEN user_id % 4 = 1 THEN 'Source change' ELSE 'Pipeline' END AS root_cause,
+               event_id % 3 = 0 AS postmortem_complete
+        FROM {events} WHERE event_type = 'error'""",
+    "inventory": """
+        SELECT concat('D', CAST(o_orderkey AS VARCHAR(20))) AS dashboard_id, concat('Report ', CAST(o_orderkey AS VARCHAR(20))) AS dashboard_name,
+               o_orderpriority AS workspace, concat('owner', CAST(o_custkey % 300 AS VARCHAR(20)), '@example.com') AS owner_email,
+               CASE o_orderstatus WHEN 'F' THEN 'Power BI' WHEN 'O' THEN 'Tableau' ELSE 'Qlik' END AS platform,
+               CAST(o_orderdate + INTERVAL '24' YEAR AS DATE) AS created_date,
+               CASE WHEN o_custkey % 50 = 0 THEN NULL ELSE DATE '2026-02-01' - CAST((o_custkey * 7) % 800 AS INTEGER) END AS last_viewed_date,
+               CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE CAST(o_custkey % 60 AS INTEGER) END AS view_count_30d,
+               CASE o_orderkey % 6 WHEN 0 THEN '4x daily' WHEN 1 THEN '2x daily' WHEN 2 THEN '1x daily' WHEN 3 THEN 'weekly' WHEN 4 THEN 'manual' ELSE 'none' END AS refresh_schedule,
+               CASE WHEN o_orderkey % 2 = 0 THEN concat('fact_', CAST(o_custkey % 90 AS VARCHAR(5)), ', dim_', CAST(o_orderkey % 70 AS VARCHAR(5)))
+                    ELSE concat('dim_', CAST(o_orderkey % 70 AS VARCHAR(5)), ',fact_', CAST(o_custkey % 90 AS VARCHAR(5))) END AS source_tables,
+               CAST(10 + o_custkey % 4000 AS INTEGER) AS dataset_size_mb, CAST(1 + o_orderkey % 25 AS INTEGER) AS num_visuals, o_orderkey % 7 = 0 AS is_certified
+        FROM {orders}""",
+    "lineage_nodes": """
+        SELECT concat('region:', CAST(r_regionkey AS VARCHAR(20))) AS id, 'source_system' AS type, r_name AS name FROM {region}
+        UNION ALL SELECT concat('nation:', CAST(n_nationkey AS VARCHAR(20))), 'database', n_name FROM {nation}
+        UNION ALL SELECT concat('customer:', CAST(c_custkey AS VARCHAR(20))), 'table', c_name FROM {customer}
+        UNION ALL SELECT concat('order:', CAST(o_orderkey AS VARCHAR(20))), CASE WHEN o_orderstatus = 'F' THEN 'dashboard' ELSE 'column' END, o_orderpriority FROM {orders}""",
+    "lineage_edges": """
+        SELECT concat('region:', CAST(n_regionkey AS VARCHAR(20))) AS source, concat('nation:', CAST(n_nationkey AS VARCHAR(20))) AS target, 'feeds' AS relationship FROM {nation}
+        UNION ALL SELECT concat('nation:', CAST(c_nationkey AS VARCHAR(20))), concat('customer:', CAST(c_custkey AS VARCHAR(20))), 'feeds' FROM {customer}
+        UNION ALL SELECT concat('customer:', CAST(o_custkey AS VARCHAR(20))), concat('order:', CAST(o_orderkey AS VARCHAR(20))), 'used_by' FROM {orders}""",
     "sales": """
         SELECT o.o_orderkey, o.o_orderdate, o.o_orderpriority, o.o_orderstatus, c.c_mktsegment, n.n_name, r.r_name,
                o.o_totalprice AS sales, o.o_totalprice * 0.2 - 20000 AS profit
@@ -97,7 +139,10 @@ def duck(text: str) -> str:
     if not needed:
         return body
     ctes = ", ".join(f"{n} AS ({DERIVED[n].format(**plain).strip()})" for n in needed)
-    return f"WITH {ctes}{',' + body[4:] if body[:5].upper() == 'WITH ' else ' ' + body}"
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(head):
+            return f"{head}{ctes}, {body[len(head):]}"
+    return f"WITH {ctes} {body}"
 
 
 def each(names, template: str, joiner: str = "\nUNION ALL\n") -> str:
