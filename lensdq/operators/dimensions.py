@@ -20,7 +20,7 @@ from lensdq.functions.wordlists import (
     SUSPECT_VALUES, TEXT_FORMAT_RULES,
 )
 from lensdq.operators.longform import (
-    distinct_stats, full_row_counts, gap_median, per_column, quantiles, time_gaps, value_counts,
+    distinct_stats, full_row_counts, gap_median, quantiles, time_gaps, value_counts,
 )
 from lensdq.operators.profile import outside
 
@@ -110,35 +110,45 @@ def completeness(df: DataFrame) -> DataFrame:
     )
 
 
-def _numeric_facts(df: DataFrame) -> dict[str, dict]:
-    """Quartiles and population moments of the columns with at least ten values (driver-side numbers)."""
-    cols = numeric_columns(df)
-    moments = per_column(df, cols, {"n": F.count, "mean": F.avg, "std": F.stddev_pop}, read=as_double).collect()
-    most = max((r["n"] for r in moments), default=0)
-    quart = {r["column_name"]: r for r in quantiles(df, cols, {"q25": 0.25, "q75": 0.75}, rows=most).collect()} if cols else {}
-    return {
-        r["column_name"]: {
-            "mean": r["mean"], "std": r["std"],
-            "fence": (quart[r["column_name"]]["q25"], quart[r["column_name"]]["q75"],
-                      quart[r["column_name"]]["q75"] - quart[r["column_name"]]["q25"]),
-        }
-        for r in moments
-        if r["n"] >= 10
+@dataclass
+class Facts:
+    """What the scorers need to know first: spread of each numeric column, and which columns hold dates."""
+
+    numeric: dict[str, dict]
+    timed: dict[str, Column]
+
+
+def table_facts(df: DataFrame) -> Facts:
+    """Moments and date-parse shares from one aggregate, then quartiles; a few numbers per column.
+
+    Numeric columns need ten values; text counts as temporal when over half of it parses.
+    """
+    numbers, texts = numeric_columns(df), string_columns(df)
+    row = df.agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[f(as_double(df, c)).alias(f"{n}{i}") for i, c in enumerate(numbers) for n, f in (("n", F.count), ("mean", F.avg), ("std", F.stddev_pop))],
+        *[F.count(parsed_timestamp(F.col(quoted(c)))).alias(f"t{i}") for i, c in enumerate(texts)],
+    ).first()
+    usable = {c: i for i, c in enumerate(numbers) if row[f"n{i}"] >= 10}
+    quart = {r["column_name"]: r for r in quantiles(df, usable, {"q25": 0.25, "q75": 0.75}, rows=row["rows"]).collect()}
+    numeric = {
+        c: {"mean": row[f"mean{i}"], "std": row[f"std{i}"], "fence": (quart[c]["q25"], quart[c]["q75"], quart[c]["q75"] - quart[c]["q25"])}
+        for c, i in usable.items()
     }
+    timed = {c: F.col(quoted(c)).cast("timestamp") for c in temporal_columns(df)}
+    timed.update({c: parsed_timestamp(F.col(quoted(c))) for i, c in enumerate(texts) if row[f"t{i}"] > row["rows"] * 0.5})
+    return Facts(numeric, timed)
 
 
-def accuracy_scorer(df: DataFrame, max_flag_length: int = 1) -> Scorer:
+def accuracy_scorer(df: DataFrame, facts: Facts, max_flag_length: int = 1) -> Scorer:
     """Outliers by fence or z-score for numbers, placeholder values for text.
 
     Text columns join the score only when they have hits. ``max_flag_length=0`` keeps
     single-character flags from counting as suspect.
     """
     s = Scorer("accuracy")
-    facts = _numeric_facts(df)
-    for c in numeric_columns(df):
-        if c not in facts:
-            continue
-        x, f = as_double(df, c), facts[c]
+    for c, f in facts.numeric.items():
+        x = as_double(df, c)
         tests = []
         if f["fence"][2] > 0:
             tests.append(outside(x, f["fence"]))
@@ -152,7 +162,7 @@ def accuracy_scorer(df: DataFrame, max_flag_length: int = 1) -> Scorer:
 
 
 def accuracy(df: DataFrame, max_flag_length: int = 1) -> DataFrame:
-    rows = scored(raw_counts(df, [accuracy_scorer(df, max_flag_length)]))
+    rows = scored(raw_counts(df, [accuracy_scorer(df, table_facts(df), max_flag_length)]))
     return rows.select("column_name", "check", "checked", F.col("hits").alias("flagged"), "score")
 
 
@@ -207,32 +217,18 @@ def date_order_issues(df: DataFrame) -> DataFrame:
     return row.select(F.explode(rows).alias("r")).select("r.*")
 
 
-def _timed_columns(df: DataFrame) -> dict[str, Column]:
-    """Temporal columns, plus text columns of which more than half parse as dates."""
-    timed = {c: F.col(quoted(c)).cast("timestamp") for c in temporal_columns(df)}
-    texts = string_columns(df)
-    if texts:
-        shares = df.agg(
-            *[
-                (F.count(parsed_timestamp(F.col(quoted(c)))) / F.count(F.lit(1))).alias(f"s{i}")
-                for i, c in enumerate(texts)
-            ]
-        ).first()
-        timed.update({c: parsed_timestamp(F.col(quoted(c))) for c, s in zip(texts, shares) if s is not None and s > 0.5})
-    return timed
-
-
-def timeliness_scorer(df: DataFrame, timed: dict[str, Column] | None = None) -> Scorer:
+def timeliness_scorer(df: DataFrame, facts: Facts) -> Scorer:
     s = Scorer("timeliness")
-    for c, stamp in (timed if timed is not None else _timed_columns(df)).items():
+    for c, stamp in facts.timed.items():
         s.add(df, c, "staleness", F.count(stamp), F.max(F.unix_micros(stamp)))
     return s
 
 
 def timeliness(df: DataFrame, as_of: str) -> DataFrame:
     """Staleness against ``as_of`` plus gap analysis per temporal column."""
-    timed = _timed_columns(df)
-    fresh = scored(raw_counts(df, [timeliness_scorer(df, timed)]), as_of).select(
+    facts = table_facts(df)
+    timed = facts.timed
+    fresh = scored(raw_counts(df, [timeliness_scorer(df, facts)]), as_of).select(
         "column_name",
         F.date_format(F.timestamp_micros("hits"), "yyyy-MM-dd HH:mm:ss").alias("most_recent"),
         F.round(staleness_hours(as_of), 1).alias("staleness_hours"),
@@ -315,9 +311,10 @@ def validity(df: DataFrame, as_of: str) -> DataFrame:
 
 def column_scores(df: DataFrame, as_of: str, max_flag_length: int = 1) -> DataFrame:
     """(dimension, column_name, score) for the five column-wise dimensions from one aggregate over the table."""
+    facts = table_facts(df)
     scorers = [
-        completeness_scorer(df), accuracy_scorer(df, max_flag_length), consistency_scorer(df),
-        timeliness_scorer(df), validity_scorer(df, as_of),
+        completeness_scorer(df), accuracy_scorer(df, facts, max_flag_length), consistency_scorer(df),
+        timeliness_scorer(df, facts), validity_scorer(df, as_of),
     ]
     return scored(raw_counts(df, scorers), as_of).select("dimension", "column_name", "score")
 

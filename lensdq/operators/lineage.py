@@ -56,7 +56,8 @@ def reachable(edges: DataFrame, start: str, direction: str = "down", depth: int
     so cycles end. Of equally short paths the first in text order is kept.
     """
     a, b = ("source", "target") if direction == "down" else ("target", "source")
-    steps = edges.select(F.col(a).alias("here"), F.col(b).alias("there")).distinct()
+    # Written once, so the levels do not rebuild the edge list.
+    steps = checkpointed(edges.select(F.col(a).alias("here"), F.col(b).alias("there")).distinct())
     spark = edges.sparkSession
     seen = frontier = checkpointed(spark.createDataFrame([(start, 0, start)], "id string, distance int, path string"))
     for level in range(1, depth + 1):

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from lensdq.functions.columns import any_of, as_double, as_text, clean, quoted
 from lensdq.session import checkpointed
@@ -103,7 +104,7 @@ def quantiles(
     in_memory_rows: int = 250_000,
     rows: int | None = None,
 ) -> DataFrame:
-    """Exact linear-interpolation quantiles, one row per column (column_name, <names>).
+    """Exact linear-interpolation quantiles, one local row per column (column_name, <names>).
 
     Up to ``in_memory_rows`` rows the built-in exact percentile runs, whose per-value map is
     then bounded. Beyond that a rank sketch (one driver row of numbers) brackets every wanted
@@ -111,9 +112,8 @@ def quantiles(
     grouped and ordered, so no task ever holds a whole column.
     """
     columns = list(columns)
-    names = F.array(*[F.lit(c) for c in columns])
+    fields = ", ".join(["column_name string", *[f"{quoted(n)} double" for n in probs]])
     if not columns:
-        fields = ", ".join(["column_name string", *[f"{n} double" for n in probs]])
         return df.sparkSession.createDataFrame([], fields)
     typed = df.select(*[as_double(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
     span = range(len(columns))
@@ -121,14 +121,9 @@ def quantiles(
 
     if (df.count() if rows is None else rows) <= in_memory_rows:
         points = F.array(*[F.lit(float(p)) for p in probs.values()])
-        row = typed.agg(*[F.percentile(f"c{i}", points).alias(f"q{i}") for i in span])
-        items = F.array(
-            *[
-                F.struct(names[i].alias("column_name"), *[F.col(f"q{i}")[t].alias(n) for t, n in enumerate(probs)])
-                for i in span
-            ]
-        )
-        return row.select(F.explode(items).alias("r")).select("r.*")
+        row = typed.agg(*[F.percentile(f"c{i}", points).alias(f"q{i}") for i in span]).first()
+        found = [(c, *(row[f"q{i}"] or [None] * len(probs))) for i, c in enumerate(columns)]
+        return df.sparkSession.createDataFrame(found, fields)
 
     slack = 8.0 / accuracy
     marks = [min(max(p + s, 0.0), 1.0) for p in probs.values() for s in (-slack, slack)]
@@ -196,13 +191,9 @@ def quantiles(
         at(lower).alias("a"), at(upper).alias("z"), F.max(F.col("pos") - lower).alias("frac")
     )
     value = F.col("a") + (F.col("z") - F.col("a")) * F.col("frac")
-    found = picked.groupBy("i").agg(
-        *[F.max(F.when(F.col("t") == t, value)).alias(n) for t, n in enumerate(probs)]
-    )
-    everyone = df.sparkSession.range(len(columns)).select(F.col("id").cast("int").alias("i"))
-    return everyone.join(F.broadcast(found), "i", "left").select(
-        F.element_at(names, F.col("i") + 1).alias("column_name"), *probs
-    )
+    cells = {(r["i"], r["t"]): r["q"] for r in picked.select("i", "t", value.alias("q")).collect()}
+    rows_out = [(c, *[cells.get((i, t)) for t, _ in targets]) for i, c in enumerate(columns)]
+    return df.sparkSession.createDataFrame(rows_out, fields)
 
 
 def ordered_prefix(df: DataFrame, order: list[Column], sums: dict[str, Column] | None = None) -> DataFrame:
@@ -236,33 +227,25 @@ def ordered_prefix(df: DataFrame, order: list[Column], sums: dict[str, Column] |
     return out.drop(*hidden)
 
 
-def with_neighbours(
-    ordered: DataFrame, fields: list[str], before: int = 0, after: int = 0, chunk: int = 50_000
-) -> DataFrame:
-    """Add ``prev`` / ``next`` arrays of up to N neighbouring rows in global ``pos`` order.
+def chunked(ordered: DataFrame, before: int = 0, after: int = 0, chunk: int = 50_000) -> tuple[DataFrame, WindowSpec]:
+    """Rows in global ``pos`` order cut into chunks, with the window to use inside a chunk.
 
-    Rows are cut into fixed chunks of positions; the few rows next to a chunk border are
-    copied into the neighbouring chunk, so every window stays at most ``chunk + N`` rows.
+    The few rows next to a chunk border are copied into the neighbouring chunk (``own`` false),
+    so frames reaching ``before`` rows back and ``after`` rows ahead are complete for the rows a
+    chunk owns, and no window partition exceeds ``chunk`` plus the copies. Filter on ``own`` last.
     """
     home = F.floor(F.col("pos") / chunk)
     homes = [F.struct(home.alias("chunk"), F.lit(True).alias("own"))]
     if before:
-        homes.append(
-            F.when(F.col("pos") % chunk >= chunk - before, F.struct((home + 1).alias("chunk"), F.lit(False).alias("own")))
-        )
-    if after:
-        homes.append(
-            F.when(F.col("pos") % chunk < after, F.struct((home - 1).alias("chunk"), F.lit(False).alias("own")))
-        )
-    spread = ordered.withColumn("_h", F.explode(F.array_compact(F.array(*homes))))
-    w = Window.partitionBy("_h.chunk").orderBy("pos")
-    item = F.struct("pos", *fields)
-    out = spread
-    if before:
-        out = out.withColumn("prev", F.collect_list(item).over(w.rowsBetween(-before, -1)))
+        tail = F.col("pos") % chunk >= chunk - before
+        homes.append(F.when(tail, F.struct((home + 1).alias("chunk"), F.lit(False).alias("own"))))
     if after:
-        out = out.withColumn("next", F.collect_list(item).over(w.rowsBetween(1, after)))
-    return out.where(F.col("_h.own")).drop("_h")
+        head = F.col("pos") % chunk < after
+        homes.append(F.when(head, F.struct((home - 1).alias("chunk"), F.lit(False).alias("own"))))
+    if max(before, after) > chunk:
+        raise ValueError("frames may not reach over a whole chunk")
+    spread = ordered.select("*", F.explode(F.array_compact(F.array(*homes))).alias("_h")).select("*", "_h.*").drop("_h")
+    return spread, Window.partitionBy("chunk").orderBy("pos")
 
 
 def time_gaps(df: DataFrame, ts: str) -> DataFrame:
@@ -335,6 +318,7 @@ def gap_median(gaps: DataFrame, repeats: DataFrame) -> DataFrame:
 
 
 __all__ = [
+    "chunked",
     "distinct_stats",
     "full_row_counts",
     "gap_median",
@@ -345,5 +329,4 @@ __all__ = [
     "top_values",
     "unpivoted",
     "value_counts",
-    "with_neighbours",
 ]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lensdq.functions.columns import quoted
 from lensdq.functions.similarity import RATIOS, token_sorted
-from lensdq.operators.longform import ordered_prefix, with_neighbours
+from lensdq.operators.longform import chunked, ordered_prefix
 from lensdq.session import checkpointed
 
 
@@ -29,8 +29,10 @@ def duplicate_pairs(
     )
     ordered = ordered_prefix(slim, [F.col("block"), F.col("id")])
     fields = ["id", "block", *[f"k{i}" for i in range(len(keys))]]
-    near = with_neighbours(ordered, fields, after=reach, chunk=chunk)
-    pairs = near.withColumn("o", F.explode("next")).where(F.col("o.block") == F.col("block"))
+    spread, w = chunked(ordered, after=reach, chunk=chunk)
+    ahead = F.collect_list(F.struct(*fields)).over(w.rowsBetween(1, reach))
+    near = spread.withColumn("ahead", ahead).where("own")
+    pairs = near.withColumn("o", F.explode("ahead")).where(F.col("o.block") == F.col("block"))
     similarity = RATIOS[ratio]
     scores = [
         F.when((F.col(f"k{i}") != "") & (F.col(f"o.k{i}") != ""), similarity(F.col(f"k{i}"), F.col(f"o.k{i}")))

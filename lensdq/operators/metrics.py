@@ -94,7 +94,12 @@ def lod_exclude(df: DataFrame, view: list[str], drop: list[str], agg: str, measu
     """View rows beside the same sum with some dimensions removed (agg SUM, MIN or MAX)."""
     rest = [v for v in view if v not in drop]
     rows = df.groupBy(*view).agg(AGGREGATES[agg](clean(df, measure)).alias("value"))
-    return rows.withColumn("excluded", AGGREGATES[agg](F.col("value")).over(Window.partitionBy(*rest)))
+    # Totals per remaining dimensions join back, so no window holds a whole group of view rows.
+    keys = [F.coalesce(F.col(quoted(c)).cast("string"), F.lit("\0")).alias(f"_k{i}") for i, c in enumerate(rest)] or [F.lit(0).alias("_k0")]
+    names = [f"_k{i}" for i in range(len(keys))]
+    keyed = rows.select("*", *keys)
+    totals = keyed.groupBy(*names).agg(AGGREGATES[agg](F.col("value")).alias("excluded"))
+    return keyed.join(totals, names).drop(*names)
 
 
 def reconcile(df: DataFrame, pairs: list[tuple[str, Column, Column]], tolerance_pct: float = 0.01) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lensdq.functions.columns import as_double, as_text, is_numeric, numeric_columns, percent, quoted
-from lensdq.operators.longform import ordered_prefix, unpivoted, with_neighbours
+from lensdq.operators.longform import chunked, ordered_prefix, unpivoted
 
 SHARE_FLOOR = 1e-6
 
@@ -76,23 +76,20 @@ def spc_violations(points: DataFrame, order: list[str], value: str, chunk: int =
         return points.sparkSession.createDataFrame([], f"pos bigint, {fields}, x double, rule int, severity string")
     mean, std = F.lit(limits["mean"]), F.lit(limits["std"])
     ordered = ordered_prefix(keep, [F.col(quoted(o)) for o in order])
-    near = with_neighbours(ordered, ["x"], before=8, chunk=chunk)
-    xs = F.concat(F.transform("prev", lambda p: p["x"]), F.array("x"))
-    near = near.withColumn("xs", xs).withColumn("m", F.size("xs"))
+    spread, w = chunked(ordered, before=9, chunk=chunk)
+    x = F.col("x")
+    stepped = spread.withColumn("dx", x - F.lag("x").over(w))
 
-    def last(n: int) -> Column:
-        return F.slice("xs", -n, n)
+    def run(cond: Column, length: int) -> Column:
+        return F.sum(F.when(cond, 1).otherwise(0)).over(w.rowsBetween(1 - length, 0))
 
-    x = F.col("x")
     rule1 = (x > mean + 3 * std) | (x < mean - 3 * std)
-    rule2 = (F.col("m") >= 9) & (F.forall(last(9), lambda v: v > mean) | F.forall(last(9), lambda v: v < mean))
-    steps = F.zip_with(last(5), F.slice("xs", -6, 5), lambda b, a: b - a)
-    rule3 = (F.col("m") >= 6) & (F.forall(steps, lambda v: v > 0) | F.forall(steps, lambda v: v < 0))
-    far = F.size(F.filter(last(3), lambda v: F.abs(v - mean) > 2 * std))
-    rule4 = (F.col("m") >= 3) & (far >= 2)
-    guarded = [F.when(F.col("m") >= need, rule) for need, rule in ((1, rule1), (9, rule2), (6, rule3), (3, rule4))]
-    hits = F.array_compact(F.array(*[F.when(g, F.lit(i + 1)) for i, g in enumerate(guarded)]))
-    return near.withColumn("rules", hits).select("pos", *[quoted(o) for o in order], "x", F.explode("rules").alias("rule")).withColumn(
+    rule2 = (run(x > mean, 9) == 9) | (run(x < mean, 9) == 9)
+    rule3 = (run(F.col("dx") > 0, 5) == 5) | (run(F.col("dx") < 0, 5) == 5)
+    rule4 = (F.col("pos") >= 2) & (run(F.abs(x - mean) > 2 * std, 3) >= 2)
+    flagged = stepped.select("*", *[r.alias(f"_r{i}") for i, r in enumerate((rule1, rule2, rule3, rule4), 1)]).where("own")
+    hits = F.array_compact(F.array(*[F.when(F.col(f"_r{i}"), F.lit(i)) for i in (1, 2, 3, 4)]))
+    return flagged.select("pos", *[quoted(o) for o in order], "x", F.explode(hits).alias("rule")).withColumn(
         "severity", F.when(F.col("rule") == 1, "critical").otherwise("warning")
     )
 
