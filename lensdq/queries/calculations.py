@@ -129,12 +129,11 @@ add(
     " UNION ALL ".join(f"(SELECT '{p}' AS part, {p}(o_orderdate) AS value, CAST(count(*) AS BIGINT) AS n FROM {{orders}} GROUP BY 2 ORDER BY n DESC, value LIMIT 1)" for p in ("year", "quarter", "month", "day")),
 )
 
-_BAL = F.col("c_acctbal")
 add(
     "x01_math",
     lambda t: t.customer.select(
-        "c_custkey", F.abs(_BAL).alias("abs_v"), F.round(_BAL, 1).alias("round_v"), F.ceil(_BAL).alias("ceil_v"), F.floor(_BAL).alias("floor_v"), F.round(F.pow(_BAL, F.lit(2)), 2).alias("power_v"),
-        F.round(F.sqrt(F.abs(_BAL)), 6).alias("sqrt_v"), F.round(F.log(F.abs(_BAL) + 1), 6).alias("ln_v"), F.round(s.log_base(F.abs(_BAL) + 1), 6).alias("log_v"),
+        "c_custkey", F.abs(F.col("c_acctbal")).alias("abs_v"), F.round(F.col("c_acctbal"), 1).alias("round_v"), F.ceil(F.col("c_acctbal")).alias("ceil_v"), F.floor(F.col("c_acctbal")).alias("floor_v"), F.round(F.pow(F.col("c_acctbal"), F.lit(2)), 2).alias("power_v"),
+        F.round(F.sqrt(F.abs(F.col("c_acctbal"))), 6).alias("sqrt_v"), F.round(F.log(F.abs(F.col("c_acctbal")) + 1), 6).alias("ln_v"), F.round(s.log_base(F.abs(F.col("c_acctbal")) + 1), 6).alias("log_v"),
     ),
     """SELECT c_custkey, abs(c_acctbal) AS abs_v, round(c_acctbal, 1) AS round_v, CAST(ceil(c_acctbal) AS BIGINT) AS ceil_v, CAST(floor(c_acctbal) AS BIGINT) AS floor_v, round(pow(c_acctbal, 2), 2) AS power_v,
     round(sqrt(abs(c_acctbal)), 6) AS sqrt_v, round(ln(abs(c_acctbal) + 1), 6) AS ln_v, round(log10(abs(c_acctbal) + 1), 6) AS log_v FROM {customer}""",
@@ -168,7 +167,6 @@ add(
     CAST(strpos(p_name, ' ') AS BIGINT) AS find_v, regexp_matches(p_brand, '^Brand#1[0-9]$') AS regexp_v, 'a   b' AS space_v, split_part(p_name, ' ', 2) AS split_v, CAST(ascii(p_name) AS BIGINT) AS ascii_v, chr(p_size + 60) AS char_v,
     CAST(p_size AS VARCHAR) AS str_v FROM {part}""",
 )
-_TS = F.col("ts")
 add(
     "x05_date_parts",
     lambda t: t.orders.select("o_orderkey", *[s.date_part(p, F.col("o_orderdate")).cast("bigint").alias(p) for p in ("year", "quarter", "month", "day")], (F.current_date() >= F.col("o_orderdate").cast("date")).alias("in_past"), (F.now() >= F.col("o_orderdate")).alias("before_now")),
@@ -177,10 +175,10 @@ add(
 add(
     "x06_dates",
     lambda t: t.events.select(
-        "event_id", *[s.date_part(p, _TS).cast("bigint").alias(p) for p in ("hour", "minute", "second", "week", "weekday")], s.date_trunc("week", _TS).cast("date").cast("string").alias("trunc_week"),
-        s.date_add("month", 2, _TS).cast("string").alias("plus_months"), s.date_add("week", 1, _TS.cast("date")).cast("string").alias("plus_week"), s.date_diff("day", F.lit("2024-01-10").cast("date"), _TS.cast("date")).cast("bigint").alias("diff_day"),
-        s.date_diff("month", F.lit("2023-11-30").cast("date"), _TS.cast("date")).cast("bigint").alias("diff_month"), s.date_name("month", _TS).alias("month_name"), s.date_name("weekday", _TS).alias("weekday_name"),
-        s.make_date(F.year(_TS), F.month(_TS), F.lit(1)).cast("string").alias("made_date"), F.date_format(s.make_datetime(_TS, F.lit("2000-01-01 08:30:00").cast("timestamp")), "yyyy-MM-dd HH:mm:ss").alias("made_datetime"), s.is_date(F.col("props")).alias("is_date_v"),
+        "event_id", *[s.date_part(p, F.col("ts")).cast("bigint").alias(p) for p in ("hour", "minute", "second", "week", "weekday")], s.date_trunc("week", F.col("ts")).cast("date").cast("string").alias("trunc_week"),
+        s.date_add("month", 2, F.col("ts")).cast("string").alias("plus_months"), s.date_add("week", 1, F.col("ts").cast("date")).cast("string").alias("plus_week"), s.date_diff("day", F.lit("2024-01-10").cast("date"), F.col("ts").cast("date")).cast("bigint").alias("diff_day"),
+        s.date_diff("month", F.lit("2023-11-30").cast("date"), F.col("ts").cast("date")).cast("bigint").alias("diff_month"), s.date_name("month", F.col("ts")).alias("month_name"), s.date_name("weekday", F.col("ts")).alias("weekday_name"),
+        s.make_date(F.year(F.col("ts")), F.month(F.col("ts")), F.lit(1)).cast("string").alias("made_date"), F.date_format(s.make_datetime(F.col("ts"), F.lit("2000-01-01 08:30:00").cast("timestamp")), "yyyy-MM-dd HH:mm:ss").alias("made_datetime"), s.is_date(F.col("props")).alias("is_date_v"),
     ),
     """SELECT event_id, hour(ts) AS hour, minute(ts) AS minute, second(ts) AS second, week(ts) AS week, dayofweek(ts) + 1 AS weekday, CAST(CAST(date_trunc('week', ts) AS DATE) AS VARCHAR) AS trunc_week,
     CAST(CAST(CAST(ts AS DATE) + INTERVAL 2 MONTH AS DATE) AS VARCHAR) AS plus_months, CAST(CAST(CAST(ts AS DATE) + 7 AS DATE) AS VARCHAR) AS plus_week, date_diff('day', DATE '2024-01-10', CAST(ts AS DATE)) AS diff_day,
