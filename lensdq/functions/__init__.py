@@ -1,0 +1 @@
+"""Column-level helpers and fixed value lists."""

@@ -92,3 +92,15 @@ def banded(value: Column, bands: list[tuple[float, str]], otherwise: str) -> Col
         out = F.when(value >= bound, label).otherwise(out)
     return F.when(value.isNotNull(), out)
 
+
+
+def side_by_side(*frames: DataFrame) -> DataFrame:
+    """Several one-row frames as one row, without joining them: each column is taken from the frame that has it."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return stacked.agg(*[F.max(F.col(quoted(c))).alias(c) for c in stacked.columns])
+
+
+def merged_by(key: str, *frames: DataFrame) -> DataFrame:
+    """Small frames with one row per key, merged on it by grouping; columns a key lacks are null."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return stacked.groupBy(key).agg(*[F.max(F.col(quoted(c))).alias(c) for c in stacked.columns if c != key])

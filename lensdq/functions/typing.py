@@ -58,10 +58,9 @@ def kind_facts(df: DataFrame) -> DataFrame:
         rows,
         "column_name string, ordinal int, kind string, is_integer boolean, date_named boolean, id_named boolean",
     )
-    total = df.agg(F.count(F.lit(1)).alias("row_count")).withColumn("k", F.lit(0))
     # Schema rows against per-column facts: both sides are one row per column.
-    joined = meta.join(F.broadcast(facts), "column_name", "left").withColumn("k", F.lit(0))
-    return joined.join(F.broadcast(total), "k").drop("k").na.fill(0)
+    joined = meta.join(F.broadcast(facts), "column_name", "left")
+    return joined.withColumn("row_count", df.agg(F.count(F.lit(1))).scalar()).na.fill(0)
 
 
 def semantic_types(df: DataFrame, flavour: str = "analyst") -> DataFrame:

@@ -7,7 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lensdq.functions.columns import as_double, clean, numeric_columns, percent, string_columns, temporal_columns
+from lensdq.functions.columns import (
+    as_double, clean, numeric_columns,
+    percent, side_by_side, string_columns, temporal_columns,
+)
 from lensdq.operators.longform import distinct_stats, full_row_counts, per_column, quantiles, value_counts
 from lensdq.operators.present import concentration
 from lensdq.operators.profile import fences, outside
@@ -29,19 +32,19 @@ def findings(df: DataFrame, source: str) -> DataFrame:
     per = stats.agg(
         F.max("row_count").alias("rows"), F.count_if(nulls > n * 0.5).alias("sparse"), F.count_if((nulls == n) & (n > 0)).alias("empty"),
         F.count_if(F.col("distinct_count") <= 1).alias("flat"), F.round(F.sum(nulls) * 100.0 / F.sum(n), 1).alias("null_pct"),
-    ).withColumn("k", F.lit(0))
-    dups = full_row_counts(df).select("duplicate_rows", F.round(F.col("duplicate_rows") * 100.0 / F.col("row_count"), 1).alias("dup_pct")).withColumn("k", F.lit(0))
+    )
+    dups = full_row_counts(df).select("duplicate_rows", F.round(F.col("duplicate_rows") * 100.0 / F.col("row_count"), 1).alias("dup_pct"))
     limits = {c: f for c, f in (fences(df, numbers) if numbers else {}).items() if f[2] > 0}
     hits = [F.count_if(outside(as_double(df, c), f, 3.0)) for c, f in limits.items()]
-    far = df.agg(*[h.alias(f"h{i}") for i, h in enumerate(hits)], F.lit(0).alias("k"))
+    far = df.agg(F.lit(0).alias("h"), *[h.alias(f"h{i}") for i, h in enumerate(hits)])
     wild = sum((F.when(F.col(f"h{i}") > 0, 1).otherwise(0) for i in range(len(hits))), F.lit(0))
-    far = far.select(wild.alias("wild"), "k")
+    far = far.select(wild.alias("wild"))
     # Mixed: a text column holding both numbers and other text.
     typed = counts.where(F.col("column_name").isin(texts) & F.col("value").isNotNull()).groupBy("column_name").agg(
         (F.sum(F.when(F.col("value").try_cast("double").isNotNull(), F.col("n")).otherwise(0)) / F.sum("n")).alias("share")
     )
-    mixed = typed.agg(F.count_if((F.col("share") > 0) & (F.col("share") < 1)).alias("mixed")).withColumn("k", F.lit(0))
-    row = per.join(dups, "k").join(far, "k").join(mixed, "k")
+    mixed = typed.agg(F.count_if((F.col("share") > 0) & (F.col("share") < 1)).alias("mixed"))
+    row = side_by_side(per, dups, far, mixed)
 
     def check(name: str, category: str, severity: Column, affected: Column) -> Column:
         return F.struct(F.lit(name).alias("check_name"), F.lit(category).alias("category"), severity.alias("severity"), affected.cast("bigint").alias("affected"))

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lensdq.functions.columns import (
-    any_of, as_double, clean, numeric_columns, percent, quoted, string_columns, temporal_columns,
+    any_of, as_double, clean, merged_by, numeric_columns,
+    percent, quoted, side_by_side, string_columns, temporal_columns,
 )
 from lensdq.functions.typing import parsed_timestamp
 from lensdq.functions.wordlists import (
@@ -252,7 +253,7 @@ def timeliness(df: DataFrame, as_of: str) -> DataFrame:
             F.round(F.coalesce(F.max("gap_us"), F.lit(0)) / 1e6, 3).alias("largest_gap_seconds"),
         )
         gap_rows = row if gap_rows is None else gap_rows.unionByName(row)
-    return fresh.join(F.broadcast(gap_rows), "column_name", "left")
+    return merged_by("column_name", fresh, gap_rows)
 
 
 def uniqueness(df: DataFrame) -> DataFrame:
@@ -412,17 +413,17 @@ def scorecard(dimensions: DataFrame, recs: DataFrame, tables: DataFrame) -> Data
     head = means.agg(
         F.round(F.avg("mean_score"), 1).alias("overall_score"),
         *[F.max(F.when(F.col("dimension") == d, F.col("mean_score"))).alias(f"{d}_score") for d in DIMENSION_WEIGHTS],
-    ).withColumn("k", F.lit(0))
+    )
     counted = recs.agg(
         *[F.count(F.when(F.col("priority") == p, 1)).alias(f"{p.lower()}_issues") for p in ("CRITICAL", "HIGH", "MEDIUM", "LOW")],
         F.count(F.when(F.col("auto_fixable"), 1)).alias("auto_fixable_count"),
-    ).withColumn("k", F.lit(0))
+    )
     totals = tables.agg(
         F.count(F.lit(1)).alias("tables_scanned"),
         F.sum("column_count").alias("total_columns"),
         F.sum("row_count").alias("total_rows"),
-    ).withColumn("k", F.lit(0))
-    return head.join(counted, "k").join(totals, "k").drop("k")
+    )
+    return side_by_side(head, counted, totals)
 
 
 def top_recommendations(recs: DataFrame, keys: list[str], n: int = 10) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lensdq.functions.columns import side_by_side
 from lensdq.functions.wordlists import (
     CLOSED_STATES, COST_PARAMETERS, DIMENSION_WEIGHTS, ESCALATION_CHAIN, INCIDENT_OPEN_STATES, OPEN_STATES, SLA_HOURS, TRUST_WEIGHTS,
 )
@@ -284,10 +285,10 @@ def incident_stats(incidents: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total_incidents"), F.count_if(st.isin(INCIDENT_OPEN_STATES)).alias("open"), F.count_if(st == "Resolved").alias("resolved"),
         F.count_if(st == "Closed").alias("closed"), F.round(F.avg(hours), 1).alias("mttr"), F.count_if(done).alias("postmortems_complete"),
         F.count_if((st == "Resolved") & ~done).alias("postmortems_pending"),
-    ).withColumn("k", F.lit(0))
+    )
     causes = incidents.where("root_cause IS NOT NULL").groupBy("root_cause").agg(F.count(F.lit(1)).alias("n"))
-    common = causes.agg(F.max_by("root_cause", F.struct("n", "root_cause")).alias("most_common_root_cause")).withColumn("k", F.lit(0))
-    return totals.join(common, "k").drop("k")
+    common = causes.agg(F.max_by("root_cause", F.struct("n", "root_cause")).alias("most_common_root_cause"))
+    return side_by_side(totals, common)
 
 
 def incidents_by_severity(incidents: DataFrame) -> DataFrame:
@@ -300,6 +301,6 @@ def session_summary(sizes: DataFrame, relationships: DataFrame) -> DataFrame:
     a = sizes.agg(
         F.count(F.lit(1)).alias("table_count"), F.sum("row_count").alias("total_rows"), F.sum("column_count").alias("total_columns"),
         F.max_by("table_name", F.struct("row_count", "table_name")).alias("primary_table"),
-    ).withColumn("k", F.lit(0))
-    b = relationships.agg(F.count(F.lit(1)).alias("relationship_count")).withColumn("k", F.lit(0))
-    return a.join(b, "k").drop("k")
+    )
+    b = relationships.agg(F.count(F.lit(1)).alias("relationship_count"))
+    return side_by_side(a, b)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lensdq.functions.columns import side_by_side
 from lensdq.operators.relate import schema_frame, suffix_foreign_keys
 from lensdq.session import checkpointed
 
@@ -101,9 +102,7 @@ def lineage_stats(nodes: DataFrame, edges: DataFrame, kind: str = "table") -> Da
     covered = chosen.join(ups, "id", "left").join(downs, "id", "left").agg(
         F.count(F.lit(1)).alias("tables_with_lineage"), F.count_if(F.col("up").isNull()).alias("orphan_tables"),
         F.count_if(F.col("up").isNotNull() & F.col("down").isNotNull()).alias("both"),
-    ).withColumn("k", F.lit(0))
-    totals = nodes.agg(F.count(F.lit(1)).alias("total_nodes")).withColumn("k", F.lit(0)).join(
-        edges.agg(F.count(F.lit(1)).alias("total_edges")).withColumn("k", F.lit(0)), "k"
     )
+    totals = side_by_side(nodes.agg(F.count(F.lit(1)).alias("total_nodes")), edges.agg(F.count(F.lit(1)).alias("total_edges")))
     share = F.when(F.col("tables_with_lineage") > 0, F.round(F.col("both") * 100.0 / F.col("tables_with_lineage"), 1)).otherwise(0.0)
-    return totals.join(covered, "k").select("total_nodes", "total_edges", "tables_with_lineage", "orphan_tables", share.alias("coverage_pct"))
+    return side_by_side(totals, covered).select("total_nodes", "total_edges", "tables_with_lineage", "orphan_tables", share.alias("coverage_pct"))

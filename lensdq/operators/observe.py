@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lensdq.functions.columns import as_double, clean, numeric_columns, string_columns
+from lensdq.functions.columns import as_double, clean, numeric_columns, side_by_side, string_columns
 from lensdq.operators.longform import ordered_prefix, per_column, quantiles, top_values, value_counts
 from lensdq.operators.stats import ks_p_value
 
@@ -44,13 +44,13 @@ def worst_severity(col: Column) -> Column:
 
 def volume_anomaly(current: DataFrame, previous_rows: DataFrame, expected: tuple[int, int] | None = None) -> DataFrame:
     """Row count against the previous snapshot (one row, ``row_count``) and an optional expected range."""
-    now = current.agg(F.count(F.lit(1)).alias("current_rows")).withColumn("k", F.lit(0))
-    prev = previous_rows.select(F.col("row_count").alias("previous_rows")).withColumn("k", F.lit(0))
+    now = current.agg(F.count(F.lit(1)).alias("current_rows"))
+    prev = previous_rows.select(F.col("row_count").alias("previous_rows"))
     change = F.when(F.col("previous_rows") > 0, F.round((F.col("current_rows") - F.col("previous_rows")) * 100.0 / F.col("previous_rows"), 1))
     outside = F.lit(False) if expected is None else ~F.col("current_rows").between(*expected)
     size = F.abs("change_pct")
     severity = F.when(outside | (size > 50), "CRITICAL").when(size > 20, "WARN").otherwise("OK")
-    return now.join(prev, "k", "left").withColumn("change_pct", change).select(
+    return side_by_side(now, prev).withColumn("change_pct", change).select(
         "current_rows", "previous_rows", "change_pct", severity.alias("severity"), (severity != "OK").alias("is_anomaly")
     )
 
@@ -148,15 +148,14 @@ def distribution_summary(numeric: DataFrame, categorical: DataFrame) -> DataFram
 
 def observability_report(table_name: str, schema: DataFrame, volume: DataFrame, distribution: DataFrame) -> DataFrame:
     """HEALTHY, WARN or CRITICAL for one table from its three checks."""
-    s = schema.agg(worst_severity(F.col("severity")).alias("schema_severity")).withColumn("k", F.lit(0))
-    v = volume.select(F.col("severity").alias("volume_severity"), "change_pct").withColumn("k", F.lit(0))
-    d = distribution.withColumn("k", F.lit(0))
+    s = schema.agg(worst_severity(F.col("severity")).alias("schema_severity"))
+    v = volume.select(F.col("severity").alias("volume_severity"), "change_pct")
     status = (
         F.when((F.col("schema_severity") == "CRITICAL") | (F.col("volume_severity") == "CRITICAL"), "CRITICAL")
         .when((F.col("schema_severity") == "WARN") | (F.col("volume_severity") == "WARN") | (F.col("drifted_columns") > 0), "WARN")
         .otherwise("HEALTHY")
     )
-    return s.join(v, "k").join(d, "k").select(
+    return side_by_side(s, v, distribution).select(
         F.lit(table_name).alias("table_name"), status.alias("health_status"), "schema_severity", "volume_severity", "change_pct",
         "drifted_columns", "overall_drift_score",
     )

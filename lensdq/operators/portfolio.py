@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lensdq.functions.columns import percent
+from lensdq.functions.columns import percent, side_by_side
 
 # Fixed rates: runs per day, cost per run, hours and rate per duplicate group, capacity per stale item.
 RUNS_PER_DAY = {"4x daily": 4, "2x daily": 2, "1x daily": 1}
@@ -93,12 +93,11 @@ def workspace_health(derived: DataFrame) -> DataFrame:
 
 def cost_impact(derived: DataFrame) -> DataFrame:
     """Four cost components and their total."""
-    k = F.lit(0).alias("k")
-    waste = wasted_refreshes(derived).agg(F.coalesce(F.sum("annual_cost"), F.lit(0.0)).alias("waste")).select("waste", k)
-    groups = duplicate_groups(derived).agg(F.count(F.lit(1)).alias("g")).select("g", k)
-    stale = derived.agg(F.count_if(F.col("days_since_viewed") > 90).alias("z")).select("z", k)
+    waste = wasted_refreshes(derived).agg(F.coalesce(F.sum("annual_cost"), F.lit(0.0)).alias("waste"))
+    groups = duplicate_groups(derived).agg(F.count(F.lit(1)).alias("g"))
+    stale = derived.agg(F.count_if(F.col("days_since_viewed") > 90).alias("z"))
     search = SEARCH_HOURS_PER_DAY * HOURLY_RATE * ANALYSTS * WORK_DAYS
-    parts = waste.join(groups, "k").join(stale, "k").select(
+    parts = side_by_side(waste, groups, stale).select(
         F.round("waste", 2).alias("zombie_refresh_waste"), (F.col("g") * float(DUPLICATE_HOURS * HOURLY_RATE)).alias("duplicate_maintenance"),
         F.lit(search).alias("analyst_search_time"), F.round(F.col("z") * (CAPACITY_PER_MONTH * 12), 2).alias("premium_capacity_waste"),
     )
@@ -123,8 +122,8 @@ def actions(derived: DataFrame) -> DataFrame:
 def retirement_plan(derived: DataFrame) -> DataFrame:
     """Three phases: over a year stale, half a year to a year stale, members of duplicate groups."""
     stale = F.col("days_since_viewed")
-    row = derived.agg(F.count_if(stale > 365).alias("p1"), F.count_if((stale > 180) & (stale <= 365)).alias("p2")).withColumn("k", F.lit(0))
-    dup = duplicate_groups(derived).agg(F.coalesce(F.sum("members"), F.lit(0)).alias("p3")).withColumn("k", F.lit(0))
+    row = derived.agg(F.count_if(stale > 365).alias("p1"), F.count_if((stale > 180) & (stale <= 365)).alias("p2"))
+    dup = duplicate_groups(derived).agg(F.coalesce(F.sum("members"), F.lit(0)).alias("p3"))
     phases = F.array(*[F.struct(F.lit(f"phase_{i}").alias("phase"), F.lit(w).alias("timeline"), F.col(f"p{i}").alias("n"))
                        for i, w in ((1, "this week"), (2, "30 days"), (3, "60 days"))])
-    return row.join(dup, "k").select(F.explode(phases).alias("s")).select("s.*")
+    return side_by_side(row, dup).select(F.explode(phases).alias("s")).select("s.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lensdq.functions.columns import all_of, as_double, as_text, percent, quoted, temporal_columns
+from lensdq.functions.columns import all_of, as_double, as_text, percent, quoted, side_by_side, temporal_columns
 from lensdq.functions.typing import semantic_types
 
 ALL = "__ALL__"
@@ -116,14 +116,14 @@ def time_aggregate(df: DataFrame, ts: str, measure: str, agg: str = "sum", grain
 def concentration(df: DataFrame, key: str, measure: str) -> DataFrame:
     """Share of the top 1, 3 and 5 groups in the total."""
     groups = df.where(F.col(quoted(key)).isNotNull()).groupBy(as_text(df, key).alias("x")).agg(F.sum(as_double(df, measure)).alias("y"))
-    total = groups.agg(F.sum("y").alias("total"), F.count(F.lit(1)).alias("group_count")).withColumn("k", F.lit(0))
+    total = groups.agg(F.sum("y").alias("total"), F.count(F.lit(1)).alias("group_count"))
     top = groups.orderBy(F.col("y").desc(), "x").limit(5)
     ranked = top.withColumn("rk", F.row_number().over(Window.orderBy(F.col("y").desc(), "x")))
     best = ranked.agg(
         F.max(F.when(F.col("rk") == 1, F.col("x"))).alias("top_value"),
         *[F.sum(F.when(F.col("rk") <= n, F.col("y"))).alias(f"s{n}") for n in (1, 3, 5)],
-    ).withColumn("k", F.lit(0))
-    return best.join(total, "k").select(
+    )
+    return side_by_side(best, total).select(
         F.lit(key).alias("dimension"), "top_value", "group_count",
         *[percent(F.col(f"s{n}"), F.col("total"), 2).alias(f"top{n}_pct") for n in (1, 3, 5)],
     )

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lensdq.functions.columns import (
-    any_of, as_double, as_text, clean, is_numeric, numeric_columns, percent, quoted, string_columns,
-    temporal_columns, type_label,
+    any_of, as_double, as_text, clean, is_numeric, numeric_columns,
+    percent, quoted, side_by_side, string_columns, temporal_columns, type_label,
 )
 from lensdq.functions.typing import semantic_types
 from lensdq.functions.wordlists import DIMENSION_HINTS, KPI_HINTS
@@ -218,13 +218,7 @@ def datetime_profile(df: DataFrame, columns: list[str] | None = None) -> DataFra
             (F.stddev_samp("n") / F.avg("n")).alias("month_cv")
         )
         bounds = by_stamp.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
-        # Four one-row summaries side by side.
-        row = (
-            bounds.select("*", F.lit(0).alias("k"))
-            .join(median.select("*", F.lit(0).alias("k")), "k")
-            .join(widest.select("*", F.lit(0).alias("k")), "k")
-            .join(months.select("*", F.lit(0).alias("k")), "k")
-        )
+        row = side_by_side(bounds, median, widest, months)
         days = F.floor((F.unix_micros("hi") - F.unix_micros("lo")) / F.lit(86_400_000_000))
         large = F.coalesce(F.col("max_gap_us") > F.col("median_gap_us") * 5, F.lit(False))
         row = row.select(
@@ -256,14 +250,14 @@ def quality_summary(df: DataFrame) -> DataFrame:
         names(F.col("null_count") > 0).alias("columns_with_nulls"),
         names(F.col("distinct_count") <= 1).alias("constant_columns"),
         names(F.col("column_name").isin(texts) & (F.col("distinct_count") > 100)).alias("high_cardinality_text"),
-    ).withColumn("k", F.lit(0))
-    dups = full_row_counts(df).withColumn("k", F.lit(0))
-    return per.join(dups, "k").select(
+    )
+    dups = full_row_counts(df)
+    return side_by_side(per, dups.withColumnRenamed("row_count", "rows")).select(
         "total_cells",
         "total_nulls",
         percent(F.col("total_nulls"), F.col("total_cells"), 1).alias("total_null_pct"),
         "duplicate_rows",
-        percent(F.col("duplicate_rows"), F.col("row_count"), 1).alias("duplicate_row_pct"),
+        percent(F.col("duplicate_rows"), F.col("rows"), 1).alias("duplicate_row_pct"),
         "columns_with_nulls",
         "constant_columns",
         "high_cardinality_text",

@@ -8,7 +8,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lensdq.functions.columns import as_text, percent, quoted
+from lensdq.functions.columns import as_text, percent, quoted, side_by_side
 from lensdq.functions.similarity import RATIOS, normalised_name, token_sorted
 from lensdq.functions.wordlists import ABBREVIATIONS, ID_ENDING, KEY_SUFFIXES, KEY_TOKENS
 from lensdq.operators.longform import distinct_stats, unpivoted, value_counts
@@ -233,10 +233,10 @@ def schema_health(tables: dict[str, DataFrame], analysis: DataFrame) -> DataFram
             F.greatest(F.count_if(F.col("column_name").rlike("^[a-z_]+$")), F.count_if(F.col("column_name").rlike("^[a-z]+[A-Z]")))
             * 100.0 / F.count(F.lit(1)), 1,
         ).alias("naming_consistency"),
-    ).withColumn("k", F.lit(0))
-    orphans = analysis.agg(F.count_if((F.col("from_orphans") > 0) | (F.col("to_orphans") > 0)).alias("orphan_links")).withColumn("k", F.lit(0))
+    )
+    orphans = analysis.agg(F.count_if((F.col("from_orphans") > 0) | (F.col("to_orphans") > 0)).alias("orphan_links"))
     clean = F.when(F.col("orphan_links") == 0, 100).otherwise(60)
-    return naming.join(orphans, "k").select(
+    return side_by_side(naming, orphans).select(
         "naming_consistency", "orphan_links", F.round((F.col("naming_consistency") + clean) / 2, 1).alias("schema_health")
     )
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lensdq.functions.columns import as_double, as_text, is_numeric, numeric_columns, percent, quoted
+from lensdq.functions.columns import as_double, as_text, is_numeric, numeric_columns, percent, quoted, side_by_side
 from lensdq.operators.longform import chunked, ordered_prefix, unpivoted
 
 SHARE_FLOOR = 1e-6
@@ -98,9 +98,9 @@ def spc_report(points: DataFrame, order: list[str], value: str, usl: float | Non
     """Limits with the number of violations and whether the process is stable (no point beyond control limits)."""
     v = spc_violations(points, order, value).agg(
         F.count(F.lit(1)).alias("violation_count"), F.count_if(F.col("rule") == 1).alias("beyond")
-    ).withColumn("k", F.lit(0))
-    limits = spc_limits(points, value, usl, lsl).withColumn("k", F.lit(0))
-    return limits.join(v, "k").select(
+    )
+    limits = spc_limits(points, value, usl, lsl)
+    return side_by_side(limits, v).where("n IS NOT NULL").select(
         "n", *[F.round(c, 4).alias(c) for c in ("mean", "std", "ucl", "lcl", "uwl", "lwl", "cpk")],
         F.round(F.col("cpk") * 3, 4).alias("sigma_level"), "violation_count", (F.col("beyond") == 0).alias("process_stable"),
     )

@@ -1,0 +1 @@
+"""Results that combine several operators."""

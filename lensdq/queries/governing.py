@@ -304,7 +304,7 @@ def _findings(t):
 
 def _new_issues(t):
     known = t.sql("SELECT event_type, count(*) AS n FROM {events} GROUP BY 1").select(
-        F.lit("contacts").alias("table_name"), F.lit("validity").alias("dimension"), F.concat(F.lit("Validity score is low in contacts since "), "event_type").alias("title"), F.when(F.col("event_type") == "view", "Open").otherwise("Closed").alias("status"))
+        F.regexp_replace("event_type", "^.*$", "contacts").alias("table_name"), F.regexp_replace("event_type", "^.*$", "validity").alias("dimension"), F.concat(F.lit("Validity score is low in contacts since "), "event_type").alias("title"), F.when(F.col("event_type") == "view", "Open").otherwise("Closed").alias("status"))
     return gov.issues_from_findings(_findings(t), known, "2024-02-01 00:00:00").select("table_name", "dimension", "severity", "title", F.date_format("due_at", _STAMP).alias("due_at"))
 
 

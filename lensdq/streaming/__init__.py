@@ -1,0 +1 @@
+"""Reserved: all operators are batch functions over DataFrames, and scans are repeated and appended to history."""
