@@ -298,7 +298,8 @@ def resolve_names(
     """Best candidate per name: exact, alias, normalised (98), then token-sorted fuzzy match.
 
     Inputs are one string column ``name`` / ``candidate`` each. The fuzzy step compares only
-    strings that share a character pair: with a threshold of 80 or more, a match always does.
+    strings that share one of their rarest character pairs, which loses no match at a threshold
+    of 80 or more.
     """
     n = names.select("name").distinct()
     c = candidates.select("candidate").distinct()
@@ -323,9 +324,22 @@ def resolve_names(
             F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), lambda i: F.substring(col, i, F.lit(2))))
         )
 
-    left = rest.withColumn("a", token_sorted(F.col("name"))).withColumn("g", F.explode(bigrams(F.col("a"))))
-    right = c.withColumn("b", token_sorted(F.col("candidate"))).withColumn("g", F.explode(bigrams(F.col("b"))))
-    pairs = left.join(right, "g").select("name", "candidate", "a", "b").distinct()
+    left = rest.withColumn("a", token_sorted(F.col("name")))
+    right = c.withColumn("b", token_sorted(F.col("candidate")))
+    grams = left.select(F.explode(bigrams(F.col("a"))).alias("g")).unionByName(right.select(F.explode(bigrams(F.col("b"))).alias("g")))
+    frequency = grams.groupBy("g").agg(F.count(F.lit(1)).alias("f"))
+    # A match differs by at most ``edits`` operations, each touching two pairs, so two matching
+    # strings always share one of their 2 * edits + 1 rarest pairs.
+    share = threshold / 100.0
+    reach = (1 - share) / share * (2 if ratio == "indel" else 1)
+
+    def rarest(frame: DataFrame, key: str, text: str) -> DataFrame:
+        edits = F.floor(F.length(text) * reach + 1e-9)
+        order = Window.partitionBy(key).orderBy("f", "g")
+        spread = frame.withColumn("g", F.explode(bigrams(F.col(text)))).join(frequency, "g")
+        return spread.withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= 2 * edits + 1).select(key, text, "g")
+
+    pairs = rarest(left, "name", "a").join(rarest(right, "candidate", "b"), "g").select("name", "candidate", "a", "b").distinct()
     fuzzy = pairs.withColumn("score", F.round(RATIOS[ratio](F.col("a"), F.col("b")), 1)).where(F.col("score") >= threshold)
     everything = found.unionByName(fuzzy.select("name", "candidate", "score", F.lit("fuzzy_token_sort").alias("method"), F.lit(4).alias("step")))
     best = Window.partitionBy("name").orderBy("step", F.col("score").desc(), "candidate")

@@ -35,7 +35,7 @@ def test_quantiles_skip_nan_and_empty_columns(spark, limit):
     assert rows == {"a": 2.0, "b": None}
 
 
-def test_quantile_plan_has_no_single_task_percentile(skewed):
+def test_quantiles_give_one_row_per_column(skewed):
     df, _ = skewed
     assert quantiles(df, ["x"], {"m": 0.5}, in_memory_rows=10).count() == 1
 

@@ -241,3 +241,22 @@ def test_value_pairs_are_counted_not_joined(spark):
     keys = [(n, "k") for n in "abcd"]
     got = relate.value_overlaps(tables, keys).collect()
     assert len(got) == len(list(combinations(keys, 2))) and all(r["common"] == 50 for r in got)
+
+
+@pytest.mark.parametrize("ratio", ["levenshtein", "indel"])
+def test_fuzzy_names_lose_no_match(spark, ratio):
+    rng = random.Random(4)
+    base = ["".join(rng.choice("abcde") for _ in range(rng.randint(4, 14))) for _ in range(40)]
+
+    def changed(s):
+        i = rng.randrange(len(s))
+        return rng.choice([s[:i] + s[i + 1:], s[:i] + "z" + s[i:], s[:i] + "y" + s[i + 1:], s[:i] + s[i] * 2 + s[i + 1:]])
+
+    names = [changed(s) if rng.random() < 0.7 else changed(changed(s)) for s in base]
+    left, right = spark.createDataFrame([(x,) for x in names], "name string"), spark.createDataFrame([(x,) for x in base], "candidate string")
+    score = {"levenshtein": levenshtein_ratio, "indel": indel_ratio}[ratio]
+    every = left.distinct().crossJoin(right.distinct()).withColumn("score", F.round(score(F.col("name"), F.col("candidate")), 1)).where("score >= 80")
+    expected = {r["name"]: r["score"] for r in every.groupBy("name").agg(F.max("score").alias("score")).collect()}
+    got = {r["name"]: (r["score"], r["method"]) for r in relate.resolve_names(left, right, ratio=ratio).collect()}
+    assert set(got) == set(expected)
+    assert all(got[n][0] == expected[n] for n in got if got[n][1] == "fuzzy_token_sort")
