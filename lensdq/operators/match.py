@@ -60,30 +60,32 @@ def resolution_summary(pairs: DataFrame, total_records: int) -> DataFrame:
     )
 
 
-def clusters(pairs: DataFrame, a: str = "id_a", b: str = "id_b", max_rounds: int = 60) -> DataFrame:
-    """Connected components (id, cluster_id = smallest id) by label passing with label jumping.
+def clusters(pairs: DataFrame, a: str = "id_a", b: str = "id_b") -> DataFrame:
+    """Connected components (id, cluster_id = smallest id) of links, by alternating large and small stars.
 
-    Every round is checkpointed; the loop ends when no label changes. A hub with very many
-    partners only ever contributes minima, which combine before the shuffle.
+    A large star hangs the greater neighbours of a record on its smallest neighbour, a small star
+    the smaller ones; the links become one star per component after a number of rounds that grows
+    with the square of the logarithm of the longest chain. Every round is checkpointed, and the
+    loop ends when no link moves. Neighbours of a hub are never gathered: its minimum combines
+    before the shuffle and is joined back, which Spark splits when skewed.
     """
-    links = pairs.select(F.col(a).alias("src"), F.col(b).alias("dst"))
-    links = checkpointed(links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    labels = checkpointed(
-        links.groupBy("src").agg(F.min("dst").alias("low")).select(F.col("src").alias("id"), F.least("src", "low").alias("label"))
-    )
-    for _ in range(max_rounds):
-        offered = links.join(labels, links["src"] == labels["id"]).groupBy("dst").agg(F.min("label").alias("offer"))
-        lowered = labels.join(offered, labels["id"] == offered["dst"], "left").select(
-            "id", "label", F.least("label", F.coalesce("offer", "label")).alias("next")
-        )
-        roots = lowered.select(F.col("id").alias("root"), F.col("next").alias("root_label"))
-        jumped = checkpointed(
-            lowered.join(roots, lowered["next"] == roots["root"], "left").select(
-                "id", "label", F.least("next", F.coalesce("root_label", "next")).alias("next")
-            )
-        )
-        moved = jumped.where("next <> label").limit(1).count()
-        labels = jumped.select("id", F.col("next").alias("label"))
-        if not moved:
-            return labels.withColumnRenamed("label", "cluster_id")
-    raise RuntimeError(f"labels still moving after {max_rounds} rounds")
+    high, low = F.greatest(F.col(a), F.col(b)), F.least(F.col(a), F.col(b))
+    known = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    alone = known.where(F.col(a) == F.col(b)).select(F.col(a).alias("u"))
+    links = checkpointed(known.where(F.col(a) != F.col(b)).select(high.alias("u"), low.alias("v")).distinct())
+    print_of = [F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))]
+    mark = links.agg(*print_of).first()
+    while mark[0]:
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        root = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(root, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        links = checkpointed(small.unionByName(root.select("u", F.col("m").alias("v"))).distinct())
+        now = links.agg(*print_of).first()
+        if now == mark:
+            break
+        mark = now
+    members = links.select(F.col("u").alias("id"), F.col("v").alias("cluster_id"))
+    roots = links.select(F.col("v").alias("id"), F.col("v").alias("cluster_id")).unionByName(alone.select(F.col("u").alias("id"), F.col("u").alias("cluster_id")))
+    return members.unionByName(roots.distinct().join(members.select("id"), "id", "left_anti"))
