@@ -96,8 +96,11 @@ def listed_dimensions(df: DataFrame, most: int = 30) -> list[str]:
     return [c for c in texts if c in few]
 
 
-def verified_facts(df: DataFrame, order: list[str] | None = None, measures: int = 6, dimensions: int = 4) -> DataFrame:
-    """(fact, subject, value, text): totals of the first measures, leading categories, trend, size."""
+def verified_facts(df: DataFrame, order: list[str] | None = None, measures: int | None = None, dimensions: int | None = None) -> DataFrame:
+    """(fact, subject, value, text): totals of measures, leading categories, trends, size.
+
+    All measures and listed dimensions unless a number is given; trends need a date column.
+    """
     numbers, labels = numeric_columns(df)[:measures], listed_dimensions(df)[:dimensions]
     q = quantiles(df, numbers, {"median": 0.5})
     m = per_column(df, numbers, {"total": F.sum, "average": F.avg, "minimum": F.min, "maximum": F.max}, read=as_double)
@@ -110,9 +113,9 @@ def verified_facts(df: DataFrame, order: list[str] | None = None, measures: int
         parts.append(top.select(F.lit("top1_pct").alias("fact"), F.lit(c).alias("subject"), F.col("top1_pct").alias("value"), F.col("top_value").alias("text")))
         parts.append(top.select(F.lit("top3_pct").alias("fact"), F.lit(c).alias("subject"), F.col("top3_pct").alias("value"), F.lit("").alias("text")))
     stamps = temporal_columns(df)
-    if stamps and numbers:
-        t = early_late_trend(df, order or [stamps[0]], numbers[0])
-        parts.append(t.select(F.lit("trend").alias("fact"), F.lit(numbers[0]).alias("subject"), F.col("pct_change").alias("value"), F.col("trend").alias("text")))
+    for number in numbers if stamps else ():
+        t = early_late_trend(df, order or [stamps[0]], number)
+        parts.append(t.select(F.lit("trend").alias("fact"), F.lit(number).alias("subject"), F.col("pct_change").alias("value"), F.col("trend").alias("text")))
     size = df.agg(F.count(F.lit(1)).cast("double").alias("value"))
     parts.append(size.select(F.lit("row_count").alias("fact"), F.lit("").alias("subject"), "value", F.lit("").alias("text")))
     return reduce(DataFrame.unionByName, parts)

@@ -131,7 +131,7 @@ def table_facts(df: DataFrame) -> Facts:
         *[F.count(parsed_timestamp(F.col(quoted(c)))).alias(f"t{i}") for i, c in enumerate(texts)],
     ).first()
     usable = {c: i for i, c in enumerate(numbers) if row[f"n{i}"] >= 10}
-    quart = {r["column_name"]: r for r in quantiles(df, usable, {"q25": 0.25, "q75": 0.75}, rows=row["rows"]).collect()}
+    quart = {r["column_name"]: r for r in quantiles(df, usable, {"q25": 0.25, "q75": 0.75}).collect()}
     numeric = {
         c: {"mean": row[f"mean{i}"], "std": row[f"std{i}"], "fence": (quart[c]["q25"], quart[c]["q75"], quart[c]["q75"] - quart[c]["q25"])}
         for c, i in usable.items()

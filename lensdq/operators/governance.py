@@ -60,19 +60,25 @@ def trust_summary(scores: DataFrame) -> DataFrame:
 
 # --- cost of poor quality
 
-def quality_cost(wide: DataFrame, parameters: dict[str, float] | None = None) -> DataFrame:
-    """Annual cost per table and cause from its size and dimension scores (one row per table in)."""
+def quality_cost(wide: DataFrame, parameters: dict[str, float] | None = None, most_violations: int | None = None) -> DataFrame:
+    """Annual cost per table and cause from its size and dimension scores (one row per table in).
+
+    ``most_violations`` is the number of fined rows at which the cost of validity stops growing.
+    """
     p = {**COST_PARAMETERS, **(parameters or {})}
     lack = lambda d: F.coalesce((100 - F.col(d)) / 100, F.lit(0.0))
     whole = lambda c: F.floor(F.round(c, 6))
     rate, rows = p["avg_analyst_hourly_rate"], F.col("row_count")
+    violations = whole(rows * lack("validity"))
+    if most_violations is not None:
+        violations = F.least(violations, F.lit(most_violations))
     monthly = {
         "completeness": whole(rows * lack("completeness")) * p["avg_manual_fix_minutes_per_record"] / 60 * rate,
         "accuracy": whole(p["transactions_per_month"] * lack("accuracy") * 0.001) * p["avg_failed_transaction_cost"]
         + p["avg_rework_hours_per_report"] * rate * p["reports_per_month"] * lack("accuracy"),
         "uniqueness": whole(rows * lack("uniqueness")) * 2 / 60 * rate
         + F.floor(whole(rows * lack("uniqueness")) * 0.01) * p["avg_customer_impact_cost"],
-        "validity": F.least(whole(rows * lack("validity")), F.lit(100)) * p["avg_compliance_fine_per_violation"] / 12,
+        "validity": violations * p["avg_compliance_fine_per_violation"] / 12,
         "timeliness": lack("timeliness") * p["reports_per_month"] * p["avg_rework_hours_per_report"] * rate * 0.5,
     }
     costs = wide.select("table_name", "row_count", *[F.round(c * 12, 2).alias(f"{d}_cost") for d, c in monthly.items()])
@@ -90,9 +96,14 @@ def cost_summary(costs: DataFrame, parameters: dict[str, float] | None = None) -
 
 # --- scan history: (table_name, scanned_at, scan_id, overall_score, dimension scores...)
 
-def append_history(wide: DataFrame, path: str, scanned_at: str) -> None:
-    """Add one row per scanned table; the store is Parquet partitioned by table and never trimmed."""
-    wide.withColumn("scanned_at", F.lit(scanned_at).cast("timestamp")).write.mode("append").partitionBy("table_name").parquet(path)
+def append_history(rows: DataFrame, path: str, scanned_at: str, scan_id: int | None = None) -> None:
+    """Add one row per scanned table; the store is Parquet partitioned by table and never trimmed.
+
+    ``scan_id`` orders scans of the same moment; left out, it is the moment in microseconds.
+    """
+    moment = F.lit(scanned_at).cast("timestamp")
+    number = F.unix_micros(moment) if scan_id is None else F.lit(scan_id).cast("bigint")
+    rows.withColumns({"scanned_at": moment, "scan_id": number}).write.mode("append").partitionBy("table_name").parquet(path)
 
 
 def latest_scans(history: DataFrame) -> DataFrame:
@@ -171,16 +182,16 @@ def due_at(created: Column, severity: Column) -> Column:
 def issues_from_findings(findings: DataFrame, open_issues: DataFrame, created_at: str) -> DataFrame:
     """New issues for serious findings (table_name, dimension, priority, finding) without a similar open one.
 
-    Similar means same table and dimension and the finding's first 50 characters in the title.
+    Similar means same table and dimension and the whole finding in the title, in any letter case.
     """
-    serious = findings.where(F.col("priority").isin("CRITICAL", "HIGH")).withColumn("snippet", F.lower(F.substring("finding", 1, 50)))
+    serious = findings.where(F.col("priority").isin("CRITICAL", "HIGH")).withColumn("snippet", F.lower("finding"))
     known = open_issues.where(~F.col("status").isin(CLOSED_STATES)).select(
         F.col("table_name").alias("o_table"), F.col("dimension").alias("o_dimension"), F.lower("title").alias("o_title")
     )
     same = (F.col("table_name") == F.col("o_table")) & (F.col("dimension") == F.col("o_dimension")) & F.col("o_title").contains(F.col("snippet"))
     created = F.lit(created_at).cast("timestamp")
     return serious.join(known, same, "left_anti").select(
-        "table_name", "dimension", F.col("priority").alias("severity"), F.substring("finding", 1, 100).alias("title"), F.lit("Open").alias("status"),
+        "table_name", "dimension", F.col("priority").alias("severity"), F.col("finding").alias("title"), F.lit("Open").alias("status"),
         created.alias("created_at"), due_at(created, F.col("priority")).alias("due_at"),
     )
 

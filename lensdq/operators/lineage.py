@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,8 +51,8 @@ def build(
     return nodes, edges.distinct()
 
 
-def reachable(edges: DataFrame, start: str, direction: str = "down", depth: int = 3) -> DataFrame:
-    """(id, distance, path) of all nodes within ``depth`` steps, each at its shortest distance.
+def reachable(edges: DataFrame, start: str, direction: str = "down", depth: int | None = 3) -> DataFrame:
+    """(id, distance, path) of all nodes within ``depth`` steps (None: all), each at its shortest distance.
 
     One join per level from the newly reached nodes; known nodes are removed by an anti join,
     so cycles end. Of equally short paths the first in text order is kept.
@@ -61,7 +62,7 @@ def reachable(edges: DataFrame, start: str, direction: str = "down", depth: int
     steps = checkpointed(edges.select(F.col(a).alias("here"), F.col(b).alias("there")).distinct())
     spark = edges.sparkSession
     seen = frontier = checkpointed(spark.createDataFrame([(start, 0, start)], "id string, distance int, path string"))
-    for level in range(1, depth + 1):
+    for level in itertools.count(1) if depth is None else range(1, depth + 1):
         found = (
             steps.join(frontier, steps["here"] == frontier["id"])
             .groupBy("there")
@@ -75,7 +76,7 @@ def reachable(edges: DataFrame, start: str, direction: str = "down", depth: int
     return seen.where(F.col("id") != start)
 
 
-def impact(edges: DataFrame, nodes: DataFrame, start: str, depth: int = 50) -> DataFrame:
+def impact(edges: DataFrame, nodes: DataFrame, start: str, depth: int | None = None) -> DataFrame:
     """Downstream nodes by type and the severity they imply."""
     below = reachable(edges, start, "down", depth).join(nodes, "id", "left")
     kind = F.col("type")

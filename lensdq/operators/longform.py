@@ -7,6 +7,7 @@ ordered passes run on range partitions with carried offsets.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -87,8 +88,15 @@ def top_values(counts: DataFrame, k: int, keep: Iterable[str] = ()) -> DataFrame
 
 
 def full_row_counts(df: DataFrame) -> DataFrame:
-    """(row_count, distinct_rows, duplicate_rows); repeated rows after the first count as duplicates."""
-    grouped = df.groupBy(*[clean(df, c).alias(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("copies"))
+    """(row_count, distinct_rows, duplicate_rows); repeated rows after the first count as duplicates.
+
+    Rows meet by two independent 64-bit hashes of their values and null marks, so the shuffle
+    carries 16 bytes a row whatever the width of the table.
+    """
+    values = [clean(df, c) for c in df.columns]
+    nulls = F.array(*[v.isNull() for v in values])
+    keys = [F.xxhash64(F.lit(seed), nulls, *values) for seed in (1, 2)]
+    grouped = df.groupBy(*[k.alias(f"h{i}") for i, k in enumerate(keys)]).agg(F.count(F.lit(1)).alias("copies"))
     return grouped.agg(
         F.coalesce(F.sum("copies"), F.lit(0)).alias("row_count"),
         F.count(F.lit(1)).alias("distinct_rows"),
@@ -96,104 +104,103 @@ def full_row_counts(df: DataFrame) -> DataFrame:
     )
 
 
-def quantiles(
-    df: DataFrame,
-    columns: Iterable[str],
-    probs: dict[str, float],
-    accuracy: int = 20_000,
-    in_memory_rows: int = 250_000,
-    rows: int | None = None,
-) -> DataFrame:
+#: Rows inside a bracket that are few enough to be ordered.
+BRACKET_ROWS = 20_000
+
+
+def quantiles(df: DataFrame, columns: Iterable[str], probs: dict[str, float], accuracy: int = 10_000, bracket_rows: int = BRACKET_ROWS) -> DataFrame:
     """Exact linear-interpolation quantiles, one local row per column (column_name, <names>).
 
-    Up to ``in_memory_rows`` rows the built-in exact percentile runs, whose per-value map is
-    then bounded. Beyond that a rank sketch (one driver row of numbers) brackets every wanted
-    rank, a scan counts the rows below each bracket, and only the values inside a bracket are
-    grouped and ordered, so no task ever holds a whole column.
+    Every wanted rank gets a pair of marks from a rank sketch. A pass counts the rows below, at
+    and between the marks: the rank is then at a mark, or strictly between two. Where more than
+    ``bracket_rows`` rows lie between, these are sketched again; each time about a thousandth is
+    left, since rows equal to a mark are not among them. A last pass orders the values between
+    the marks. So the passes grow with the logarithm of the rows, and no task orders more than
+    ``bracket_rows`` rows for a rank, whatever the number of rows or how often a value occurs.
     """
     columns = list(columns)
     fields = ", ".join(["column_name string", *[f"{quoted(n)} double" for n in probs]])
     if not columns:
         return df.sparkSession.createDataFrame([], fields)
     typed = df.select(*[as_double(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
-    span = range(len(columns))
-    targets = list(enumerate(probs.values()))
-
-    if (df.count() if rows is None else rows) <= in_memory_rows:
-        points = F.array(*[F.lit(float(p)) for p in probs.values()])
-        row = typed.agg(*[F.percentile(f"c{i}", points).alias(f"q{i}") for i in span]).first()
-        found = [(c, *(row[f"q{i}"] or [None] * len(probs))) for i, c in enumerate(columns)]
-        return df.sparkSession.createDataFrame(found, fields)
-
-    slack = 8.0 / accuracy
-    marks = [min(max(p + s, 0.0), 1.0) for p in probs.values() for s in (-slack, slack)]
-    sketch = typed.agg(
-        *[F.count(f"c{i}").alias(f"n{i}") for i in span],
-        *[F.min(f"c{i}").alias(f"min{i}") for i in span],
-        *[F.max(f"c{i}").alias(f"max{i}") for i in span],
-        *[F.percentile_approx(f"c{i}", marks, accuracy).alias(f"m{i}") for i in span],
-    ).first()
-    brackets = {}
-    for i in span:
-        n = sketch[f"n{i}"]
-        for t, p in targets:
-            if n <= in_memory_rows:
-                lo, hi = sketch[f"min{i}"], sketch[f"max{i}"]
-            else:
-                lo, hi = sketch[f"m{i}"][2 * t], sketch[f"m{i}"][2 * t + 1]
-            if n:
-                brackets[i, t] = (lo, hi, (n - 1) * p)
-    below = typed.agg(
-        *[F.count(F.when(F.col(f"c{i}") < lo, 1)).alias(f"b{i}_{t}") for (i, t), (lo, _, _) in brackets.items()]
-    )
-    ranks = below.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(i).alias("i"), F.lit(t).alias("t"),
-                        F.col(f"b{i}_{t}").alias("skipped"), F.lit(float(pos)).alias("pos"),
-                    )
-                    for (i, t), (_, _, pos) in brackets.items()
-                ]
-            )
-        ).alias("s")
-    ).select("s.*")
-    near = {k: F.col(f"c{k[0]}").between(lo, hi) for k, (lo, hi, _) in brackets.items()}
-    entries = F.array(
-        *[
-            F.struct(F.lit(i).alias("i"), F.lit(t).alias("t"), F.when(cond, F.col(f"c{i}")).alias("v"))
-            for (i, t), cond in near.items()
-        ]
-    )
-    inside = (
-        typed.where(any_of(list(near.values())))
-        .select(F.explode(entries).alias("s"))
-        .select("s.*")
-        .where(F.col("v").isNotNull())
-        .groupBy("i", "t", "v")
-        .agg(F.count(F.lit(1)).alias("c"))
-    )
-    order = Window.partitionBy("i", "t").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    # ``ranks`` has exactly len(columns) * len(probs) rows.
-    ranked = (
-        inside.withColumn("run", F.sum("c").over(order))
-        .join(F.broadcast(ranks), ["i", "t"])
-        .withColumn("upto", F.col("skipped") + F.col("run"))
-        .withColumn("under", F.col("upto") - F.col("c"))
-    )
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("under") <= rank) & (F.col("upto") > rank), F.col("v")))
-
-    lower, upper = F.floor("pos"), F.ceil("pos")
-    picked = ranked.groupBy("i", "t").agg(
-        at(lower).alias("a"), at(upper).alias("z"), F.max(F.col("pos") - lower).alias("frac")
-    )
-    value = F.col("a") + (F.col("z") - F.col("a")) * F.col("frac")
-    cells = {(r["i"], r["t"]): r["q"] for r in picked.select("i", "t", value.alias("q")).collect()}
-    rows_out = [(c, *[cells.get((i, t)) for t, _ in targets]) for i, c in enumerate(columns)]
-    return df.sparkSession.createDataFrame(rows_out, fields)
+    slack = 4.0 / accuracy
+    first = typed.agg(*[
+        x for i in range(len(columns))
+        for x in (F.count(f"c{i}").alias(f"n{i}"), F.percentile_approx(f"c{i}", [m for p in probs.values() for m in _around(p, slack)], accuracy).alias(f"m{i}"))
+    ]).first()
+    sizes = [first[f"n{i}"] for i in range(len(columns))]
+    ranks: dict[tuple[int, int], _Rank] = {}
+    for i, n in enumerate(sizes):
+        for t, p in enumerate(probs.values()) if n else ():
+            for k in {math.floor((n - 1) * p), math.ceil((n - 1) * p)}:
+                ranks.setdefault((i, k), _Rank(n, first[f"m{i}"][2 * t : 2 * t + 2]))
+    searched = dict(ranks)
+    while searched:
+        tried = sorted({(i, *r.marks) for (i, _), r in searched.items()})
+        counts = typed.agg(*[
+            F.count(F.when(c, 1)).alias(f"t{j}_{part}")
+            for j, (i, lo, hi) in enumerate(tried)
+            for part, c in (("below", F.col(f"c{i}") < lo), ("low", F.col(f"c{i}") == lo), ("inside", (F.col(f"c{i}") > lo) & (F.col(f"c{i}") < hi)), ("high", (F.col(f"c{i}") == hi) & F.lit(lo < hi)))
+        ]).first()
+        found = {t: [counts[f"t{j}_{part}"] for part in ("below", "low", "inside", "high")] for j, t in enumerate(tried)}
+        for (i, k), r in searched.items():
+            r.place(k, *found[(i, *r.marks)])
+        searched = {key: r for key, r in searched.items() if r.value is None and (r.missed or r.inside > bracket_rows)}
+        if searched:
+            again = typed.agg(*[
+                F.percentile_approx(F.when(r.between(F.col(f"c{i}")), F.col(f"c{i}")), _around((k - r.before + 0.5) / r.inside, slack * r.widen), accuracy).alias(f"m{j}")
+                for j, ((i, k), r) in enumerate(searched.items())
+            ]).first()
+            for j, r in enumerate(searched.values()):
+                r.marks = again[f"m{j}"]
+
+    open_ = {key: r for key, r in ranks.items() if r.value is None}
+    if open_:
+        entries = F.array_compact(F.array(*[F.when(r.between(F.col(f"c{i}")), F.struct(F.lit(j).alias("j"), F.col(f"c{i}").alias("v"))) for j, ((i, _), r) in enumerate(open_.items())]))
+        inside = typed.where(any_of([r.between(F.col(f"c{i}")) for (i, _), r in open_.items()])).select(F.explode(entries).alias("s")).groupBy("s.j", "s.v").agg(F.count(F.lit(1)).alias("c"))
+        places = df.sparkSession.createDataFrame([(j, k - r.before) for j, ((_, k), r) in enumerate(open_.items())], "j int, place bigint")
+        upto = F.sum("c").over(Window.partitionBy("j").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+        # ``places`` has at most two rows per column and probability.
+        hit = inside.withColumn("upto", upto).join(F.broadcast(places), "j").where((F.col("upto") > F.col("place")) & (F.col("upto") - F.col("c") <= F.col("place")))
+        at = {r["j"]: r["v"] for r in hit.select("j", "v").collect()}
+        for j, r in enumerate(open_.values()):
+            r.value = at[j]
+
+    def cell(i: int, p: float) -> float | None:
+        if not sizes[i]:
+            return None
+        pos = (sizes[i] - 1) * p
+        low, high = ranks[i, math.floor(pos)].value, ranks[i, math.ceil(pos)].value
+        return low + (high - low) * (pos - math.floor(pos))
+
+    return df.sparkSession.createDataFrame([(c, *[cell(i, p) for p in probs.values()]) for i, c in enumerate(columns)], fields)
+
+
+def _around(p: float, slack: float) -> list[float]:
+    return [min(max(p - slack, 0.0), 1.0), min(max(p + slack, 0.0), 1.0)]
+
+
+class _Rank:
+    """One wanted rank: the open interval that holds it, the rows before and inside it, the marks to try next."""
+
+    def __init__(self, rows: int, marks: list[float]):
+        self.marks, self.bounds, self.before, self.inside = marks, None, 0, rows
+        self.value, self.missed, self.widen = None, False, 1.0
+
+    def between(self, value: Column) -> Column:
+        return value.isNotNull() if self.bounds is None else (value > self.bounds[0]) & (value < self.bounds[1])
+
+    def place(self, rank: int, below: int, low: int, inside: int, high: int) -> None:
+        """Where the rank lies by the counts at the marks; outside of them, wider marks are tried."""
+        self.missed = not below <= rank < below + low + inside + high
+        if self.missed:
+            self.widen *= 8
+        elif rank < below + low:
+            self.value = self.marks[0]
+        elif rank >= below + low + inside:
+            self.value = self.marks[1]
+        else:
+            self.bounds, self.before, self.inside, self.widen = tuple(self.marks), below + low, inside, 1.0
 
 
 def ordered_prefix(df: DataFrame, order: list[Column], sums: dict[str, Column] | None = None) -> DataFrame:

@@ -11,6 +11,10 @@ from lensdq.operators.longform import chunked, ordered_prefix
 from lensdq.session import checkpointed
 
 
+#: Links up to this number have their minima broadcast, more are joined by shuffle.
+FEW_LINKS = 100_000
+
+
 def duplicate_pairs(
     df: DataFrame, record_id: str, keys: list[str], threshold: float = 85.0, reach: int = 9, ratio: str = "levenshtein",
     chunk: int = 50_000,
@@ -76,11 +80,13 @@ def clusters(pairs: DataFrame, a: str = "id_a", b: str = "id_b") -> DataFrame:
     print_of = [F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))]
     mark = links.agg(*print_of).first()
     while mark[0]:
+        # Minima have at most one row per record, that is two per link.
+        small_side = F.broadcast if mark[0] <= FEW_LINKS else lambda frame: frame
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(small_side(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         root = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(root, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(small_side(root), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         links = checkpointed(small.unionByName(root.select("u", F.col("m").alias("v"))).distinct())
         now = links.agg(*print_of).first()
         if now == mark:

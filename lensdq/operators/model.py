@@ -70,14 +70,18 @@ def date_dimension(spark: SparkSession, first: str, last: str) -> DataFrame:
 
 
 def row_hash(df: DataFrame, columns: list[str]) -> Column:
-    return F.md5(F.concat_ws("|", *[F.coalesce(as_text(df, c), F.lit("")) for c in columns]))
+    """MD5 over the values, each led by its length, null as a dash: no two different rows read alike."""
+    def tagged(value: Column) -> Column:
+        return F.when(value.isNull(), "-").otherwise(F.concat(F.length(value).cast("string"), F.lit(":"), value))
+
+    return F.md5(F.concat(F.lit(""), *[tagged(as_text(df, c)) for c in columns]))
 
 
 def scd2_apply(current: DataFrame, incoming: DataFrame, key: str, attributes: list[str], effective: str) -> DataFrame:
     """Type 2 history after one load: unchanged rows stay, changed and vanished ones expire, new versions start.
 
     ``current`` has key, attributes, effective_date, expiry_date, is_current. Keys meet in one
-    full outer join; each pair then yields its one or two result rows.
+    full outer join, a null key with a null key; each pair then yields its one or two result rows.
     """
     cols = [key, *attributes]
     live, closed = current.where("is_current"), current.where("NOT is_current")
@@ -99,7 +103,7 @@ def scd2_apply(current: DataFrame, incoming: DataFrame, key: str, attributes: li
             F.when(new & ~F.coalesce(old & same, F.lit(False)), version("n", start, high, True)),
         )
     )
-    merged = c.join(n, F.col(f"c_{key}") == F.col(f"n_{key}"), "full").select(F.explode(versions).alias("v")).select("v.*")
+    merged = c.join(n, F.col(f"c_{key}").eqNullSafe(F.col(f"n_{key}")), "full").select(F.explode(versions).alias("v")).select("v.*")
     return closed.select(*cols, "effective_date", "expiry_date", "is_current").unionByName(merged)
 
 
@@ -111,10 +115,10 @@ def hub_load(df: DataFrame, key: str, source: str, load_date: str, existing: Dat
     return keys if existing is None else keys.join(existing.select("hash_key"), "hash_key", "left_anti")
 
 
-def descriptors(df: DataFrame, key: str, most: int = 8) -> list[str]:
-    """Up to ``most`` non-temporal columns besides the key."""
+def descriptors(df: DataFrame, key: str) -> list[str]:
+    """All non-temporal columns besides the key."""
     stamps = set(temporal_columns(df))
-    return [c for c in df.columns if c != key and c not in stamps][:most]
+    return [c for c in df.columns if c != key and c not in stamps]
 
 
 def satellite_load(df: DataFrame, key: str, source: str, load_date: str, existing: DataFrame | None = None) -> DataFrame:

@@ -64,10 +64,25 @@ def numeric_baseline(df: DataFrame, columns: list[str] | None = None) -> DataFra
     )
 
 
-def categorical_baseline(df: DataFrame, columns: list[str] | None = None, k: int = 20) -> DataFrame:
-    """Top values per text column; the first is the dominant category."""
+def categorical_baseline(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(column_name, value, n, is_dominant): every value of the text columns; the most frequent one dominates."""
     columns = columns if columns is not None else string_columns(df)
-    return top_values(value_counts(df, columns), k).select("column_name", "rank", "value", "n", (F.col("rank") == 1).alias("is_dominant"))
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column_name string, value string, n bigint, is_dominant boolean")
+    counts = value_counts(df, columns).where("value IS NOT NULL")
+    # One row per column.
+    return counts.join(F.broadcast(_dominant(counts)), "column_name").select("column_name", "value", "n", (F.col("value") == F.col("dominant")).alias("is_dominant"))
+
+
+def _dominant(counts: DataFrame) -> DataFrame:
+    """(column_name, dominant): the most frequent value, of equals the first in text order."""
+    best = F.min(F.struct((-F.col("n")).alias("n"), F.col("value").alias("value")))
+    return counts.groupBy("column_name").agg(best.alias("b")).select("column_name", F.col("b.value").alias("dominant"))
+
+
+def top_categories(baseline: DataFrame, k: int = 20) -> DataFrame:
+    """The first ``k`` values per column of a categorical baseline, for display."""
+    return top_values(baseline.select("column_name", "value", "n"), k).select("column_name", "rank", "value", "n", (F.col("rank") == 1).alias("is_dominant"))
 
 
 def store_baseline(df: DataFrame, path: str, table_name: str, snapshot_ts: str) -> None:
@@ -96,6 +111,8 @@ def ks_normal(df: DataFrame, column: str, mean: float, std: float) -> DataFrame:
     counts = df.where(x.isNotNull()).groupBy(x.alias("v")).agg(F.count(F.lit(1)).alias("c"))
     running = ordered_prefix(counts, [F.col("v")], {"cum": F.col("c")})
     n = running.agg(F.sum("c").alias("n")).first()["n"]
+    if not n:
+        return df.sparkSession.createDataFrame([(column, None, None)], "column_name string, ks_stat double, p_value double")
     model = normal_cdf((F.col("v") - F.lit(mean)) / F.lit(std or 1.0))
     upper = F.abs(F.col("cum") / F.lit(n) - model)
     lower = F.abs((F.col("cum") - F.col("c")) / F.lit(n) - model)
@@ -109,17 +126,21 @@ def numeric_drift(df: DataFrame, baseline: DataFrame) -> DataFrame:
     """KS distance of each current column to the normal law its baseline moments describe."""
     known = {r["column_name"]: (r["mean"], r["std"]) for r in baseline.select("column_name", "mean", "std").collect()}
     parts = [ks_normal(df, c, *known[c]) for c in numeric_columns(df) if c in known and known[c][0] is not None]
+    if not parts:
+        return df.sparkSession.createDataFrame([], "column_name string, ks_stat double, p_value double, drifted boolean, score double")
     out = reduce(DataFrame.unionByName, parts)
-    drifted = F.col("p_value") < 0.05
+    drifted = F.coalesce(F.col("p_value") < 0.05, F.lit(False))
     return out.select("*", drifted.alias("drifted"), F.when(drifted, F.greatest(F.col("p_value") * 100, F.lit(0.0))).otherwise(100.0).alias("score"))
 
 
 def categorical_drift(df: DataFrame, baseline: DataFrame) -> DataFrame:
     """New and removed categories and a changed dominant value per text column with a baseline."""
-    columns = [c for c in string_columns(df)]
+    columns = string_columns(df)
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column_name string, new_categories bigint, removed_categories bigint, dominant_changed boolean, drifted boolean, score double")
     now = value_counts(df, columns).where("value IS NOT NULL")
-    w = Window.partitionBy("column_name").orderBy(F.col("n").desc(), "value")
-    dominant = now.withColumn("rk", F.row_number().over(w)).where("rk = 1").select("column_name", F.col("value").alias("now_dominant"))
+    dominant = _dominant(now).withColumnRenamed("dominant", "now_dominant")
+    here = df.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")
     base = baseline.select("column_name", "value", F.col("is_dominant"))
     known = base.groupBy("column_name").agg(F.max(F.when(F.col("is_dominant"), F.col("value"))).alias("old_dominant"))
     marks = now.select("column_name", "value", F.lit(1).alias("c"), F.lit(0).alias("b")).unionByName(
@@ -129,9 +150,9 @@ def categorical_drift(df: DataFrame, baseline: DataFrame) -> DataFrame:
         F.count_if((F.col("c") == 1) & (F.col("b") == 0)).alias("new_categories"),
         F.count_if((F.col("c") == 0) & (F.col("b") == 1)).alias("removed_categories"),
     )
-    # Both lookups hold one row per column.
-    out = per.join(F.broadcast(known), "column_name").join(F.broadcast(dominant), "column_name")
-    changed = F.col("old_dominant") != F.col("now_dominant")
+    # The lookups hold one row per column. A column whose values are all null now has lost all categories.
+    out = per.join(F.broadcast(known), "column_name").join(F.broadcast(here), "column_name").join(F.broadcast(dominant), "column_name", "left")
+    changed = ~F.col("old_dominant").eqNullSafe(F.col("now_dominant"))
     drifted = (F.col("new_categories") > 0) | (F.col("removed_categories") > 0) | changed
     return out.select(
         "column_name", "new_categories", "removed_categories", changed.alias("dominant_changed"), drifted.alias("drifted"),

@@ -7,8 +7,9 @@ from itertools import chain
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lensdq.functions.columns import as_text, percent, quoted, side_by_side
+from lensdq.functions.columns import as_text, clean, percent, quoted, side_by_side
 from lensdq.functions.similarity import RATIOS, normalised_name, token_sorted
 from lensdq.functions.wordlists import ABBREVIATIONS, ID_ENDING, KEY_SUFFIXES, KEY_TOKENS
 from lensdq.operators.longform import distinct_stats, unpivoted, value_counts
@@ -67,6 +68,16 @@ def name_candidates(schema: DataFrame) -> DataFrame:
     ).toDF("left_table", "right_table", "left_col", "right_col", "match_type", "confidence")
 
 
+def key_text(df: DataFrame, name: str) -> Column:
+    """Text under which key values meet: whole numbers read alike whatever their type."""
+    text = as_text(df, name)
+    if not isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
+        return text
+    value = clean(df, name)
+    whole = (value == F.floor(value)) & (F.abs(value) < 1e15)
+    return F.when(whole, value.cast("bigint").cast("string")).otherwise(text)
+
+
 def key_values(tables: dict[str, DataFrame], keys: list[Key]) -> DataFrame:
     """Distinct (key_id, value) of the listed columns, key_id being the position in ``keys``."""
     parts = []
@@ -74,7 +85,7 @@ def key_values(tables: dict[str, DataFrame], keys: list[Key]) -> DataFrame:
         mine = {c: i for i, (t, c) in enumerate(keys) if t == name}
         if mine:
             ids = F.create_map(*chain.from_iterable((F.lit(c), F.lit(i)) for c, i in mine.items()))
-            long = unpivoted(df, list(mine)).where("value IS NOT NULL")
+            long = unpivoted(df, list(mine), read=key_text).where("value IS NOT NULL")
             parts.append(long.select(ids[F.col("column_name")].alias("key_id"), "value"))
     return reduce(DataFrame.unionByName, parts).distinct()
 
@@ -184,8 +195,8 @@ def auto_join(tables: dict[str, DataFrame], relationships: DataFrame | None = No
 
 def orphan_keys(left: DataFrame, left_col: str, right: DataFrame, right_col: str) -> DataFrame:
     """Distinct values on each side without a partner, reported when below half of that side."""
-    sides = left.select(as_text(left, left_col).alias("value"), F.lit(0).alias("side")).unionByName(
-        right.select(as_text(right, right_col).alias("value"), F.lit(1).alias("side"))
+    sides = left.select(key_text(left, left_col).alias("value"), F.lit(0).alias("side")).unionByName(
+        right.select(key_text(right, right_col).alias("value"), F.lit(1).alias("side"))
     )
     per_value = sides.where("value IS NOT NULL").groupBy("value").agg(
         (F.max(F.when(F.col("side") == 0, 1).otherwise(0)) + F.max(F.when(F.col("side") == 1, 2).otherwise(0))).alias("m")
@@ -299,8 +310,10 @@ def resolve_names(
 
     Inputs are one string column ``name`` / ``candidate`` each. The fuzzy step compares only
     strings that share one of their rarest character pairs, which loses no match at a threshold
-    of 80 or more.
+    of 80 or more; lower thresholds are refused.
     """
+    if threshold < 80:
+        raise ValueError("the candidate search is complete from a threshold of 80 on")
     n = names.select("name").distinct()
     c = candidates.select("candidate").distinct()
     lower_n, lower_c = F.lower(F.trim("name")), F.lower(F.trim("candidate"))

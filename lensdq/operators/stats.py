@@ -178,7 +178,9 @@ def ks_two_sample(reference: DataFrame, ref_col: str, current: DataFrame, cur_co
     )
     counts = sides.where("v IS NOT NULL").groupBy("v").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
     running = ordered_prefix(counts, [F.col("v")], {"cum_r": F.col("r"), "cum_c": F.col("c")})
-    n, m = running.agg(F.sum("r").alias("n"), F.sum("c").alias("m")).first()
+    n, m = (v or 0 for v in running.agg(F.sum("r").alias("n"), F.sum("c").alias("m")).first())
+    if not n or not m:
+        return reference.sparkSession.createDataFrame([(n, m, None, None)], "ref_n bigint, cur_n bigint, ks_stat double, p_value double")
     gap = F.abs(F.col("cum_r") / F.lit(n) - F.col("cum_c") / F.lit(m))
     d = F.col("ks")
     return running.agg(F.max(gap).alias("ks")).select(
@@ -221,36 +223,32 @@ def categorical_psi(reference: DataFrame, current: DataFrame, columns: list[str]
 
 
 def chi_square_p(frame: DataFrame, chi2: str = "chi2", dof: str = "dof") -> DataFrame:
-    """Add ``p_value``: closed sums for the upper tail, even and odd degrees of freedom apart.
+    """Add ``p_value``: sums for the upper tail, even and odd degrees of freedom apart.
 
-    The odd case starts from the complementary error function, here by its rational
-    approximation (absolute error below 1.5e-7).
+    Terms are carried as logarithms, so many degrees of freedom neither overflow nor vanish. The
+    odd case starts from the complementary error function, here by its rational approximation
+    (absolute error below 1.5e-7).
     """
     x, k = F.col(chi2), F.col(dof)
     h = x / 2
-    even = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(F.floor(k / 2) - 1, F.lit(1)).cast("int")),
-        F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s")),
-        lambda a, i: F.struct((a["t"] * h / i).alias("t"), (a["s"] + a["t"] * h / i).alias("s")),
-        lambda a: a["s"],
-    )
+
+    def tail(first_log: Column, terms: Column, shift: float) -> Column:
+        """Sum of ``terms`` terms, the i-th being the one before times h / (i + shift)."""
+        start = F.struct(first_log.alias("log"), F.exp(first_log).alias("sum"))
+        more = F.when(terms > 1, F.sequence(F.lit(1), (terms - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(
+            more, start,
+            lambda a, i: F.struct((a["log"] + F.log(h / (i + shift))).alias("log"), (a["sum"] + F.exp(a["log"] + F.log(h / (i + shift)))).alias("sum")),
+            lambda a: a["sum"],
+        )
+
     t = 1 / (1 + 0.3275911 * F.sqrt(h))
     poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
     erfc = poly * F.exp(-h)
-    odd = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(F.floor((k - 1) / 2), F.lit(1)).cast("int")),
-        F.struct((F.sqrt(h) * 1.1283791670955126).alias("t"), F.lit(0.0).alias("s")),
-        lambda a, i: F.struct((a["t"] * h / (i + 0.5)).alias("t"), (a["s"] + a["t"]).alias("s")),
-        lambda a: a["s"],
-    )
-    p = (
-        F.when(k <= 0, 1.0)
-        .when(k == 1, erfc)
-        .when(k == 2, F.exp(-h))
-        .when(k % 2 == 0, F.exp(-h) * even)
-        .otherwise(erfc + F.exp(-h) * odd)
-    )
-    return frame.withColumn("p_value", F.round(p, 6))
+    even = tail(-h, F.floor(k / 2), 0.0)
+    odd = F.when(k > 1, tail(F.log(F.sqrt(h) * 1.1283791670955126) - h, F.floor((k - 1) / 2), 0.5)).otherwise(0.0)
+    p = F.when((k <= 0) | (x <= 0), 1.0).when(k % 2 == 0, even).otherwise(erfc + odd)
+    return frame.withColumn("p_value", F.round(F.least(p, F.lit(1.0)), 6))
 
 
 def drift_report(reference: DataFrame, current: DataFrame, columns: list[str] | None = None) -> DataFrame:

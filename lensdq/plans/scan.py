@@ -41,6 +41,12 @@ class Scan:
             .join(self.overall(), "table_name")
         )
 
+    def history_rows(self) -> DataFrame:
+        """``wide`` with the status of every dimension (<dimension>_status), as the scan history keeps it."""
+        status = self.dimensions.select("table_name", F.concat(F.col("dimension"), F.lit("_status")).alias("dimension"), "status")
+        names = [f"{d}_status" for d in dim.DIMENSION_WEIGHTS]
+        return self.wide().join(status.groupBy("table_name").pivot("dimension", names).agg(F.max("status")), "table_name")
+
 
 def scan_tables(tables: dict[str, DataFrame], as_of: str, max_flag_length: int = 1) -> Scan:
     """Scan each table with one fused aggregate plus one duplicate-row grouping.

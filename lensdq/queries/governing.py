@@ -46,14 +46,14 @@ _DOMAIN = "CASE " + " ".join(f"WHEN starts_with(lower(column_name), '{p}') THEN
     "WHEN " + " OR ".join(f"contains(lower(column_name), '{x}')" for x in parts) + f" THEN '{d}'" for parts, d in PART_DOMAIN
 ) + " ELSE 'General' END"
 _TERM = "regexp_replace(regexp_replace(column_name, '(?i)^(" + "|".join(PREFIX_DOMAIN) + ")', ''), '[_-]+', ' ', 'g')"
-_GLOSS = f"""gl AS (SELECT table_name, column_name, upper(term[1]) || lower(term[2:]) AS term, domain,
-  CASE WHEN ends_with(column_name, 'date') OR ends_with(column_name, '_dt') THEN 'The date when the ' || lower(term) || ' event occurred.'
-    WHEN ends_with(column_name, 'key') OR ends_with(column_name, '_id') THEN 'Unique identifier for ' || lower(term) || ' records.'
-    WHEN ends_with(column_name, '_amt') OR ends_with(column_name, 'amount') THEN 'Monetary amount for ' || lower(term) || ' in the base currency.'
-    WHEN ends_with(column_name, 'name') THEN 'The name or label for ' || lower(term) || '.'
-    WHEN ends_with(column_name, 'status') THEN 'Current status of ' || lower(term) || ' in the business process.'
-    ELSE CASE WHEN data_type IN ('bigint', 'int', 'double') THEN 'Numeric value representing the ' WHEN data_type = 'timestamp_ntz' THEN 'Date/time value indicating the ' ELSE 'Text value describing the ' END || lower(term)
-      || CASE domain WHEN 'Financial' THEN ' for financial reporting and analysis' WHEN 'Customer' THEN ' associated with customer records' WHEN 'Transaction' THEN ' related to transactions' WHEN 'Operations' THEN ' for operational tracking' ELSE '' END || '.' END AS definition
+_GLOSS = f"""gl AS (SELECT table_name, column_name, distinct_count, valid_values, upper(term[1]) || lower(term[2:]) AS term, domain,
+  CASE WHEN ends_with(column_name, 'date') OR ends_with(column_name, '_dt') THEN 'When ' || lower(term) || ' took place.'
+    WHEN ends_with(column_name, 'key') OR ends_with(column_name, '_id') THEN 'Key that tells one ' || lower(term) || ' from another.'
+    WHEN ends_with(column_name, '_amt') OR ends_with(column_name, 'amount') THEN 'Amount of ' || lower(term) || ' in base currency.'
+    WHEN ends_with(column_name, 'name') THEN 'Name under which ' || lower(term) || ' is shown.'
+    WHEN ends_with(column_name, 'status') THEN 'Stage that ' || lower(term) || ' has reached.'
+    ELSE CASE WHEN data_type IN ('bigint', 'int', 'double') THEN 'Number that gives the ' WHEN data_type = 'timestamp_ntz' THEN 'Point in time of the ' ELSE 'Text that gives the ' END || lower(term)
+      || CASE domain WHEN 'Financial' THEN ' in financial figures' WHEN 'Customer' THEN ' of a customer' WHEN 'Transaction' THEN ' of a transaction' WHEN 'Operations' THEN ' in daily operations' ELSE '' END || '.' END AS definition
   FROM (SELECT *, {_TERM} AS term, {_DOMAIN} AS domain FROM cat))"""
 
 add("g01_catalog", cat, "WITH " + _CAT + " SELECT * FROM cat")
@@ -65,15 +65,15 @@ add(
 add("g03_glossary", lambda t: catalog.glossary(cat(t)), "WITH " + _CAT + ", " + _GLOSS + " SELECT * FROM gl")
 add(
     "g04_catalog_search",
-    lambda t: catalog.search(cat(t), catalog.glossary(cat(t)), "Cust"),
-    "WITH " + _CAT + ", " + _GLOSS + """ SELECT DISTINCT 'table' AS type, table_name AS name, 'table_name' AS match_field FROM cat WHERE contains(table_name, 'cust')
-    UNION SELECT 'column', table_name || '.' || column_name, 'column_name' FROM cat WHERE contains(column_name, 'cust') UNION SELECT 'glossary', term, 'term' FROM gl WHERE contains(lower(term), 'cust')
-    UNION SELECT 'glossary', term, 'definition' FROM gl WHERE contains(lower(definition), 'cust') AND NOT contains(lower(term), 'cust')""",
+    lambda t: catalog.search(cat(t), catalog.glossary(cat(t)), "Er"),
+    "WITH " + _CAT + ", " + _GLOSS + """ SELECT DISTINCT 'table' AS type, table_name AS name, 'table_name' AS match_field FROM cat WHERE contains(table_name, 'er')
+    UNION SELECT 'column', table_name || '.' || column_name, 'column_name' FROM cat WHERE contains(column_name, 'er') UNION SELECT 'column', table_name || '.' || column_name, 'valid_values' FROM cat WHERE contains(lower(valid_values), 'er') UNION SELECT 'glossary', term, 'term' FROM gl WHERE contains(lower(term), 'er')
+    UNION SELECT 'glossary', term, 'definition' FROM gl WHERE contains(lower(definition), 'er') AND NOT contains(lower(term), 'er')""",
 )
 add(
     "g05_catalog_stats",
     lambda t: catalog.catalog_stats(cat(t), catalog.glossary(cat(t))),
-    "WITH " + _CAT + ", " + _GLOSS + """ SELECT CAST(count(DISTINCT table_name) AS BIGINT) AS tables_cataloged, CAST(count(*) AS BIGINT) AS columns_cataloged, (SELECT CAST(count(DISTINCT lower(term)) AS BIGINT) FROM gl) AS glossary_terms,
+    "WITH " + _CAT + ", " + _GLOSS + """ SELECT CAST(count(DISTINCT table_name) AS BIGINT) AS tables_cataloged, CAST(count(*) AS BIGINT) AS columns_cataloged, (SELECT CAST(sum(r) AS BIGINT) FROM (SELECT max(row_count) AS r FROM cat GROUP BY table_name)) AS rows_cataloged, CAST(count(*) FILTER (distinct_count <= 1) AS BIGINT) AS constant_columns, (SELECT CAST(count(DISTINCT lower(term)) AS BIGINT) FROM gl) AS glossary_terms,
     CAST(count(*) FILTER (pii) AS BIGINT) AS pii_columns, CAST(0 AS BIGINT) AS certified_tables, CAST(0 AS BIGINT) AS uncatalogued_columns, 100.0::DOUBLE AS coverage_pct FROM cat""",
 )
 
@@ -215,7 +215,7 @@ def _cost_sql() -> str:
     k AS (SELECT table_name, row_count, round(floor(round(row_count * c, 6)) * 5 / 60 * {_RATE} * 12, 2)::DOUBLE AS completeness_cost,
       round((floor(round(24000000 * a * 0.001, 6)) * 25 + 4 * {_RATE} * 50 * a) * 12, 2)::DOUBLE AS accuracy_cost,
       round((floor(round(row_count * u, 6)) * 2 / 60 * {_RATE} + floor(floor(round(row_count * u, 6)) * 0.01) * 50) * 12, 2)::DOUBLE AS uniqueness_cost,
-      round(least(floor(round(row_count * v, 6)), 100) * 1000, 2)::DOUBLE AS validity_cost, round(t * 50 * 4 * {_RATE} * 0.5 * 12, 2)::DOUBLE AS timeliness_cost FROM l),
+      round(floor(round(row_count * v, 6)) * 1000, 2)::DOUBLE AS validity_cost, round(t * 50 * 4 * {_RATE} * 0.5 * 12, 2)::DOUBLE AS timeliness_cost FROM l),
     costs AS (SELECT *, round(completeness_cost + accuracy_cost + uniqueness_cost + validity_cost + timeliness_cost, 2) AS total_cost FROM k)"""
 
 
@@ -244,6 +244,29 @@ add(
     SELECT o.table_name, day, overall_score, CAST(n AS BIGINT) AS row_count, c.score AS completeness FROM overall o JOIN sz USING (table_name) JOIN dims c ON c.table_name = o.table_name AND c.dimension = 'completeness', (VALUES ('2024-02-01'), ('2024-02-02')) d(day)""",
 )
 _STAMP = "yyyy-MM-dd HH:mm:ss"
+
+
+def _history_chain(t):
+    """Two stored scans, the second with the tables' places changed, read back and compared."""
+    from lensdq.sources.writers import scratch_path
+
+    path, rows = scratch_path(t.spark, "chain"), scan_all(t).history_rows().where("table_name <> 'events'")
+    gov.append_history(rows, path, "2024-02-01 00:00:00")
+    other = F.when(F.col("table_name") == "copied", "contacts").otherwise("copied")
+    gov.append_history(rows.withColumn("table_name", other), path, "2024-02-02 00:00:00")
+    store = t.spark.read.parquet(path)
+    now = gov.latest_scans(store).select("table_name", "scan_id", "completeness_status", "uniqueness_status")
+    return gov.degradation(store).select("table_name", "overall_change", "degraded").join(now, "table_name")
+
+
+add(
+    "g15_stored_scans_compared",
+    _history_chain,
+    _DIMS_CTE.rstrip() + """, sw AS (SELECT * FROM (VALUES ('contacts', 'copied'), ('copied', 'contacts')) s(table_name, other))
+    SELECT sw.table_name, round(b.overall_score - a.overall_score, 2) AS overall_change, round(b.overall_score - a.overall_score, 2) < -5 AS degraded, CAST(1706832000000000 AS BIGINT) AS scan_id,
+    c.status AS completeness_status, u.status AS uniqueness_status FROM sw JOIN overall a ON a.table_name = sw.table_name JOIN overall b ON b.table_name = sw.other
+    JOIN dims c ON c.table_name = sw.other AND c.dimension = 'completeness' JOIN dims u ON u.table_name = sw.other AND u.dimension = 'uniqueness'""",
+)
 add(
     "g16_history_trend",
     lambda t: gov.history_trend(t.history, 30, ["overall_score", "completeness"]).withColumn("scanned_at", F.date_format("scanned_at", _STAMP)),

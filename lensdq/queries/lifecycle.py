@@ -142,7 +142,25 @@ add(
     "k05_satellite_load",
     _satellite,
     """SELECT md5(CAST(c_custkey - 100 AS VARCHAR)) AS hash_key, '2024-01-01' AS load_date, c_name, CAST(c_nationkey AS INTEGER) AS c_nationkey, segment AS c_mktsegment, 'crm' AS record_source,
-    md5(c_name || '|' || c_nationkey || '|' || segment) AS hash_diff FROM {customer_next} WHERE segment = 'CONSTRUCTION'""",
+    md5(length(c_name) || ':' || c_name || length(c_nationkey::VARCHAR) || ':' || c_nationkey || length(segment) || ':' || segment) AS hash_diff FROM {customer_next} WHERE segment = 'CONSTRUCTION'""",
+)
+_WIDE = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "quantity", "price", "discount", "tax", "l_returnflag", "l_linestatus"]
+
+
+def _wide_satellite(t):
+    """Ten descriptors, of which only the last one changes."""
+    rows = t.lineitem.select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("line_key"), "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.col("l_quantity").cast("int").alias("quantity"),
+        F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("price"), F.round(F.col("l_discount") * 100).cast("int").alias("discount"), F.round(F.col("l_tax") * 100).cast("int").alias("tax"), "l_returnflag", "l_linestatus")
+    before = model.satellite_load(rows.withColumn("l_linestatus", F.when(F.col("l_linenumber") != 2, F.col("l_linestatus"))), "line_key", "erp", "2023-01-01")
+    return model.satellite_load(rows, "line_key", "erp", "2024-01-01", before).select("hash_key", *_WIDE, "hash_diff")
+
+
+add(
+    "k05_satellite_wide",
+    _wide_satellite,
+    "SELECT md5(l_orderkey || '-' || l_linenumber) AS hash_key, *, md5(" + " || ".join(f"length({c}::VARCHAR) || ':' || {c}" for c in _WIDE) + """) AS hash_diff FROM (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(l_quantity AS INTEGER) AS quantity,
+    CAST(round(l_extendedprice * 100) AS BIGINT) AS price, CAST(round(l_discount * 100) AS INTEGER) AS discount, CAST(round(l_tax * 100) AS INTEGER) AS tax, l_returnflag, l_linestatus FROM {lineitem} WHERE l_linenumber = 2)""",
 )
 add(
     "k06_sql_types",
@@ -173,9 +191,42 @@ def _trended(t):
     return generate.inject_trend(base, ["d", "id"], ["sales"]).groupBy(F.trunc("d", "month").cast("string").alias("month")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("sales"), 2).alias("avg_sales"))
 
 
-add("n01_generate_rows", _gen_summary)
-add("n02_inject_trend", _trended)
-add("n03_generate_inventory", lambda t: portfolio.zombies(portfolio.derive(generate.generate_inventory(t.orders.select(F.col("o_orderkey").alias("id"))))))
+def _draw(tag: str, row: str = "id") -> str:
+    """The generator's number in [0, 1) as SQL."""
+    return f"(CAST(('0x' || substr(md5({row} || '|{tag}|42'), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE)"
+
+
+def _between(name: str, whole: bool = False) -> str:
+    lo, hi = generate.measure_range(name)
+    return f"CAST(floor({_draw(name)} * {hi - lo + 1} + {lo}) AS BIGINT)" if whole else f"round({_draw(name)} * {hi - lo} + {lo}, 2)"
+
+
+_GENERATED = f"""g AS (SELECT id, (SELECT list(r_name ORDER BY r_name) FROM {{region}})[CAST(floor({_draw("Region")} * (SELECT count(*) FROM {{region}})) AS BIGINT) + 1] AS "Region",
+  {_between("Sales")} AS sales, {_between("Quantity", True)} AS quantity, DATE '2022-06-30' + CAST(floor({_draw("Order Date")} * 730) AS INTEGER) AS d FROM (SELECT o_orderkey AS id FROM {{orders}}))"""
+add("n01_generate_rows", _gen_summary, "WITH " + _GENERATED + """ SELECT "Region", CAST(count(*) AS BIGINT) AS n, round(sum(sales), 2) AS sales, CAST(min(d) AS VARCHAR) AS first, max(quantity) AS most FROM g GROUP BY 1""")
+add(
+    "n02_inject_trend",
+    _trended,
+    "WITH " + _GENERATED + f""", p AS (SELECT d, sales, row_number() OVER (ORDER BY d, id) - 1 AS pos, count(*) OVER () AS n FROM g),
+    s AS (SELECT d, round(sales * (1 + 0.3 * (pos / greatest(n - 1, 1))) * (1 + 0.1 * sin(2 * 3.14159 * pos / greatest(n / 12, 1))) * (0.95 + 0.1 * {_draw("sales", "pos")}), 2) AS v FROM p)
+    SELECT strftime(d, '%Y-%m-01') AS month, CAST(count(*) AS BIGINT) AS n, round(avg(v), 2) AS avg_sales FROM s GROUP BY 1""",
+)
+
+
+def _stale_days() -> str:
+    run, cases = 0.0, []
+    for share, lo, hi in generate.STALENESS:
+        run += share
+        cases.append(f"WHEN {_draw('stale')} < {run + 1e-12!r}::DOUBLE THEN floor({lo} + {_draw('stale_day')} * {hi - lo})")
+    return "CASE " + " ".join(cases) + " END"
+
+
+add(
+    "n03_generate_inventory",
+    lambda t: portfolio.zombies(portfolio.derive(generate.generate_inventory(t.orders.select(F.col("o_orderkey").alias("id"))))),
+    f"""WITH s AS (SELECT {_stale_days()} AS days FROM (SELECT o_orderkey AS id FROM {{orders}}))
+    SELECT over_days, CAST(count(*) FILTER (days > over_days) AS BIGINT) AS n, round(count(*) FILTER (days > over_days) * 100.0 / count(*), 1) AS pct FROM s, (VALUES (90), (180), (365)) o(over_days) GROUP BY 1""",
+)
 
 # --- audit
 def audited(t):

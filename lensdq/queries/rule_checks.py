@@ -192,6 +192,19 @@ add(
     "SELECT c_custkey, concat_ws(',', " + ", ".join(f"CASE WHEN {b} THEN '{r}' END" for r, b in _BAD.items()) + ") AS failed_rules FROM {contacts}",
 )
 
+add(
+    "r17_quarantine_unique_referential",
+    lambda t: rules.quarantine(
+        t.orders,
+        [rules.Rule("one_price", "o_totalprice", "unique"), rules.Rule("known_customer", "o_custkey", "referential", {"reference_table": "buyers", "reference_column": "c_custkey"}),
+         rules.Rule("is_open", "o_orderstatus", "in_list", {"values": ["O", "P"]})],
+        {"buyers": t.customer.where("c_mktsegment <> 'BUILDING'")},
+    ).select("o_orderkey", F.array_join("failed_rules", ",").alias("failed_rules")),
+    """SELECT o_orderkey, concat_ws(',', CASE WHEN count(*) OVER (PARTITION BY o_totalprice) > 1 THEN 'one_price' END,
+    CASE WHEN NOT EXISTS (SELECT 1 FROM {customer} WHERE c_custkey = o_custkey AND c_mktsegment <> 'BUILDING') THEN 'known_customer' END,
+    CASE WHEN o_orderstatus NOT IN ('O', 'P') THEN 'is_open' END) AS failed_rules FROM {orders}""",
+)
+
 add(
     "f01_equality_filter",
     lambda t: present.equality_filter(t.lineitem, {"l_returnflag": "R", "l_linenumber": "3", "l_linestatus": "__ALL__"}).select(

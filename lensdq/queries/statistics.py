@@ -129,14 +129,19 @@ def psi_cat_sql(c: str, ref: str = "ref", cur: str = "cur", rc: str | None = Non
 
 def _cat_psi(t):
     base = t.customer.select(F.col("c_mktsegment").alias("segment"))
-    return stats.chi_square_p(stats.categorical_psi(base, t.customer_next, ["segment"])).drop("p_value")
+    return stats.chi_square_p(stats.categorical_psi(base, t.customer_next, ["segment"]))
 
 
+# Upper tail of the chi-square law; the odd case adds to the complementary error function, which is 0 here.
+_H = "(round(chi2, 4) / 2)"
+_CHI_P = f"""round(CAST(CASE WHEN dof % 2 = 0 THEN list_sum(list_transform(range(0, CAST(dof / 2 AS BIGINT)), lambda i: exp(i * ln({_H}) - {_H} - lgamma(i + 1))))
+  ELSE (CASE WHEN {_H} > 400 THEN 0.0 END) + list_sum(list_transform(range(1, CAST((dof + 1) / 2 AS BIGINT)), lambda i: exp((i - 0.5) * ln({_H}) - {_H} - lgamma(i + 0.5)))) END AS DOUBLE), 6)"""
+
 add(
     "d05_psi_categorical",
     _cat_psi,
     "SELECT column_name, round(psi, 4) AS psi, round(chi2, 4) AS chi2, CAST(dof AS BIGINT) AS dof, CAST(nw AS BIGINT) AS new_categories, CAST(ms AS BIGINT) AS missing_categories, "
-    + _BAND + " FROM (" + psi_cat_sql("segment", "(SELECT c_mktsegment AS segment FROM {customer})", "{customer_next}") + ")",
+    + _CHI_P + " AS p_value, " + _BAND + " FROM (" + psi_cat_sql("segment", "(SELECT c_mktsegment AS segment FROM {customer})", "{customer_next}") + ")",
 )
 
 
@@ -195,13 +200,33 @@ add(
 )
 add(
     "d09_categorical_baseline",
-    lambda t: observe.categorical_baseline(t.customer),
+    lambda t: observe.top_categories(observe.categorical_baseline(t.customer)),
     each(
         ["c_name", "c_mktsegment"],
         """SELECT '@c' AS column_name, rank, value, n, rank = 1 AS is_dominant FROM (SELECT value, n, CAST(row_number() OVER (ORDER BY n DESC, value) AS BIGINT) AS rank
         FROM (SELECT @c AS value, CAST(count(*) AS BIGINT) AS n FROM {customer} GROUP BY 1)) WHERE rank <= 20""",
     ),
 )
+def _stored_baseline(t):
+    """A baseline written, read back and compared with the next snapshot: all values take part."""
+    from lensdq.sources.writers import scratch_path
+
+    path = scratch_path(t.spark, "baseline")
+    observe.store_baseline(t.customer, path, "customer", "2024-01-01")
+    kept = t.spark.read.parquet(f"{path}/categorical").where("table_name = 'customer' AND snapshot_ts = '2024-01-01'")
+    now = t.customer_next.select("c_name", F.col("segment").alias("c_mktsegment"))
+    return observe.categorical_drift(now, kept)
+
+
+_STORED = """SELECT '@b' AS column_name, (SELECT CAST(count(*) AS BIGINT) FROM (SELECT @a FROM {customer_next} EXCEPT SELECT @b FROM {customer})) AS new_categories,
+  (SELECT CAST(count(*) AS BIGINT) FROM (SELECT @b FROM {customer} EXCEPT SELECT @a FROM {customer_next})) AS removed_categories,
+  (SELECT @b FROM {customer} GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) <> (SELECT @a FROM {customer_next} GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS dominant_changed"""
+add(
+    "d09_stored_baseline_drift",
+    _stored_baseline,
+    "SELECT *, new_categories > 0 OR removed_categories > 0 OR dominant_changed AS drifted, CASE WHEN new_categories > 0 OR removed_categories > 0 OR dominant_changed THEN 50.0 ELSE 100.0 END::DOUBLE AS score FROM ("
+    + " UNION ALL ".join(_STORED.replace("@a", a).replace("@b", b) for a, b in (("c_name", "c_name"), ("segment", "c_mktsegment"))) + ")",
+)
 _PHI = "0.5 * (1 + sign({z}) * (1 - (1 / (1 + 0.3275911 * abs({z}) / sqrt(2))) * (0.254829592 + (1 / (1 + 0.3275911 * abs({z}) / sqrt(2))) * (-0.284496736 + (1 / (1 + 0.3275911 * abs({z}) / sqrt(2))) * (1.421413741 + (1 / (1 + 0.3275911 * abs({z}) / sqrt(2))) * (-1.453152027 + (1 / (1 + 0.3275911 * abs({z}) / sqrt(2))) * 1.061405429)))) * exp(-{z} * {z} / 2)))"
 
 

@@ -23,7 +23,7 @@ def skewed(spark):
 def test_quantiles_match_linear_interpolation(skewed, limit):
     df, values = skewed
     probs = {"a": 0.0, "b": 0.1, "c": 0.25, "d": 0.5, "e": 0.77, "f": 1.0}
-    row = quantiles(df, ["x"], probs, in_memory_rows=limit).first()
+    row = quantiles(df, ["x"], probs, bracket_rows=limit).first()
     for name, p in probs.items():
         assert row[name] == pytest.approx(np.quantile(values, p), abs=1e-9)
 
@@ -31,13 +31,13 @@ def test_quantiles_match_linear_interpolation(skewed, limit):
 @pytest.mark.parametrize("limit", [0, 1_000_000])
 def test_quantiles_skip_nan_and_empty_columns(spark, limit):
     df = spark.createDataFrame([(1.0, None), (float("nan"), None), (3.0, None)], "a double, b double")
-    rows = {r["column_name"]: r["m"] for r in quantiles(df, ["a", "b"], {"m": 0.5}, in_memory_rows=limit).collect()}
+    rows = {r["column_name"]: r["m"] for r in quantiles(df, ["a", "b"], {"m": 0.5}, bracket_rows=limit).collect()}
     assert rows == {"a": 2.0, "b": None}
 
 
 def test_quantiles_give_one_row_per_column(skewed):
     df, _ = skewed
-    assert quantiles(df, ["x"], {"m": 0.5}, in_memory_rows=10).count() == 1
+    assert quantiles(df, ["x"], {"m": 0.5}, bracket_rows=10).count() == 1
 
 
 def test_ordered_prefix_positions_and_sums(skewed):
