@@ -117,11 +117,12 @@ def certified_cutoffs(measured: DataFrame, labels: DataFrame, doc_id: str = "doc
         # Above the expected number the bound exceeds the limit anyway.
         return pd.Series([1.0 if a > b * limit else binomial_tail(int(a), int(b), limit) for a, b in zip(k, n, strict=True)])
 
-    cuts = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(i + 1).alias("at"), F.lit(c).alias("cutoff")) for r, cs in RULES.items() for i, c in enumerate(cs)]))
+    # A score that reaches ``least`` of the cutoffs reaches this one, as they descend.
+    cuts = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(i + 1).alias("at"), F.lit(len(cs) - i).alias("least"), F.lit(c).alias("cutoff")) for r, cs in RULES.items() for i, c in enumerate(cs)]))
     grid = per.select("stratum").distinct().select("stratum", cuts.alias("c")).select("stratum", "c.*")
     totals = per.groupBy("stratum", "rule").agg(F.sum("good").alias("n"))
     hit = per.select(F.col("stratum").alias("s"), F.col("rule").alias("r"), "passed", F.col("good").alias("g"), F.col("bad").alias("b"))
-    same = F.col("stratum").eqNullSafe(F.col("s")) & (F.col("rule") == F.col("r")) & (F.col("passed") >= F.col("at"))
+    same = F.col("stratum").eqNullSafe(F.col("s")) & (F.col("rule") == F.col("r")) & (F.col("passed") >= F.col("least"))
     rejected = grid.join(hit, same, "left").groupBy("stratum", "rule", "at", "cutoff").agg(F.coalesce(F.sum("g"), F.lit(0)).alias("k"), F.coalesce(F.sum("b"), F.lit(0)).alias("bad"))
     t = totals.select(F.col("stratum").alias("s2"), F.col("rule").alias("r2"), "n")
     judged = rejected.join(t, F.col("stratum").eqNullSafe(F.col("s2")) & (F.col("rule") == F.col("r2"))).withColumn("tail", tail("k", "n"))
