@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Regulatory requirements: framework, id, severity, data elements, quality dimensions.
+# Fixed values, as results depend on them. Regulatory requirements: framework, id, severity, data elements, quality dimensions.
 REQUIREMENTS = [
     ("BSA/AML", "BSA-001", "CRITICAL", ["customer_name", "date_of_birth", "address", "ssn", "id_number", "id_type"], ["completeness", "accuracy", "validity"]),
     ("BSA/AML", "BSA-002", "CRITICAL", ["transaction_amount", "transaction_date", "customer_name", "customer_id"], ["completeness", "accuracy", "timeliness"]),

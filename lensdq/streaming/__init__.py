@@ -1 +1,5 @@
-"""Reserved: all operators are batch functions over DataFrames, and scans are repeated and appended to history."""
+"""Rule checks on streams: windowed counts that tolerate late rows."""
+
+from lensdq.streaming.rules import windowed_results
+
+__all__ = ["windowed_results"]
