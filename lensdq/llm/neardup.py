@@ -15,10 +15,15 @@ from lensdq.operators.match import clusters
 ROWS_PER_BAND = 5
 SKETCH_WORDS = 8
 SKETCH_BITS = 64 * SKETCH_WORDS
+#: Parity bitmap of a candidate's whole shingle set.
+PARITY_WORDS = 16
+PARITY_BITS = 64 * PARITY_WORDS
 #: Chance that a pair exactly at the threshold shares no band.
 MISS = 1e-7
-#: Node ids up to this number are broadcast (16 bytes each), more are joined by shuffle.
-FEW_NODES = 500_000
+#: Share of the candidate nodes that a round must link for another round of its kind.
+ENOUGH_LINKS = 0.01
+#: Tables of up to this many candidate nodes, about 100 bytes each, are broadcast; more are joined by shuffle.
+FEW_NODES = 200_000
 
 
 def bands_for(percent: int) -> int:
@@ -114,22 +119,26 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             grams = [np.unique(shingle_hashes(_words(v.as_py() or b""), hashes)) for v in batch.column(1).slice(at, 500)]
             offsets = pa.array(np.cumsum([0, *map(len, grams)]), pa.int32())
             keys = pa.array([xxhash.xxh3_128_digest(g.tobytes()) for g in grams], pa.binary())
-            yield pa.record_batch([keys, pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(grams).view(np.int64)))], ["node", "grams"])
+            bits = [np.packbits((np.bincount((g & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1).astype(np.uint8)).view(np.int64) for g in grams]
+            parity = pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1) * PARITY_WORDS, pa.int32()), pa.array(np.concatenate(bits)))
+            yield pa.record_batch([keys, pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(grams).view(np.int64))), parity], ["node", "grams", "parity"])
 
 
-def near_duplicates(df: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str = "text", pair_factor: int = 8) -> DataFrame:
+def near_duplicates(df: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row.
 
     Documents whose sets of five-word shingles (A-Z lowered, white space cut) have a similarity of
     at least ``percent`` are linked; ``component_id`` is the smallest id reachable by links and
     ``kept`` marks it. Equal sets are one node from the start, so copies cost one row each.
 
-    Nodes sharing a MinHash band are candidates. In every bucket the node with most company is
-    compared with all others, then components are formed, and buckets that still hold several
-    components go on with the next such node. Once the open pairs of all buckets are fewer than
-    ``pair_factor`` times their rows they are compared directly. So a group of near copies costs
-    a few comparisons per member, and no pair that shares a band is left out unless its two
-    documents are connected already.
+    Nodes sharing a MinHash band and a class of like size meet in a bucket. In every bucket the
+    node with most company is compared with all others and components are formed, so a group of
+    copies costs one comparison per member; this goes on with the next such node while it links
+    more than ``ENOUGH_LINKS`` of the nodes. In what is still apart, pairs of a bucket whose
+    parity bitmaps differ in no more bits than linked sets can are compared; pairs already tried
+    or already connected are not. Candidates are estimated by odd sketches of their MinHash
+    samples and confirmed on their full sets. The bitmaps never lose a pair: an XOR has at most
+    as many bits as the sets differ in shingles.
 
     A text without words (null, empty, blank) is linked with nothing. Rows that repeat an id keep
     their rows; a null id is never a component's id and its row is kept only if no other row of
@@ -141,68 +150,95 @@ def near_duplicates(df: DataFrame, percent: int = 80, doc_id: str = "doc_id", te
     id_type = docs.schema["doc_id"].dataType.simpleString()
     arrow_id = docs.select("doc_id").limit(0).toArrow().schema.field(0).type
     found = saved(docs.mapInArrow(lambda it: _signatures(it, bands, arrow_id), f"doc_id {id_type}, n_shingles bigint, node binary, bands array<bigint>, sketch array<bigint>"), "signatures")
-    nodes = found.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("low"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
+    nodes = saved(found.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("low"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")), "nodes")
 
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     multi = saved(rows.join(shared, "bucket"), "buckets")
-    scores = multi.groupBy("node").agg(F.sum("size").alias("score"))
-    active = saved(multi.join(scores, "node").select("bucket", "node", "score", F.col("node").alias("component")), "active")
-    few = scores.select("node").count()
-    members = saved(nodes.join(scores, "node").select("node", "low", "n", "sketch"), "members")
+    scores = saved(multi.groupBy("node").agg(F.sum("size").alias("score")), "scores")
+    few = scores.count()
+    if not few:
+        return _with_components(found, nodes.select("node", F.col("low").alias("component_id")), doc_id)
+    # Tables with one row per candidate node are broadcast up to a counted size.
+    per_node = F.broadcast if few <= FEW_NODES else lambda frame: frame
+    members = saved(nodes.join(per_node(scores), "node").select("node", "low", "n", "sketch", "score"), "members")
+    # Linked sizes differ by a factor of 100 / percent at most, so a bucket falls into classes of
+    # that width: a node goes to its own class and the next, and a pair meets where one is at home.
+    home = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / min(percent, 99)) * (1 + 1e-9)))
+    classed = multi.join(per_node(members.select("node", "n", "score")), "node").withColumn("class", home)
     of_members = bounded_join(docs, members.select(F.col("low").alias("doc_id")).distinct(), ["doc_id"], few, FEW_NODES, "left_semi")
-    grams = saved(of_members.mapInArrow(_sets, "node binary, grams array<bigint>").join(members.select("node"), "node", "left_semi").groupBy("node").agg(F.any_value("grams").alias("grams")), "shingles") if few else None
+    hashed = of_members.mapInArrow(_sets, "node binary, grams array<bigint>, parity array<bigint>").join(per_node(members.select("node")), "node", "left_semi")
+    grams = saved(hashed.groupBy("node").agg(F.any_value("grams").alias("grams"), F.any_value("parity").alias("parity")), "shingles")
+    twice = classed.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("up"))
+    keyed = twice.select(F.xxhash64("bucket", F.col("class") + F.col("up")).alias("bucket"), "node", "n", "score", (F.col("up") == 0).alias("home"), F.col("node").alias("component"))
+    active = saved(_open(keyed).join(grams.select("node", "parity"), "node"), "active")
 
     limit = sketch_limit(percent, samples)
 
     def confirmed(pairs: DataFrame, step: int) -> DataFrame:
+        """Linked pairs, as pairs of the components they belong to."""
         a = members.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
         b = members.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-        differing = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(SKETCH_WORDS)), F.lit(0))
-        near = pairs.join(b, "b").join(a, "a").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).where(differing <= limit)
+        near = pairs.join(per_node(b), "b").join(per_node(a), "a").where(_differing("sa", "sb", SKETCH_WORDS) <= limit)
         ga = grams.select(F.col("node").alias("a"), F.col("grams").alias("ga"))
         gb = grams.select(F.col("node").alias("b"), F.col("grams").alias("gb"))
-        both = near.select("a", "b", "na", "nb").join(gb, "b").join(ga, "a").withColumn("common", F.size(F.array_intersect("ga", "gb")))
-        return saved(both.where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b"), f"links{step}")
-
-    links = tried = None
-    step = 0
-    while few:
+        both = near.select("a", "b", "ca", "cb", "na", "nb").join(gb, "b").join(ga, "a").withColumn("common", F.size(F.array_intersect("ga", "gb")))
+        linked = both.where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common")))
+        return saved(linked.select("ca", "cb").distinct(), f"links{step}")
+
+    labels = members.select("node", F.col("node").alias("component"))
+    other = [F.col(c).alias(f"other_{c}") for c in ("node", "n", "home", "component", "parity")]
+    # Sets of the wanted similarity differ in at most this many shingles, and so do their bitmaps.
+    apart = F.floor((F.col("n") + F.col("other_n")) * (100 - percent) / (100 + percent) + 1e-6)
+    alike = (F.col("home") | F.col("other_home")) & (100 * F.least("n", "other_n") >= percent * F.greatest("n", "other_n")) & (_differing("parity", "other_parity", PARITY_WORDS) <= apart)
+    tried, step, last = None, 0, False
+    while not active.isEmpty():
         step += 1
-        open_pairs = (
-            active.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("bucket").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm"))
-            .agg(F.sum(F.col("m") * F.col("m") - F.col("mm")).alias("pairs"), F.sum("m").alias("rows")).first()
-        )
-        if not open_pairs["pairs"]:
-            break
-        last = open_pairs["pairs"] / 2 <= pair_factor * open_pairs["rows"]
         if last:
-            other = active.select("bucket", F.col("node").alias("other"), F.col("component").alias("other_component"))
-            met = active.join(other, "bucket").where("node < other and component <> other_component")
+            met = active.join(active.select("bucket", *other), "bucket").where("node < other_node")
         else:
-            pivots = active.groupBy("bucket").agg(F.max(F.struct("score", "node", "component")).alias("p")).select("bucket", F.col("p.node").alias("other"), F.col("p.component").alias("other_component"))
-            met = active.join(pivots, "bucket").where("node <> other and component <> other_component")
-        pairs = met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+            leaders = active.groupBy("bucket").agg(F.max_by("node", F.struct("score", "node")).alias("node"))
+            pivots = saved(active.join(leaders, ["bucket", "node"], "left_semi"), f"pivots{step}")
+            met = active.join(pivots.select("bucket", *other), "bucket").where("node <> other_node")
+        in_order = F.col("node") < F.col("other_node")
+        one, two = F.struct(F.col("node").alias("n"), F.col("component").alias("c")), F.struct(F.col("other_node").alias("n"), F.col("other_component").alias("c"))
+        found_pairs = met.where("component <> other_component").where(alike).select(F.when(in_order, one).otherwise(two).alias("x"), F.when(in_order, two).otherwise(one).alias("y"))
+        pairs = found_pairs.select(F.col("x.n").alias("a"), F.col("y.n").alias("b"), F.col("x.c").alias("ca"), F.col("y.c").alias("cb")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = saved(pairs, f"pairs{step}")
-        new = confirmed(pairs, step)
-        links = new if links is None else links.unionByName(new)
-        tried = pairs if tried is None else tried.unionByName(pairs)
+        tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
+        links = confirmed(pairs, step)
+        merged = clusters(links, "ca", "cb").select(F.col("id").alias("component"), F.col("cluster_id").alias("into"))
+        labels = saved(_relabelled(labels, per_node(merged)), f"labels{step}")
         if last:
             break
-        joined = clusters(links, "a", "b").select(F.col("id").alias("node"), F.col("cluster_id").alias("joined"))
-        rest = active.join(pivots.select("bucket", F.col("other").alias("node")), ["bucket", "node"], "left_anti")
-        moved = rest.join(joined, "node", "left").select("bucket", "node", "score", F.coalesce("joined", "node").alias("component"))
-        several = moved.groupBy("bucket").agg((F.min("component") < F.max("component")).alias("several")).where("several").select("bucket")
-        active = saved(moved.join(several, "bucket", "left_semi"), f"active{step}")
-
-    if links is None:
-        labels = nodes.select("node", F.col("low").alias("component_id"))
-    else:
-        grouped = clusters(links, "a", "b").select(F.col("id").alias("node"), F.col("cluster_id").alias("root"))
-        rooted = nodes.select("node", "low").join(grouped, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
-        labels = rooted.join(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("node", "component_id")
+        last = links.count() <= few * ENOUGH_LINKS
+        rest = active.join(pivots.select("bucket", "node"), ["bucket", "node"], "left_anti")
+        active = saved(_open(_relabelled(rest, per_node(merged))), f"active{step}")
+
+    rooted = nodes.select("node", "low").join(per_node(labels), "node", "left").select("node", "low", F.coalesce("component", "node").alias("root"))
+    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    return _with_components(found, rooted.join(lowest, "root").select("node", "component_id"), doc_id)
+
+
+def _differing(one: str, two: str, words: int) -> Column:
+    """Population count of the XOR of two bitmaps."""
+    return sum((F.bit_count(F.col(one)[i].bitwiseXOR(F.col(two)[i])) for i in range(words)), F.lit(0))
+
+
+def _open(rows: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold several components."""
+    several = rows.groupBy("bucket").agg((F.min("component") < F.max("component")).alias("several")).where("several").select("bucket")
+    return rows.join(several, "bucket", "left_semi")
+
+
+def _relabelled(rows: DataFrame, merged: DataFrame) -> DataFrame:
+    """``rows`` with their component replaced by the one it went into."""
+    return rows.join(merged, "component", "left").withColumn("component", F.coalesce("into", "component")).select(*rows.columns)
+
+
+def _with_components(found: DataFrame, labels: DataFrame, doc_id: str) -> DataFrame:
     own = found.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"))
     whole = own.join(labels, "node", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return whole.select(F.col("doc_id").alias(doc_id), "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
