@@ -14,6 +14,10 @@ from lensdq.llm.common import saved
 from lensdq.session import read_table
 
 
+#: Ids up to this number, 16 MB, are broadcast rather than shuffled with the texts.
+FEW_IDS = 1_000_000
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep texts in a language the labelled rows teach; ``lang`` becomes the inferred one.
 
@@ -27,7 +31,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
     kept = saved(neardup.near_duplicates(docs, percent=80).where("kept").select(F.col("doc_id").alias("_kept")).distinct(), "kept")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi").select(*docs.columns)
+    side = F.broadcast(kept) if kept.count() <= FEW_IDS else kept
+    return docs.join(side, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
