@@ -289,10 +289,10 @@ def _facts_sql() -> str:
     g = lambda c: f"(SELECT {c} AS x, sum(o_orderkey) AS y FROM {src} GROUP BY 1)"
     tops = " UNION ALL ".join(
         f"SELECT 'top{k}_pct', '{c}', round((SELECT sum(y) FROM (SELECT y FROM {g(c)} ORDER BY y DESC, x LIMIT {k})) * 100.0 / (SELECT sum(y) FROM {g(c)}), 2), " + (f"(SELECT x FROM {g(c)} ORDER BY y DESC, x LIMIT 1)" if k == 1 else "''")
-        for c in ("o_orderpriority", "o_orderstatus", "c_mktsegment", "n_name") for k in (1, 3)
+        for c in ("o_orderpriority", "o_orderstatus", "c_mktsegment", "n_name", "r_name") for k in (1, 3)
     )
-    trend = f"""SELECT 'trend', 'o_orderkey', round((b - a) / abs(a) * 100, 2), CASE WHEN (b - a) / abs(a) * 100 > 5 THEN 'upward' WHEN (b - a) / abs(a) * 100 < -5 THEN 'downward' ELSE 'stable' END FROM (
-      SELECT sum(o_orderkey) FILTER (pos < floor(n * 0.1)) AS a, sum(o_orderkey) FILTER (pos >= n - floor(n * 0.1)) AS b FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS pos, count(*) OVER () AS n FROM {src}))"""
+    trend = " UNION ALL ".join(f"""SELECT 'trend', '{c}', round((b - a) / abs(a) * 100, 2), CASE WHEN (b - a) / abs(a) * 100 > 5 THEN 'upward' WHEN (b - a) / abs(a) * 100 < -5 THEN 'downward' ELSE 'stable' END FROM (
+      SELECT sum({c}) FILTER (pos < floor(n * 0.1)) AS a, sum({c}) FILTER (pos >= n - floor(n * 0.1)) AS b FROM (SELECT {c}, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS pos, count(*) OVER () AS n FROM {src}))""" for c in _FNUM)
     return f"{nums} UNION ALL {tops} UNION ALL {trend} UNION ALL SELECT 'row_count', '', count(*)::DOUBLE, '' FROM {src}"
 
 
