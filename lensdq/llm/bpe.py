@@ -14,7 +14,6 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -98,104 +97,156 @@ def _merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def _numbered(batches: Iterator[pa.RecordBatch], pattern: str, block_chars: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """One row per document (its packed numbers), then the block's dictionary in slices of words."""
+def _packed(values, kind: str) -> bytes:
+    """Whole numbers as byte planes, compressed: small numbers leave planes of zeros."""
+    import numpy as np
+
+    return zlib.compress(np.ascontiguousarray(np.asarray(values, kind)).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T.tobytes(), 1)
+
+
+def _unpacked(raw: bytes, kind: str):
+    import numpy as np
+
+    planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def _numbered(batches: Iterator[pa.RecordBatch], pattern: str, block_chars: int, parts: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """For each block one row with its documents as numbers of pre-tokens, and its dictionary by hash part.
+
+    Numbers follow frequency, 0 the most frequent pre-token of the block.
+    """
     import numpy as np
     import regex
     from pyspark import TaskContext
 
     cut = regex.compile(pattern).findall
     block = TaskContext.get().partitionId() << 32
-    names = ["block", "doc", "packed", "first", "words"]
 
     class Numbers(dict):
         def __missing__(self, token):
             n = self[token] = len(self)
             return n
 
-    numbers, ids, packed, chars = Numbers(), [], [], 0
+    numbers, ids, docs, chars = Numbers(), [], [], 0
+
+    def row(part, docs_, counts, numbers_, words) -> pa.RecordBatch:
+        return pa.record_batch(
+            [pa.array([block], pa.int64()), pa.array([part], pa.int64()), pa.array([docs_], pa.list_(id_type)), pa.array([counts], pa.list_(pa.int32())), pa.array([numbers_], pa.binary()), pa.array([words], pa.binary())],
+            ["block", "part", "docs", "counts", "numbers", "words"],
+        )
 
     def out() -> Iterator[pa.RecordBatch]:
-        n = len(ids)
-        yield pa.record_batch([pa.array([block] * n, pa.int64()), pa.array(ids, id_type), pa.array(packed, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.string()))], names)
-        words = list(numbers)
-        for at in range(0, len(words), 50_000):
-            yield pa.record_batch(
-                [pa.array([block], pa.int64()), pa.nulls(1, id_type), pa.nulls(1, pa.binary()), pa.array([at], pa.int32()), pa.array([words[at : at + 50_000]], pa.list_(pa.string()))], names
-            )
+        first = np.concatenate(docs)
+        place = np.empty(len(numbers), np.uint32)
+        place[np.argsort(-np.bincount(first, minlength=len(numbers)), kind="stable")] = np.arange(len(numbers), dtype=np.uint32)
+        yield row(None, ids, [len(d) for d in docs], _packed(place[first], "<u4"), None)
+        words = [w.encode() for w in numbers]
+        part_of = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % parts
+        order = np.lexsort((place, part_of))
+        edges = np.flatnonzero(np.diff(part_of[order])) + 1
+        for own in np.split(order, edges) if len(order) else ():
+            held = [words[i] for i in own]
+            lengths = _packed([len(w) for w in held], "<u4")
+            steps = _packed(np.diff(place[own].astype(np.int64), prepend=0), "<u4")
+            head = len(lengths).to_bytes(4, "little")
+            yield row(int(part_of[own[0]]), None, None, steps, head + lengths + zlib.compress(b"".join(held), 1))
 
     for batch in batches:
         for doc, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             text = value.as_py() or ""
             tokens = cut(text)
-            codes = np.fromiter(map(numbers.__getitem__, tokens), np.uint32, len(tokens))
             ids.append(doc)
-            packed.append(zlib.compress(codes.tobytes(), 1))
+            docs.append(np.fromiter(map(numbers.__getitem__, tokens), np.uint32, len(tokens)))
             chars += len(text)
             if chars >= block_chars or len(ids) >= 100_000:
                 yield from out()
-                numbers, ids, packed, chars, block = Numbers(), [], [], 0, block + 1
+                numbers, ids, docs, chars, block = Numbers(), [], [], 0, block + 1
     if ids:
         yield from out()
 
 
-def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str = "doc_id", text: str = "text", block_chars: int = 24_000_000) -> DataFrame:
+def _words_of(raw: bytes) -> list[bytes]:
+    import numpy as np
+
+    size = int.from_bytes(raw[:4], "little")
+    ends = np.cumsum(_unpacked(raw[4 : 4 + size], "<u4").astype(np.int64)).tolist()
+    joined, out, at = zlib.decompress(raw[4 + size :]), [], 0
+    for end in ends:
+        out.append(joined[at:end])
+        at = end
+    return out
+
+
+def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str = "doc_id", text: str = "text", block_chars: int = 8_000_000, part_chars: int = 4_000_000) -> DataFrame:
     """(doc_id, ids array<int>) of every row: whole texts, no special tokens.
 
+    Blocks of documents number their distinct pre-tokens; the dictionaries of all blocks are
+    shuffled by hash part of the word, each distinct word of a part is encoded once, and the ids
+    go back to the blocks, where documents are put together by position. Dictionaries and ids
+    travel packed. ``block_chars`` bounds what one task holds at a time (a longer text is a block
+    of its own); there is a part for every ``part_chars`` characters of the corpus, so a part
+    stays as small however many there are.
+
     A null text has no ids, as an empty one. Rows with equal or null ids each keep their row.
-    ``block_chars`` bounds what one task holds at a time; a longer text is a block of its own.
     """
     spark = df.sparkSession
     slim = df.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("text"))
-    kind = slim.schema["doc"].dataType
+    kind = slim.schema["doc"].dataType.simpleString()
     id_type = slim.select("doc").limit(0).toArrow().schema.field(0).type
-    blocks = slim.mapInArrow(lambda it: _numbered(it, pattern, block_chars, id_type), f"block bigint, doc {kind.simpleString()}, packed binary, first int, words array<string>")
-    # Written by block, so that the documents are not shuffled again when their dictionaries come back.
-    table, buckets = f"llm_bpe_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(64, (slim.agg(F.sum(F.length("text"))).first()[0] or 0) // part_chars)
+    blocks = slim.mapInArrow(lambda it: _numbered(it, pattern, block_chars, parts, id_type), f"block bigint, part bigint, docs array<{kind}>, counts array<int>, numbers binary, words binary")
+    # Written by block, so that the documents are not shuffled again when their ids come back.
+    table, buckets = f"llm_bpe_{uuid.uuid4().hex}", min(100_000, int(spark.conf.get("spark.sql.shuffle.partitions")))
     blocks.write.option("compression", "zstd").option("path", scratch_path(spark, "bpe")).bucketBy(buckets, "block").saveAsTable(table)
     written = spark.table(table)
-
-    places = (
-        written.where("words is not null")
-        .select("block", "first", F.posexplode("words").alias("at", "word"))
-        .groupBy("word")
-        .agg(F.collect_list(F.struct("block", (F.col("first") + F.col("at")).alias("code"))).alias("places"))
-    )
     shared = spark.sparkContext.broadcast(ranks)
 
-    @F.pandas_udf("array<int>")
-    def ids_of(words: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = shared.value
-        for batch in words:
-            yield batch.map(lambda w: merge_word(w.encode(), known))
-
-    encoded = places.select("places", ids_of("word").alias("ids")).select(F.explode("places").alias("p"), "ids").select("p.block", "p.code", "ids")
+    def encode_part(rows: pa.Table) -> pa.Table:
+        known, encoded = shared.value, {}
+        sizes, ids = [], []
+        for value in rows["words"]:
+            found = []
+            for word in _words_of(value.as_py()):
+                own = encoded.get(word)
+                if own is None:
+                    own = encoded[word] = merge_word(word, known)
+                found.append(own)
+            sizes.append(_packed([len(f) for f in found], "<u4"))
+            ids.append(_packed([i for f in found for i in f], "<u4"))
+        return pa.table({"block": rows["block"], "numbers": rows["numbers"], "sizes": pa.array(sizes, pa.binary()), "ids": pa.array(ids, pa.binary())})
+
+    encoded = written.where("part is not null").select("block", "part", "numbers", "words").groupBy("part").applyInArrow(encode_part, "block bigint, numbers binary, sizes binary, ids binary")
 
     def assemble(docs: pa.Table, words: pa.Table) -> pa.Table:
         import numpy as np
 
-        words = words.combine_chunks()
-        code = words["code"].to_numpy()
-        lists = words["ids"].combine_chunks()
-        flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
-        sizes = np.zeros(int(code.max()) + 1 if len(code) else 1, np.int64)
-        starts = np.zeros_like(sizes)
-        length = lists.value_lengths().to_numpy()
-        sizes[code], starts[code] = length, np.cumsum(length) - length
-        parts, lengths = [], []
-        for value in docs["packed"]:
-            codes = np.frombuffer(zlib.decompress(value.as_py()), np.uint32)
-            n = sizes[codes]
-            total = int(n.sum())
-            where = np.arange(total) + np.repeat(starts[codes] - (np.cumsum(n) - n), n)
-            parts.append(flat[where])
-            lengths.append(total)
-        offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
-        ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(parts), pa.int32()))
-        return pa.table({"doc": docs["doc"].combine_chunks(), "ids": ids})
-
-    docs = written.where("packed is not null").select("block", "doc", "packed")
-    whole = docs.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(assemble, f"doc {kind.simpleString()}, ids array<int>")
+        numbers, sizes, flat = [], [], []
+        for n, s, i in zip(words["numbers"], words["sizes"], words["ids"], strict=True):
+            numbers.append(np.cumsum(_unpacked(n.as_py(), "<u4").astype(np.int64)))
+            sizes.append(_unpacked(s.as_py(), "<u4").astype(np.int64))
+            flat.append(_unpacked(i.as_py(), "<u4").astype(np.int32))
+        none = np.empty(0, np.int64)
+        number, size, ids = np.concatenate([none, *numbers]), np.concatenate([none, *sizes]), np.concatenate([none.astype(np.int32), *flat])
+        length, start = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
+        length[number], start[number] = size, np.cumsum(size) - size
+        out_docs, lists = [], []
+        for d, counts, packed in zip(docs["docs"], docs["counts"], docs["numbers"], strict=True):
+            tokens = _unpacked(packed.as_py(), "<u4")
+            n = length[tokens]
+            ends = np.concatenate([[0], np.cumsum(n)])
+            whole = np.empty(ends[-1], np.int32)
+            for at in range(0, len(tokens), 500_000):
+                own, m = tokens[at : at + 500_000], n[at : at + 500_000]
+                first, last = ends[at], ends[at + len(own)]
+                whole[first:last] = ids[np.arange(last - first) + np.repeat(start[own] - (ends[at : at + len(own)] - first), m)]
+            edges = ends[np.concatenate([[0], np.cumsum(counts.values.to_numpy())])]
+            lists.append(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(whole)))
+            out_docs.append(d.values)
+        return pa.table({"doc": pa.chunked_array(out_docs), "ids": pa.chunked_array(lists)})
+
+    docs = written.where("part is null").select("block", "docs", "counts", "numbers")
+    whole = docs.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(assemble, f"doc {kind}, ids array<int>")
     return whole.withColumnRenamed("doc", doc_id)
 
 
