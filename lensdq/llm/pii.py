@@ -88,33 +88,36 @@ def base_spans(text: Column) -> Column:
     return F.concat(*lists)
 
 
-def disclosed_terms(found: DataFrame, texts: DataFrame, total: int, reach: int = 80, support: int = 3, generalise: float = 0.8, remove: float = 0.95) -> DataFrame:
+def disclosed_terms(found: DataFrame, texts: DataFrame, total: int, reach: int = 80, support: int = 3, generalise: float = 0.97, remove: float = 0.995) -> DataFrame:
     """(term, disclosure, action): terms near protected values that give one of them away.
 
-    Of every span the words within ``reach`` characters are its context; equal contexts count
-    once, so copies of a document are one piece of evidence. With p(e) the share of contexts
+    Of every span the words within ``reach`` characters are its context. Contexts that agree in
+    the pair of neighbouring words of lowest hash count once, so equal and most nearly equal
+    contexts, as in copies of a document, are one piece of evidence. With p(e) the share of contexts
     holding value e, p(t) the share of documents holding term t and p(t, e) the share of contexts
     of e holding t, disclosure is the pointwise mutual information of t and e divided by the
     information of e, -log p(e): 1 means that the term alone identifies the value, 0 that it says
-    nothing. Terms need ``support`` contexts. From ``generalise`` on they are replaced by a class
+    nothing. Copies of a document do count in p(t), which keeps terms in doubt. Terms need
+    ``support`` contexts. From ``generalise`` on they are replaced by a class
     label, from ``remove`` on they are removed.
     """
     spans = found.select("text", F.explode("spans").alias("s"))
     near = F.concat_ws(" ", F.substring(F.col("text"), F.greatest(F.col("s.start") - reach + 1, F.lit(1)).cast("int"), F.least(F.col("s.start"), F.lit(reach)).cast("int")), F.substring(F.col("text"), (F.col("s.end") + 1).cast("int"), F.lit(reach)))
     held = spans.select(F.concat_ws(":", "s.kind", F.lower("s.hit")).alias("value"), F.lower(near).alias("near"))
-    contexts = saved(held.select("value", F.array_distinct(F.regexp_extract_all("near", F.lit(WORDS), F.lit(0))).alias("terms")).select("value", F.xxhash64(F.array_sort("terms")).alias("context"), "terms").dropDuplicates(["value", "context"]), "contexts")
-    of_value = contexts.groupBy("value").agg(F.count(F.lit(1)).alias("n_value")).where(F.col("n_value") >= support)
-    joint = saved(contexts.select("value", F.explode("terms").alias("term")).groupBy("value", "term").agg(F.count(F.lit(1)).alias("n_joint")).where(F.col("n_joint") >= support).join(of_value, "value"), "joint")
+    terms_of = F.array_distinct(F.regexp_extract_all("near", F.lit(WORDS), F.lit(0)))
+    neighbours = F.zip_with("terms", F.slice("terms", F.lit(2), F.greatest(F.size("terms") - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
+    contexts = saved(held.select("value", terms_of.alias("terms")).select("value", "terms", F.array_min(neighbours).alias("mark")).distinct(), "contexts")
+    of_value = contexts.groupBy("value").agg(F.count_distinct("mark").alias("n_value")).where(F.col("n_value") >= support)
+    pairs = contexts.select("value", "mark", F.explode("terms").alias("term")).distinct()
+    joint = saved(pairs.groupBy("value", "term").agg(F.count(F.lit(1)).alias("n_joint")).where(F.col("n_joint") >= support).join(of_value, "value"), "joint")
     terms = joint.select("term").distinct()
     few = terms.count()
     shape = "term string, disclosure double, action string"
     if not few or total < 2:
         return texts.sparkSession.createDataFrame([], shape)
     held_by = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORDS), F.lit(0)))).alias("term"))
-    if few <= FEW_TERMS:
-        documents = held_by.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    else:
-        documents = held_by.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(terms, "term", "left_semi")
+    counted = held_by.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    documents = bounded_join(counted, terms, ["term"], few, FEW_TERMS)
     own = F.log(F.greatest(F.lit(float(total)) / F.col("n_value"), F.lit(1.000001)))
     mutual = F.log(F.col("n_joint") / F.greatest("n_term", "n_joint")) + own
     scored = joint.join(documents, "term").select("term", (mutual / own).alias("disclosure")).groupBy("term").agg(F.max("disclosure").alias("disclosure"))
