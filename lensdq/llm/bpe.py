@@ -250,53 +250,43 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str = "
     return whole.withColumnRenamed("doc", doc_id)
 
 
-def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", into: str = "decoded") -> DataFrame:
+def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", into: str = "decoded", packed: str | None = None) -> DataFrame:
     """``df`` with the bytes of its ids in ``into``, joined with the token-byte table inside each task.
 
     The table has one row per token, at most ``MOST_TOKENS``. Null ids give null bytes; no ids
-    give no bytes; an id without a token makes the row's bytes null.
+    give no bytes; an id without a token makes the row's bytes null. ``packed`` names a further
+    column for the ids as little-endian unsigned 32-bit integers in a row.
     """
     shared = df.sparkSession.sparkContext.broadcast(ranks)
-    schema = StructType([*df.drop(into).schema.fields, StructField(into, BinaryType())])
+    added = [into] if packed is None else [into, packed]
+    schema = StructType([*df.drop(*added).schema.fields, *[StructField(c, BinaryType()) for c in added]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
 
         by_id = {i: t for t, i in shared.value.items()}
         table = pa.array([by_id.get(i) for i in range(max(by_id, default=-1) + 1)], pa.large_binary())
+        del by_id
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
                 lists = part.column(ids)
                 flat = lists.flatten()
                 known = pc.if_else(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(table))), flat, None)
-                tokens = table.take(known)
-                own = pc.cumulative_sum(pc.fill_null(lists.value_lengths(), 0))
-                offsets = pa.concat_arrays([pa.array([0], pa.int32()), own.cast(pa.int32())])
-                joined = pc.binary_join(pa.LargeListArray.from_arrays(offsets.cast(pa.int64()), tokens), pa.scalar(b"", pa.large_binary()))
-                joined = pc.if_else(lists.is_valid(), joined, None).cast(pa.binary())
-                kept = [part.column(i) for i, n in enumerate(part.schema.names) if n != into]
-                yield pa.record_batch([*kept, joined], [*[n for n in part.schema.names if n != into], into])
+                sizes = pc.cumulative_sum(pc.fill_null(lists.value_lengths(), 0))
+                offsets = pa.concat_arrays([pa.array([0], pa.int32()), sizes.cast(pa.int32())])
+                joined = pc.binary_join(pa.LargeListArray.from_arrays(offsets.cast(pa.int64()), table.take(known)), pa.scalar(b"", pa.large_binary()))
+                columns = [pc.if_else(lists.is_valid(), joined, None).cast(pa.binary())]
+                if packed is not None:
+                    numbers = flat.to_numpy(zero_copy_only=False).astype("<u4").tobytes()
+                    columns.append(pa.Array.from_buffers(pa.binary(), len(lists), [None, pc.multiply(offsets, pa.scalar(4, pa.int32())).buffers()[1], pa.py_buffer(numbers)]))
+                names = [n for n in part.schema.names if n not in added]
+                yield pa.record_batch([*[part.column(n) for n in names], *columns], [*names, *added])
 
     return df.mapInArrow(run, schema)
 
 
-def digests(encoded: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of rows with ids and decoded bytes."""
-    kind = encoded.schema[doc_id].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
-        import numpy as np
-
-        for batch in batches:
-            lists = batch.column(1)
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-            ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
-            starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-            hashed = [hashlib.sha256(flat[a:b]).hexdigest() for a, b in zip(starts, ends, strict=True)]
-            back = [hashlib.sha256(v.as_buffer()).hexdigest() if v.is_valid else None for v in batch.column(2)]
-            yield pa.record_batch([batch.column(0), pa.array(ends - starts, pa.int64()), pa.array(hashed), pa.array(back, pa.string())], [doc_id, "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return encoded.select(doc_id, "ids", "decoded").mapInArrow(run, f"`{doc_id}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+def digests(encoded: DataFrame, ranks: dict[bytes, int], doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encoded rows: their ids, and what these decode to."""
+    both = decode(encoded.select(doc_id, "ids"), ranks, packed="packed")
+    return both.select(doc_id, F.size("ids").cast("bigint").alias("n_tokens"), F.sha2("packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -19,7 +19,7 @@ SHARDS = 16
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     encoded = bpe.encode(read_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    return bpe.digests(bpe.decode(encoded, ranks))
+    return bpe.digests(encoded, ranks)
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,7 +69,7 @@ def _sorted(it):
 def test_bpe_matches_reference_encoder_and_decodes(docs, rows, ranks):
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     encoded = bpe.encode(docs, ranks, public_tokenizers.PATTERN, block_chars=2_000)
-    got = bpe.digests(bpe.decode(encoded, ranks)).collect()
+    got = bpe.digests(encoded, ranks).collect()
     want = []
     for doc, text, *_ in rows:
         ids = own.encode_ordinary(text or "")
@@ -93,7 +93,7 @@ def test_bpe_decode_of_null_unknown_and_no_ids(spark, ranks):
 
 
 def test_bpe_empty_table(empty, ranks):
-    assert bpe.digests(bpe.decode(bpe.encode(empty, ranks, public_tokenizers.PATTERN), ranks)).collect() == []
+    assert bpe.digests(bpe.encode(empty, ranks, public_tokenizers.PATTERN), ranks).collect() == []
 
 
 # 2. Licenses
@@ -274,7 +274,8 @@ def test_quality_measures_against_brute_force(docs, rows):
 def test_binomial_tail_is_exact():
     for n, p in ((10, 0.3), (400, 0.01), (2_000, 0.0025)):
         for k in (0, 1, int(n * p), int(n * p) + 3, n - 1, n):
-            want = sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+            terms = (math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k + 1))
+            want = math.fsum(math.exp(t) for t in terms)
             assert quality.binomial_tail(k, n, p) == pytest.approx(want, rel=1e-9, abs=1e-12)
 
 
