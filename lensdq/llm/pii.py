@@ -6,10 +6,13 @@ which ``split`` returns for the same pattern.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lensdq.llm.common import bounded_join, saved
+from lensdq.operators.match import clusters
 
 KINDS = ["email", "ip", "card", "phone"]
 TERM = "term"
@@ -26,6 +29,10 @@ NEEDED = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20
 WORDS = r"[\p{L}\p{M}]{4,}+"
 #: Disclosed terms up to this number are broadcast, more are joined by shuffle.
 FEW_TERMS = 20_000
+#: MinHash bands of near copies, values in a band, and the share of values in which near copies agree.
+BANDS, BAND_ROWS, ALIKE = 8, 3, 0.6
+#: Texts with copies up to this number are broadcast, more are joined by shuffle.
+FEW_CLASSES = 200_000
 
 
 def _digits(hit: Column) -> Column:
@@ -88,39 +95,115 @@ def base_spans(text: Column) -> Column:
     return F.concat(*lists)
 
 
-def disclosed_terms(found: DataFrame, texts: DataFrame, total: int, reach: int = 80, support: int = 3, generalise: float = 0.97, remove: float = 0.995) -> DataFrame:
+def _units(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(WORDS), F.lit(0))
+
+
+def _shingles(units: Column) -> Column:
+    """64-bit hashes of all runs of five units; a shorter text is one run."""
+    hashed = F.transform(units, lambda u: F.xxhash64(u))
+
+    def runs(h: Column) -> Column:
+        whole = F.array(F.xxhash64(F.array_join(F.transform(h, lambda x: x.cast("string")), " ")))
+        five = F.transform(F.sequence(F.lit(0), F.greatest(F.size(h) - 5, F.lit(0))), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(5)]))
+        return F.when(F.size(h) < 5, whole).otherwise(five)
+
+    return F.transform(F.array(hashed), runs)[0]
+
+
+def _sketch(units: Column) -> Column:
+    """MinHash values: the run nearest to each of the fixed points, nearness by XOR; null without a unit."""
+    points = F.array(*[F.xxhash64(F.lit(j), F.lit("point")) for j in range(BANDS * BAND_ROWS)])
+    mask = F.lit((1 << 63) - 1)
+    nearest = F.transform(F.array(_shingles(units)), lambda runs: F.transform(points, lambda c: F.array_min(F.transform(runs, lambda h: h.bitwiseXOR(c).bitwiseAND(mask)))))[0]
+    # The value kept names the run, so that equal runs agree; 31 bits do.
+    return F.when(F.size(units) > 0, F.transform(nearest, lambda v: v.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")))
+
+
+def weights(texts: DataFrame) -> tuple[DataFrame, float]:
+    """(key, weight) of texts that have copies or near copies, and the number of texts that count.
+
+    ``key`` is the hash of a whole text (``text_key``). Texts whose MinHash sketches agree in at
+    least ``ALIKE`` of their places are linked with the text of lowest key in a shared band, and every document
+    of a component of n documents weighs 1/n; all others weigh 1. So copies and near copies of a
+    document weigh one together in every count, and equal passages of different documents count each.
+    """
+    sketched = texts.select(text_key(F.col("text")).alias("key"), _sketch(_units(F.col("text"))).alias("sketch"))
+    classes = saved(sketched.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.any_value("sketch").alias("sketch")), "classes")
+    bands = F.array(*[F.xxhash64(F.lit(j), *[F.col("sketch")[j * BAND_ROWS + i] for i in range(BAND_ROWS)]) for j in range(BANDS)])
+    banded = classes.where("sketch is not null").select("key", "sketch", F.explode(bands).alias("band"))
+    leaders = saved(banded.groupBy("band").agg(F.min("key").alias("leader"), F.max("key").alias("last")).where("leader < last").select("band", "leader"), "leaders")
+    few = leaders.count()
+    led = leaders.select(F.col("leader").alias("key")).distinct()
+    of_leaders = saved(bounded_join(classes, led, ["key"], few, FEW_CLASSES, "left_semi").select(F.col("key").alias("leader"), F.col("sketch").alias("other")), "led")
+    met = bounded_join(banded, leaders, ["band"], few, FEW_CLASSES).where("key <> leader").select("key", "sketch", "leader")
+    agree = F.size(F.filter(F.zip_with("sketch", "other", lambda a, b: a == b), lambda same: same))
+    links = bounded_join(met, of_leaders, ["leader"], few, FEW_CLASSES).where(agree >= ALIKE * BANDS * BAND_ROWS).select("key", "leader").distinct()
+    merged = saved(clusters(links, "key", "leader"), "merged")
+    counted = merged.count()
+    grouped = bounded_join(classes.select("key", "copies"), merged.withColumnRenamed("id", "key"), ["key"], counted, FEW_CLASSES, "left").select("key", "copies", F.coalesce("cluster_id", "key").alias("component"))
+    sizes = saved(grouped.groupBy("component").agg(F.sum("copies").alias("size")), "sizes")
+    several = sizes.where("size > 1")
+    weighed = saved(bounded_join(grouped, several, ["component"], several.count(), FEW_CLASSES).select("key", (1 / F.col("size")).alias("weight")), "weights")
+    return weighed, float(sizes.count())
+
+
+def text_key(text: Column) -> Column:
+    return F.xxhash64(F.lit(3), F.coalesce(text, F.lit("")))
+
+
+def disclosed_terms(found: DataFrame, texts: DataFrame, reach: int = 80, support: int = 3, chance: float = 0.01, generalise: float = 0.97, remove: float = 0.995) -> DataFrame:
     """(term, disclosure, action): terms near protected values that give one of them away.
 
-    Of every span the words within ``reach`` characters are its context. Contexts that agree in
-    the pair of neighbouring words of lowest hash count once, so equal and most nearly equal
-    contexts, as in copies of a document, are one piece of evidence. With p(e) the share of contexts
-    holding value e, p(t) the share of documents holding term t and p(t, e) the share of contexts
-    of e holding t, disclosure is the pointwise mutual information of t and e divided by the
-    information of e, -log p(e): 1 means that the term alone identifies the value, 0 that it says
-    nothing. Copies of a document do count in p(t), which keeps terms in doubt. Terms need
-    ``support`` contexts. From ``generalise`` on they are replaced by a class
-    label, from ``remove`` on they are removed.
+    Documents are counted by ``weights``, on both sides alike: n_value are those holding a value,
+    n_term those holding a term, n_joint those holding the term within ``reach`` characters of the
+    value. Disclosure is the pointwise mutual information of term and value divided by the
+    information of the value: 1 means that the term alone identifies the value, 0 that it says
+    nothing. Terms need ``support`` documents beside the value, and more of them than chance would
+    bring together: the Chernoff bound of the binomial tail, times the number of pairs tried, has
+    to be below ``chance``, so that a value held by many documents does not draw in every rare
+    word. From ``generalise`` on terms are replaced by a class label, from ``remove`` on removed.
     """
-    spans = found.select("text", F.explode("spans").alias("s"))
+    shape = "term string, disclosure double, action string"
+    none = texts.sparkSession.createDataFrame([], shape)
+    weighed, total = weights(texts)
+    rows = weighed.count()
+    if total < 2:
+        return none
+
+    def with_weight(df: DataFrame) -> DataFrame:
+        return bounded_join(df, weighed, ["key"], rows, FEW_CLASSES, "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
+
+    enough = support - 1e-6
+    value_of = lambda s: F.concat_ws(":", s["kind"], F.lower(s["hit"]))
+    holders = saved(with_weight(found.select(text_key(F.col("text")).alias("key"), "text", "spans")), "holders")
+    each = holders.select("weight", F.explode(F.array_distinct(F.transform("spans", value_of))).alias("value"))
+    of_value = saved(each.groupBy("value").agg(F.sum("weight").alias("n_value")).where(F.col("n_value") >= enough), "values")
+    few = of_value.count()
+    if not few:
+        return none
     near = F.concat_ws(" ", F.substring(F.col("text"), F.greatest(F.col("s.start") - reach + 1, F.lit(1)).cast("int"), F.least(F.col("s.start"), F.lit(reach)).cast("int")), F.substring(F.col("text"), (F.col("s.end") + 1).cast("int"), F.lit(reach)))
-    held = spans.select(F.concat_ws(":", "s.kind", F.lower("s.hit")).alias("value"), F.lower(near).alias("near"))
-    terms_of = F.array_distinct(F.regexp_extract_all("near", F.lit(WORDS), F.lit(0)))
-    neighbours = F.zip_with("terms", F.slice("terms", F.lit(2), F.greatest(F.size("terms") - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
-    contexts = saved(held.select("value", terms_of.alias("terms")).select("value", "terms", F.array_min(neighbours).alias("mark")).distinct(), "contexts")
-    of_value = contexts.groupBy("value").agg(F.count_distinct("mark").alias("n_value")).where(F.col("n_value") >= support)
-    pairs = contexts.select("value", "mark", F.explode("terms").alias("term")).distinct()
-    joint = saved(pairs.groupBy("value", "term").agg(F.count(F.lit(1)).alias("n_joint")).where(F.col("n_joint") >= support).join(of_value, "value"), "joint")
+    spans = holders.select(F.monotonically_increasing_id().alias("row"), "text", "weight", F.explode("spans").alias("s"))
+    held = bounded_join(spans.select("row", "weight", value_of(F.col("s")).alias("value"), near.alias("near")), of_value, ["value"], few, FEW_TERMS, "left_semi")
+    pairs = held.select("row", "weight", "value", F.explode(F.array_distinct(_units(F.col("near")))).alias("term")).distinct()
+    joint = saved(pairs.groupBy("value", "term").agg(F.sum("weight").alias("n_joint")).where(F.col("n_joint") >= enough), "joint")
+    tried = joint.count()
+    if not tried:
+        return none
     terms = joint.select("term").distinct()
-    few = terms.count()
-    shape = "term string, disclosure double, action string"
-    if not few or total < 2:
-        return texts.sparkSession.createDataFrame([], shape)
-    held_by = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORDS), F.lit(0)))).alias("term"))
-    counted = held_by.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    documents = bounded_join(counted, terms, ["term"], few, FEW_TERMS)
-    own = F.log(F.greatest(F.lit(float(total)) / F.col("n_value"), F.lit(1.000001)))
-    mutual = F.log(F.col("n_joint") / F.greatest("n_term", "n_joint")) + own
-    scored = joint.join(documents, "term").select("term", (mutual / own).alias("disclosure")).groupBy("term").agg(F.max("disclosure").alias("disclosure"))
+    words = F.array_distinct(_units(F.col("text")))
+    held_by = with_weight(texts.select(text_key(F.col("text")).alias("key"), words.alias("terms"))).select("weight", F.explode("terms").alias("term"))
+    counted = held_by.groupBy("term").agg(F.sum("weight").alias("n_term"))
+    documents = bounded_join(counted, terms, ["term"], tried, FEW_TERMS)
+    # Sums of weights differ from whole numbers by rounding.
+    both = bounded_join(joint.join(documents, "term"), of_value, ["value"], few, FEW_TERMS).select("term", *[F.round(c, 6).alias(c) for c in ("n_joint", "n_term", "n_value")])
+    share = F.col("n_joint") / F.greatest("n_term", "n_joint")
+    by_chance = F.least(F.col("n_value") / F.lit(total), F.lit(1 - 1e-9))
+    own = -F.log(by_chance)
+    rest = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - by_chance))).otherwise(0.0)
+    evidence = F.when(share > by_chance, F.col("n_term") * (share * F.log(share / by_chance) + rest)).otherwise(0.0)
+    sure = both.where(evidence >= math.log(tried / chance))
+    scored = sure.select("term", ((F.log(share) + own) / own).alias("disclosure")).groupBy("term").agg(F.max("disclosure").alias("disclosure"))
     action = F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise")
     return scored.where(F.col("disclosure") >= generalise).select("term", "disclosure", action.alias("action"))
 
@@ -147,8 +230,7 @@ def find(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **thresholds
     found = df.withColumn("spans", base_spans(words).cast(shape))
     texts = df.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("text"))
     held = saved(found.where(F.size("spans") > 0).select(words.alias("text"), "spans"), "spans")
-    total = texts.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    flagged = saved(disclosed_terms(held, texts, total, **thresholds), "terms")
+    flagged = saved(disclosed_terms(held, texts, **thresholds), "terms")
     few = flagged.count()
     if not few:
         return found

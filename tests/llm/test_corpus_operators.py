@@ -175,6 +175,41 @@ def test_pii_copies_of_one_text_are_one_piece_of_evidence(spark):
     assert {s["kind"] for r in pii.find(df).collect() for s in r["spans"]} == {"email"}
 
 
+def _flagged(spark, texts, **thresholds):
+    found = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3), **thresholds)
+    return {(r["text"] or "")[s["start"] : s["end"]].lower() for r in found.collect() for s in r["spans"] if s["kind"] == "term"}
+
+
+def _letters(rng, n):
+    return " ".join("".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(n))
+
+
+def test_pii_equal_lines_of_different_documents_count_each(spark):
+    rng = random.Random(21)
+    line = "Regards, Marabunta, head office, ring marabunta.x@corp.example any day"
+    signed = [f"{_letters(rng, 60)}\n{line}" for _ in range(12)]
+    rest = [_letters(rng, 60) + " regards head office ring any day" for _ in range(150)]
+    assert _flagged(spark, signed + rest) == {"marabunta"}
+
+
+def test_pii_copies_weigh_one_on_both_sides(spark):
+    rng = random.Random(22)
+    held = [f"{_letters(rng, 40)} Marabunta wrote from q.x@corp.example {_letters(rng, 40)}" for _ in range(5)]
+    copies = [held[0]] * 200
+    near = [" ".join(w if i != 10 + k % 30 else f"edit{k}" for i, w in enumerate(held[1].split())) for k in range(60)]
+    rest = [_letters(rng, 80) + " wrote from" for _ in range(150)]
+    assert _flagged(spark, held + copies + near + rest) == {"marabunta"}
+    # Near copies alone are one document, whatever their number.
+    assert _flagged(spark, near + rest) == set()
+
+
+def test_pii_chance_does_not_flag_rare_words_beside_a_frequent_value(spark):
+    rng = random.Random(23)
+    often = [f"{_letters(rng, 40)} {'odd word' if i < 3 else 'some'} help.desk@corp.example {_letters(rng, 40)}" for i in range(150)]
+    rest = [_letters(rng, 80) for _ in range(60)]
+    assert not {"word"} & _flagged(spark, often + rest)
+
+
 # 4. Near-duplicates
 
 
