@@ -26,7 +26,9 @@ PATTERNS = {
 }
 #: Text without these cannot hold a match.
 NEEDED = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-WORDS = r"[\p{L}\p{M}]{4,}+"
+#: Letters of scripts written without spaces; their terms are pairs of neighbouring characters.
+DENSE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\u30FC"
+WORDS = rf"[{DENSE}]++|[\p{{L}}\p{{M}}\p{{N}}&&[^{DENSE}]]++"
 #: Disclosed terms up to this number are broadcast, more are joined by shuffle.
 FEW_TERMS = 20_000
 #: MinHash bands of near copies, values in a band, and the share of values in which near copies agree.
@@ -96,7 +98,19 @@ def base_spans(text: Column) -> Column:
 
 
 def _units(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(WORDS), F.lit(0))
+    """Words of letters and digits, whatever their length, and character pairs where words have no spaces."""
+    runs = F.regexp_extract_all(F.lower(text), F.lit(WORDS), F.lit(0))
+
+    def pairs(run: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substring(run, i, F.lit(2)))
+
+    cut = F.flatten(F.transform(runs, lambda run: F.when(run.rlike(f"^[{DENSE}]") & (F.length(run) > 1), pairs(run)).otherwise(F.array(run))))
+    return F.when(text.rlike(f"[{DENSE}]"), cut).otherwise(runs)
+
+
+def _outside(text: Column, spans: Column) -> Column:
+    """The text with a space for every span: words of a value are not terms beside it."""
+    return replaced(text, spans, lambda s: F.lit(" "))
 
 
 def _shingles(units: Column) -> Column:
@@ -152,12 +166,12 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.lit(3), F.coalesce(text, F.lit("")))
 
 
-def disclosed_terms(found: DataFrame, texts: DataFrame, reach: int = 80, support: int = 3, chance: float = 0.01, generalise: float = 0.97, remove: float = 0.995) -> DataFrame:
-    """(term, disclosure, action): terms near protected values that give one of them away.
+def disclosed_terms(found: DataFrame, texts: DataFrame, support: int = 3, chance: float = 0.01, generalise: float = 0.97, remove: float = 0.995) -> DataFrame:
+    """(term, disclosure, action): terms of documents with protected values that give one of them away.
 
-    Documents are counted by ``weights``, on both sides alike: n_value are those holding a value,
-    n_term those holding a term, n_joint those holding the term within ``reach`` characters of the
-    value. Disclosure is the pointwise mutual information of term and value divided by the
+    Terms are all words and character pairs (``_units``) outside of the patterns' spans. Documents
+    are counted by ``weights``, on both sides alike: n_value are those holding a value, n_term
+    those holding a term, n_joint those holding both, wherever they stand. Disclosure is the pointwise mutual information of term and value divided by the
     information of the value: 1 means that the term alone identifies the value, 0 that it says
     nothing. Terms need ``support`` documents beside the value, and more of them than chance would
     bring together: the Chernoff bound of the binomial tail, times the number of pairs tried, has
@@ -182,19 +196,21 @@ def disclosed_terms(found: DataFrame, texts: DataFrame, reach: int = 80, support
     few = of_value.count()
     if not few:
         return none
-    near = F.concat_ws(" ", F.substring(F.col("text"), F.greatest(F.col("s.start") - reach + 1, F.lit(1)).cast("int"), F.least(F.col("s.start"), F.lit(reach)).cast("int")), F.substring(F.col("text"), (F.col("s.end") + 1).cast("int"), F.lit(reach)))
-    spans = holders.select(F.monotonically_increasing_id().alias("row"), "text", "weight", F.explode("spans").alias("s"))
-    held = bounded_join(spans.select("row", "weight", value_of(F.col("s")).alias("value"), near.alias("near")), of_value, ["value"], few, FEW_TERMS, "left_semi")
-    pairs = held.select("row", "weight", "value", F.explode(F.array_distinct(_units(F.col("near")))).alias("term")).distinct()
-    joint = saved(pairs.groupBy("value", "term").agg(F.sum("weight").alias("n_joint")).where(F.col("n_joint") >= enough), "joint")
-    tried = joint.count()
-    if not tried:
+    # A document holds a value and a term once each, so a grouping by both needs no distinct.
+    words = F.array_distinct(_units(_outside(F.col("text"), F.col("spans"))))
+    several = holders.select("weight", "text", "spans", F.explode(F.array_distinct(F.transform("spans", value_of))).alias("value"))
+    held = bounded_join(several, of_value, ["value"], few, FEW_TERMS, "left_semi")
+    pairs = held.select("weight", "value", F.explode(words).alias("term"))
+    met = saved(pairs.groupBy("value", "term").agg(F.sum("weight").alias("n_joint")), "joint")
+    tried, joint = met.count(), met.where(F.col("n_joint") >= enough)
+    terms = saved(joint.select("term").distinct(), "candidates")
+    candidates = terms.count()
+    if not candidates:
         return none
-    terms = joint.select("term").distinct()
-    words = F.array_distinct(_units(F.col("text")))
+    texts = texts.select("text", base_spans(F.coalesce("text", F.lit(""))).alias("spans"))
     held_by = with_weight(texts.select(text_key(F.col("text")).alias("key"), words.alias("terms"))).select("weight", F.explode("terms").alias("term"))
     counted = held_by.groupBy("term").agg(F.sum("weight").alias("n_term"))
-    documents = bounded_join(counted, terms, ["term"], tried, FEW_TERMS)
+    documents = bounded_join(counted, terms, ["term"], candidates, FEW_TERMS)
     # Sums of weights differ from whole numbers by rounding.
     both = bounded_join(joint.join(documents, "term"), of_value, ["value"], few, FEW_TERMS).select("term", *[F.round(c, 6).alias(c) for c in ("n_joint", "n_term", "n_value")])
     share = F.col("n_joint") / F.greatest("n_term", "n_joint")
@@ -212,8 +228,17 @@ def _acts(action: str):
     return lambda t: t["action"] == action
 
 
-def _quoted(term: Column) -> Column:
-    return F.concat(F.lit(r"\Q"), term, F.lit(r"\E"))
+def _any_of(terms: Column) -> Column:
+    """A pattern of whole words, of chains of character pairs, and of single characters that stand alone."""
+    dense = F.filter(terms, lambda t: t.rlike(f"^[{DENSE}]"))
+    words = F.filter(terms, lambda t: ~t.rlike(f"^[{DENSE}]"))
+    pairs, alone = F.filter(dense, lambda t: F.length(t) > 1), F.filter(dense, lambda t: F.length(t) == 1)
+    word, run = rf"[\p{{L}}\p{{M}}\p{{N}}&&[^{DENSE}]]", f"[{DENSE}]"
+
+    def joined(own: Column, before: str, after: str) -> Column:
+        return F.when(F.size(own) > 0, F.concat(F.lit(before), F.array_join(F.transform(own, lambda t: F.concat(F.lit(r"\Q"), t, F.lit(r"\E"))), "|"), F.lit(after)))
+
+    return F.concat_ws("|", F.lit(r"(?iu)(?!)"), joined(words, rf"(?<!{word})(?:", rf")(?!{word})"), joined(pairs, "(?:(?=", ").)++."), joined(alone, f"(?<!{run})(?:", f")(?!{run})"))
 
 
 def find(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **thresholds) -> DataFrame:
@@ -234,13 +259,13 @@ def find(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **thresholds
     few = flagged.count()
     if not few:
         return found
-    held_by = texts.select("doc", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORDS), F.lit(0)))).alias("term"))
+    held_by = texts.select("doc", F.explode(F.array_distinct(_units(F.col("text")))).alias("term"))
     by_doc = bounded_join(held_by, flagged.select("term", "action"), ["term"], few, FEW_TERMS).groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("action", "term"))).alias("_pii_terms"))
     joined = found.join(by_doc.withColumnRenamed("doc", "_pii_doc"), F.col(doc_id).eqNullSafe(F.col("_pii_doc")), "left")
     added = F.array().cast(shape)
     for action in ("generalise", "remove"):
-        own = F.transform(F.filter("_pii_terms", _acts(action)), lambda t: _quoted(t["term"]))
-        pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{M}])(?:"), F.array_join(own, "|"), F.lit(r")(?![\p{L}\p{M}])"))
+        own = F.transform(F.filter("_pii_terms", _acts(action)), lambda t: t["term"])
+        pattern = _any_of(own)
         hits = matches(words, pattern, F.size(own) > 0)
         added = F.concat(added, F.transform(hits, _span(F.lit(TERM), F.lit(action))))
     in_order = F.array_sort(added, lambda a, b: (a["start"] - b["start"]).cast("int"))
@@ -253,8 +278,12 @@ def sanitised(text: Column, spans: Column) -> Column:
 
     Overlapping spans are replaced together under the label of the one that begins first.
     """
+    return replaced(text, spans, lambda s: F.when((s["kind"] == TERM) & (s["hit"] == "remove"), "").otherwise(F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))))
+
+
+def replaced(text: Column, spans: Column, label) -> Column:
+    """The text with every span, or run of overlapping spans, replaced by the label of its first one."""
     ordered = F.array_sort(spans, lambda a, b: F.when(a["start"] != b["start"], F.when(a["start"] < b["start"], -1).otherwise(1)).when(a["end"] > b["end"], -1).when(a["end"] < b["end"], 1).otherwise(0))
-    label = lambda s: F.when((s["kind"] == TERM) & (s["hit"] == "remove"), "").otherwise(F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:

@@ -210,6 +210,17 @@ def test_pii_chance_does_not_flag_rare_words_beside_a_frequent_value(spark):
     assert not {"word"} & _flagged(spark, often + rest)
 
 
+def test_pii_terms_of_any_length_and_script_anywhere_in_the_document(spark):
+    rng = random.Random(24)
+    names = ["Kim", "x7q9", "Ng", "\u738b\u5c0f\u660e"]
+    held = [f"{name} heads this page\n{_letters(rng, 150)}\nmail box{k}@corp.example" for k, name in enumerate(names) for _ in range(8)]
+    rest = [f"heads this page mail {_letters(rng, 150)}\n\u5929\u6c14\u5f88\u597d" for _ in range(150)]
+    found = pii.find(spark.createDataFrame(list(enumerate([*held, *rest])), "doc_id int, text string").repartition(3)).withColumn("clean", pii.sanitised(F.col("text"), F.col("spans"))).collect()
+    assert {r["text"][s["start"] : s["end"]] for r in found for s in r["spans"] if s["kind"] == "term"} == set(names)
+    assert all(not r["spans"] for r in found if r["doc_id"] >= len(held))
+    assert all(not any(n in r["clean"] for n in names) for r in found)
+
+
 # 4. Near-duplicates
 
 
