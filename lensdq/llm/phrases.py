@@ -4,8 +4,8 @@ The occurrence relation of length 1 holds every word under (piece, position). Th
 length k is the merge join of the one of length k - 1 with the words at the next position of the
 same piece; its groups are counted over the corpus, and the occurrences are semi-joined with the
 frequent groups before the next length. Relations are sorted by piece and position and stored
-packed, one row per block of pieces, so a merge join touches one block; groups of a block travel
-as rows and meet by shuffle.
+packed, one row per block of pieces, so a merge join touches one block; the groups of a block travel
+in packets by hash part, are counted there, and the part tells the blocks which are frequent.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from lensdq.llm.common import bounded_join, saved
 #: ``[.,;:!?\x0A-\x0D]`` end a piece, tab and space part its words.
 ENDS = b".,;:!?\n\x0b\x0c\r"
 UNKNOWN = "und"
-#: Frequent groups of up to this many, 24 bytes each, are broadcast to the block dictionaries; more are joined by shuffle.
+#: Frequent words of up to this many, about 40 bytes each, are broadcast to the block dictionaries; more are joined by shuffle.
 FEW_GROUPS = 500_000
 
 
@@ -88,10 +88,6 @@ def _relations(batches: Iterator[pa.RecordBatch], block_chars: int) -> Iterator[
     yield from out()
 
 
-def _numbered(own: pa.Table, name: str):
-    return own[name].combine_chunks().to_numpy(zero_copy_only=False)
-
-
 def _joined(at, group, words, step: int):
     """Merge join of occurrences with the words ``step`` positions after their start: start, group and next word."""
     after = words[at + step]
@@ -99,63 +95,130 @@ def _joined(at, group, words, step: int):
     return at[met], group[met], after[met]
 
 
-def _next_length(length: int, longest: int):
-    """Per block: semi-join the relation of ``length`` - 1 with its frequent groups, merge-join it to ``length``, count its groups."""
+def _dealt(g, w, parts: int):
+    """Order of the groups (g, w) by hash part, and the part of each in that order."""
+    import numpy as np
+
+    code = g.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + w.astype(np.uint64)
+    code ^= code >> np.uint64(32)
+    code *= np.uint64(0xD6E8FEB86659FD93)
+    part = ((code ^ (code >> np.uint64(32))) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    return order, part[order]
+
+
+def _groups(at, group, words, step: int, ids, gid):
+    """Groups of the next length in a block: distinct (g, w) in order, the number of each joined occurrence, counts."""
+    import numpy as np
+
+    at, group, after = _joined(at, group, words, step)
+    keys, number, n = np.unique(group * (len(ids) + 1) + after, return_inverse=True, return_counts=True)
+    return at, number, gid[keys // (len(ids) + 1)], ids[keys % (len(ids) + 1) - 1], n
+
+
+def _next_length(length: int, longest: int, parts: int):
+    """Per block: semi-join the relation of ``length`` - 1 with its frequent groups, merge-join it to ``length``, deal its groups to parts.
+
+    A packet holds the groups of a block that fall into one part, in an order the block finds
+    again when the part tells by place which of them are frequent.
+    """
 
     def run(blocks: pa.Table, frequent: pa.Table) -> pa.Table:
         import numpy as np
 
-        rows = {c: [] for c in ("block", "local", "g", "w", "n", "words", "ids", "at", "grp")}
-        local, gid = _numbered(frequent, "local").astype(np.int64), _numbered(frequent, "gid").astype(np.int64)
-        for b in range(blocks.num_rows if len(local) else 0):
-            row = blocks.slice(b, 1).to_pylist()[0]
-            words = _unpacked(row["words"], "<u4").astype(np.int64)
+        out = {c: [] for c in ("block", "part", "g", "w", "n", "words", "ids", "gids", "at", "grp")}
+
+        def add(**values) -> None:
+            for c, column in out.items():
+                column.append(values.get(c))
+
+        for row in blocks.to_pylist() if frequent.num_rows else ():
+            words = np.append(_unpacked(row["words"], "<u4").astype(np.int64), np.zeros(longest, np.int64))
             if length == 2:
                 # Semi-join of the words: frequent ones are renumbered, others break their piece.
-                renumber = np.zeros(max(int(words.max(initial=0)), int(local.max())) + 1, np.int64)
+                local, gid = (frequent[c].to_numpy().astype(np.int64) for c in ("local", "gid"))
+                renumber = np.zeros(max(int(words.max()), int(local.max())) + 1, np.int64)
                 renumber[local] = np.arange(1, len(local) + 1)
-                words, ids, kept_gid = renumber[words], gid, gid
+                words, ids = renumber[words], gid
                 at = np.flatnonzero(words)
                 group = words[at] - 1
             else:
                 ids = _unpacked(row["ids"], "<i8")
-                at, group, after = _joined(np.cumsum(_unpacked(row["at"], "<u4").astype(np.int64)), _unpacked(row["grp"], "<u4").astype(np.int64), np.append(words, np.zeros(longest, np.int64)), length - 2)
-                _, number = np.unique(group * (len(ids) + 1) + after, return_inverse=True)
-                renumber = np.full(max(int(number.max(initial=0)), int(local.max())) + 1, -1, np.int64)
-                renumber[local] = np.arange(len(local))
-                group, kept_gid = renumber[number], gid
+                if length == 3:
+                    at, gid = np.flatnonzero(words), ids
+                    group = words[at] - 1
+                else:
+                    at, group, gid = np.cumsum(_unpacked(row["at"], "<u4").astype(np.int64)), _unpacked(row["grp"], "<u4").astype(np.int64), _unpacked(row["gids"], "<i8")
+                at, number, g, w, _ = _groups(at, group, words, length - 2, ids, gid)
+                order, part = _dealt(g, w, parts)
+                told = sorted(frequent.to_pylist(), key=lambda r: r["part"])
+                first = np.searchsorted(part, [r["part"] for r in told])
+                kept = [order[f + np.cumsum(_unpacked(r["places"], "<u4").astype(np.int64))] for f, r in zip(first, told, strict=True)]
+                gid = np.concatenate([_unpacked(r["gids"], "<i8") for r in told])
+                renumber = np.full(len(g), -1, np.int64)
+                renumber[np.concatenate(kept)] = np.arange(len(gid))
+                group = renumber[number]
                 at, group = at[group >= 0], group[group >= 0]
-                needed = np.zeros(len(words) + longest, bool)
+                needed = np.zeros(len(words), bool)
                 for step in range(length - 1, longest):
                     needed[at + step] = True
-                words = np.where(needed[: len(words)], words, 0)
-            if not len(at):
-                continue
-            _, group_, after = _joined(at, group, np.append(words, np.zeros(longest, np.int64)), length - 1)
-            keys, n = np.unique(group_ * (len(ids) + 1) + after, return_counts=True)
-            if not len(keys):
+                words = np.where(needed, words, 0)
+            _, _, g, w, n = _groups(at, group, words, length - 1, ids, gid)
+            if not len(g):
                 continue
-            rest = [None] * len(keys)
-            rows["block"].append(np.full(1 + len(keys), row["block"], np.int64))
-            rows["local"].append(pa.array([None, *range(len(keys))], pa.int32()))
-            rows["g"].append(pa.concat_arrays([pa.nulls(1, pa.int64()), pa.array(kept_gid[keys // (len(ids) + 1)])]))
-            rows["w"].append(pa.concat_arrays([pa.nulls(1, pa.int64()), pa.array(ids[keys % (len(ids) + 1) - 1])]))
-            rows["n"].append(pa.concat_arrays([pa.nulls(1, pa.int64()), pa.array(n.astype(np.int64))]))
-            state = {"words": (words, "<u4"), "ids": (ids, "<i8"), "at": (np.diff(at, prepend=0), "<u4"), "grp": (group, "<u4")} if length < longest else {}
-            for c in ("words", "ids", "at", "grp"):
-                rows[c].append(pa.array([_packed(*state[c]) if c in state else None, *rest], pa.binary()))
-        kinds = {"block": pa.int64(), "local": pa.int32(), "g": pa.int64(), "w": pa.int64(), "n": pa.int64(), "words": pa.binary(), "ids": pa.binary(), "at": pa.binary(), "grp": pa.binary()}
-        return pa.table({c: pa.chunked_array([pa.array(p) if isinstance(p, np.ndarray) else p for p in parts], kinds[c]) for c, parts in rows.items()})
-
-    return run, "block bigint, local int, g bigint, w bigint, n bigint, words binary, ids binary, at binary, grp binary"
-
-
-def phrase_counts(df: DataFrame, longest: int = 4, support: int = 30, text: str = "text", lang: str = "lang", block_chars: int = 16_000_000) -> tuple[DataFrame, DataFrame]:
+            if length < longest:
+                relation = {} if length == 2 else {"gids": _packed(gid, "<i8"), "at": _packed(np.diff(at, prepend=0), "<u4"), "grp": _packed(group, "<u4")}
+                add(block=row["block"], words=_packed(words[:-longest], "<u4"), ids=_packed(ids, "<i8"), **relation)
+            order, part = _dealt(g, w, parts)
+            for own in np.split(np.arange(len(g)), np.flatnonzero(np.diff(part)) + 1):
+                at_ = order[own]
+                add(block=row["block"], part=int(part[own[0]]), g=_packed(g[at_], "<i8"), w=_packed(w[at_], "<i8"), n=_packed(n[at_], "<u4"))
+        kinds = {"block": pa.int64(), "part": pa.int64()}
+        return pa.table({c: pa.array(values, kinds.get(c, pa.binary())) for c, values in out.items()})
+
+    return run, "block bigint, part bigint, g binary, w binary, n binary, words binary, ids binary, gids binary, at binary, grp binary"
+
+
+def _counted(support: int):
+    """Per part: counts of its groups over all blocks; the frequent ones, and for each packet their places and ids."""
+
+    def run(packets: pa.Table) -> pa.Table:
+        import numpy as np
+
+        held = [packets[c].to_pylist() for c in ("block", "part", "g", "w", "n")]
+        blocks, part = held[0], held[1][0]
+        g, w = ([_unpacked(raw, "<i8") for raw in column] for column in held[2:4])
+        edges = np.cumsum([0, *map(len, g)])
+        g, w, n = np.concatenate(g), np.concatenate(w), np.concatenate([_unpacked(raw, "<u4") for raw in held[4]]).astype(np.int64)
+        order = np.lexsort((w, g))
+        new = np.r_[True, (g[order][1:] != g[order][:-1]) | (w[order][1:] != w[order][:-1])]
+        starts = np.flatnonzero(new)
+        total = np.add.reduceat(n[order], starts)
+        often = total >= support
+        gid = np.where(often, (part << 40) + np.cumsum(often) - 1, -1)
+        of_entry = np.empty(len(g), np.int64)
+        of_entry[order] = gid[np.cumsum(new) - 1]
+        first = order[starts[often]]
+        rows = [(None, None, None, None, *r) for r in zip(gid[often].tolist(), g[first].tolist(), w[first].tolist(), total[often].tolist(), strict=True)]
+        for i, block in enumerate(blocks):
+            own = of_entry[edges[i] : edges[i + 1]]
+            places = np.flatnonzero(own >= 0)
+            if len(places):
+                rows.append((block, part, _packed(np.diff(places, prepend=0), "<u4"), _packed(own[places], "<i8"), None, None, None, None))
+        names = ["block", "part", "places", "gids", "gid", "g", "w", "f"]
+        columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+        return pa.table({c: pa.array(list(values), pa.binary() if c in ("places", "gids") else pa.int64()) for c, values in zip(names, columns, strict=True)})
+
+    return run, "block bigint, part bigint, places binary, gids binary, gid bigint, g bigint, w bigint, f bigint"
+
+
+def phrase_counts(df: DataFrame, longest: int = 4, support: int = 30, text: str = "text", lang: str = "lang", block_chars: int = 32_000_000, part_words: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, length, f) of every word and phrase of up to ``longest`` words found ``support`` times or more
     in its language, and (lang, n) with all words of each language.
 
     A-Z are lowered; a phrase lies within a piece, overlaps count. ``block_chars`` bounds what a
-    task holds at a time (a longer text is a block of its own). A null language is ``und``; a
+    task holds of the texts at a time (a longer text is a block of its own); groups are counted in
+    a part for every ``part_words`` words of the corpus. A null language is ``und``; a
     null, empty or blank text has no words; repeated rows count each; other columns are not read;
     an empty table gives empty results.
     """
@@ -167,25 +230,22 @@ def phrase_counts(df: DataFrame, longest: int = 4, support: int = 30, text: str
     totals = counted.groupBy("lang").agg(F.sum("f").alias("n"))
     frequent = saved(counted.where(F.col("f") >= support).select(F.monotonically_increasing_id().alias("gid"), "lang", F.col("word").alias("phrase"), "f"), "frequent1")
     words = frequent
-    rows = frequent.count()
-    known = bounded_join(of_words, words.withColumnRenamed("phrase", "word").select("lang", "word", "gid"), ["lang", "word"], rows, FEW_GROUPS).select(F.col("block").alias("home"), "local", "gid")
+    known = bounded_join(of_words, words.withColumnRenamed("phrase", "word").select("lang", "word", "gid"), ["lang", "word"], frequent.count(), FEW_GROUPS).select(F.col("block").alias("home"), "local", "gid")
     state = held.where("local is null").select("block", "words")
+    # A part has no more groups than its share of the words.
+    parts = max(64, (totals.agg(F.sum("n")).first()[0] or 0) // part_words)
     found = [frequent.withColumn("length", F.lit(1))]
     for length in range(2, longest + 1):
-        run, fields = _next_length(length, longest)
-        grown = saved(state.groupBy("block").cogroup(known.groupBy("home")).applyInArrow(run, fields), f"pairs{length}")
-        groups = grown.where("local is not null").select("block", "local", "g", "w", "n")
-        often = groups.groupBy("g", "w").agg(F.sum("n").alias("f")).where(F.col("f") >= support)
-        often = saved(often.select(F.monotonically_increasing_id().alias("gid"), "g", "w", "f"), f"groups{length}")
-        rows = often.count()
-        named = often.join(frequent.select(F.col("gid").alias("g"), "lang", F.col("phrase").alias("head")), "g")
+        run, fields = _next_length(length, longest, parts)
+        grown = saved(state.groupBy("block").cogroup(known.groupBy("home")).applyInArrow(run, fields), f"relation{length}")
+        count, fields = _counted(support)
+        told = saved(grown.where("part is not null").select("block", "part", "g", "w", "n").groupBy("part").applyInArrow(count, fields), f"groups{length}")
+        named = told.where("gid is not null").select("gid", "g", "w", "f").join(frequent.select(F.col("gid").alias("g"), "lang", F.col("phrase").alias("head")), "g")
         named = named.join(words.select(F.col("gid").alias("w"), F.col("phrase").alias("tail")), "w")
         frequent = saved(named.select("gid", "lang", F.concat_ws(" ", "head", "tail").alias("phrase"), "f"), f"frequent{length}")
         found.append(frequent.withColumn("length", F.lit(length)))
-        if not rows:
-            break
-        known = bounded_join(groups.drop("n"), often.drop("f"), ["g", "w"], rows, FEW_GROUPS).select(F.col("block").alias("home"), "local", "gid")
-        state = grown.where("local is null").select("block", "words", "ids", "at", "grp")
+        known = told.where("gid is null").select(F.col("block").alias("home"), "part", "places", "gids")
+        state = grown.where("part is null").select("block", "words", "ids", "gids", "at", "grp")
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
