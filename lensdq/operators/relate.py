@@ -13,6 +13,7 @@ from lensdq.functions.columns import as_text, clean, percent, quoted, side_by_si
 from lensdq.functions.similarity import RATIOS, normalised_name, token_sorted
 from lensdq.functions.wordlists import ABBREVIATIONS, ID_ENDING, KEY_SUFFIXES, KEY_TOKENS
 from lensdq.operators.longform import distinct_stats, unpivoted, value_counts
+from lensdq.operators.simjoin import similar_strings
 
 Key = tuple[str, str]
 
@@ -308,12 +309,9 @@ def resolve_names(
 ) -> DataFrame:
     """Best candidate per name: exact, alias, normalised (98), then token-sorted fuzzy match.
 
-    Inputs are one string column ``name`` / ``candidate`` each. The fuzzy step compares only
-    strings that share one of their rarest character pairs, which loses no match at a threshold
-    of 80 or more; lower thresholds are refused.
+    Inputs are one string column ``name`` / ``candidate`` each. The fuzzy step finds its pairs by
+    the exact similarity join of ``simjoin``, complete at any threshold above 0.05.
     """
-    if threshold < 80:
-        raise ValueError("the candidate search is complete from a threshold of 80 on")
     n = names.select("name").distinct()
     c = candidates.select("candidate").distinct()
     lower_n, lower_c = F.lower(F.trim("name")), F.lower(F.trim("candidate"))
@@ -331,28 +329,14 @@ def resolve_names(
         found = found.unionByName(matched(lookup[lower_n], lower_c, 100.0, "alias", 2))
     rest = n.join(found.select("name").distinct(), "name", "left_anti")
 
-    def bigrams(col: Column) -> Column:
-        size = F.length(col)
-        return F.when(size < 2, F.array(col)).otherwise(
-            F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), lambda i: F.substring(col, i, F.lit(2))))
-        )
-
     left = rest.withColumn("a", token_sorted(F.col("name")))
     right = c.withColumn("b", token_sorted(F.col("candidate")))
-    grams = left.select(F.explode(bigrams(F.col("a"))).alias("g")).unionByName(right.select(F.explode(bigrams(F.col("b"))).alias("g")))
-    frequency = grams.groupBy("g").agg(F.count(F.lit(1)).alias("f"))
-    # A match differs by at most ``edits`` operations, each touching two pairs, so two matching
-    # strings always share one of their 2 * edits + 1 rarest pairs.
-    share = threshold / 100.0
-    reach = (1 - share) / share * (2 if ratio == "indel" else 1)
-
-    def rarest(frame: DataFrame, key: str, text: str) -> DataFrame:
-        edits = F.floor(F.length(text) * reach + 1e-9)
-        order = Window.partitionBy(key).orderBy("f", "g")
-        spread = frame.withColumn("g", F.explode(bigrams(F.col(text)))).join(frequency, "g")
-        return spread.withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= 2 * edits + 1).select(key, text, "g")
-
-    pairs = rarest(left, "name", "a").join(rarest(right, "candidate", "b"), "g").select("name", "candidate", "a", "b").distinct()
+    texts = left.select(F.lit("").alias("grp"), F.col("a").alias("s"), F.lit(0).alias("side"), F.lit(1).alias("meet"))
+    texts = texts.unionByName(right.select(F.lit("").alias("grp"), F.col("b").alias("s"), F.lit(1).alias("side"), F.lit(0).alias("meet"))).distinct()
+    # Scores are rounded before they are compared, so the search starts half a digit lower.
+    near = similar_strings(texts, threshold - 0.05, ratio).select("a", "b")
+    near = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(left.select("a", F.col("a").alias("b")).distinct())
+    pairs = left.join(near, "a").join(right, "b").select("name", "candidate", "a", "b").distinct()
     fuzzy = pairs.withColumn("score", F.round(RATIOS[ratio](F.col("a"), F.col("b")), 1)).where(F.col("score") >= threshold)
     everything = found.unionByName(fuzzy.select("name", "candidate", "score", F.lit("fuzzy_token_sort").alias("method"), F.lit(4).alias("step")))
     best = Window.partitionBy("name").orderBy("step", F.col("score").desc(), "candidate")

@@ -236,6 +236,45 @@ add(
     SELECT cluster_id, CAST(count(*) AS BIGINT) AS members FROM (SELECT id, min(seen) AS cluster_id FROM reach GROUP BY 1) GROUP BY 1""",
 )
 
+
+def all_pairs_sql(table: str, rid: str, keys: list[str], threshold: float = 85) -> str:
+    """Every pair of a block, between the smallest ids of records with equal token-sorted keys."""
+    ks = ", ".join(f"k{i}" for i in range(len(keys)))
+    ratios = [f"(1 - levenshtein(a.k{i}, b.k{i}) / greatest(length(a.k{i}), length(b.k{i}))) * 100" for i in range(len(keys))]
+    mean = "(" + " + ".join(ratios) + f") / {len(keys)}"
+    sorted_keys = ", ".join(f"array_to_string(list_sort(string_split(trim({k}), ' ')), ' ') AS k{i}" for i, k in enumerate(keys))
+    hits = "concat_ws(',', " + ", ".join(f"CASE WHEN {r} >= {threshold} THEN '{k}' END" for r, k in zip(ratios, keys)) + ")"
+    return f"""r AS (SELECT {rid} AS id, lower(substr({keys[0]}, 1, 3)) AS block, {sorted_keys} FROM {{{table}}}),
+    c AS (SELECT min(id) AS id, count(*) AS n, block, {ks} FROM r GROUP BY block, {ks}),
+    pairs AS (SELECT a.id AS id_a, b.id AS id_b, round({mean}, 1) AS score, {hits} AS matched_on FROM c a JOIN c b ON a.block = b.block AND a.id < b.id WHERE {mean} >= {threshold})"""
+
+
+add(
+    "j12_entity_resolution_complete",
+    lambda t: match.all_duplicates(t.part, "p_partkey", ["p_name", "p_type"])[1],
+    "WITH " + all_pairs_sql("part", "p_partkey", ["p_name", "p_type"]) + " SELECT * FROM pairs",
+)
+add(
+    "j12_entity_resolution_complete_one_block",
+    lambda t: match.all_duplicates(t.customer, "c_custkey", ["c_name"], threshold=92)[1],
+    "WITH " + all_pairs_sql("customer", "c_custkey", ["c_name"], 92) + " SELECT * FROM pairs",
+)
+
+
+def _complete_clusters(t):
+    members, pairs = match.all_duplicates(t.part, "p_partkey", ["p_name"], threshold=70)
+    found = match.clusters(pairs.select("id_a", "id_b").unionByName(members.select(F.col("class_id").alias("id_a"), F.col("class_id").alias("id_b")).distinct()))
+    return members.join(found.withColumnRenamed("id", "class_id"), "class_id").groupBy("cluster_id").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+
+
+add(
+    "j13_duplicate_clusters_complete",
+    _complete_clusters,
+    "WITH RECURSIVE " + all_pairs_sql("part", "p_partkey", ["p_name"], 70) + """, e AS (SELECT id_a AS s, id_b AS d FROM pairs UNION SELECT id_b, id_a FROM pairs UNION SELECT id, id FROM c),
+    reach(id, seen) AS (SELECT s, s FROM e UNION SELECT reach.id, e.d FROM reach JOIN e ON e.s = reach.seen)
+    SELECT cluster_id, CAST(sum(n) AS BIGINT) AS members FROM (SELECT id, min(seen) AS cluster_id FROM reach GROUP BY 1) JOIN c USING (id) GROUP BY 1 HAVING sum(n) > 1""",
+)
+
 add(
     "u01_union_reports",
     lambda t: present.union_tagged({"customer": t.customer.select(F.col("c_acctbal").alias("balance")), "supplier": t.supplier.select(F.col("s_acctbal").alias("balance"))})
