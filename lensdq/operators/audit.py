@@ -14,7 +14,7 @@ from lensdq.functions.columns import (
 from lensdq.operators.longform import distinct_stats, full_row_counts, per_column, quantiles, value_counts
 from lensdq.operators.present import concentration
 from lensdq.operators.profile import fences, outside
-from lensdq.operators.windows import early_late_trend
+from lensdq.operators.windows import early_late_trends
 
 SEVERITY_SCORE = {"PASS": 100, "INFO": 90, "WARNING": 60, "CRITICAL": 20, "BLOCKER": 0}
 
@@ -113,9 +113,9 @@ def verified_facts(df: DataFrame, order: list[str] | None = None, measures: int
         parts.append(top.select(F.lit("top1_pct").alias("fact"), F.lit(c).alias("subject"), F.col("top1_pct").alias("value"), F.col("top_value").alias("text")))
         parts.append(top.select(F.lit("top3_pct").alias("fact"), F.lit(c).alias("subject"), F.col("top3_pct").alias("value"), F.lit("").alias("text")))
     stamps = temporal_columns(df)
-    for number in numbers if stamps else ():
-        t = early_late_trend(df, order or [stamps[0]], number)
-        parts.append(t.select(F.lit("trend").alias("fact"), F.lit(number).alias("subject"), F.col("pct_change").alias("value"), F.col("trend").alias("text")))
+    if stamps and numbers:
+        t = early_late_trends(df, order or [stamps[0]], numbers)
+        parts.append(t.select(F.lit("trend").alias("fact"), F.col("value").alias("subject"), F.col("pct_change").alias("value"), F.col("trend").alias("text")))
     size = df.agg(F.count(F.lit(1)).cast("double").alias("value"))
     parts.append(size.select(F.lit("row_count").alias("fact"), F.lit("").alias("subject"), "value", F.lit("").alias("text")))
     return reduce(DataFrame.unionByName, parts)

@@ -8,9 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lensdq.functions.columns import clean, quoted
+from lensdq.functions.columns import all_of, clean, quoted
 from lensdq.functions.scalars import divide
 from lensdq.operators.longform import quantiles
+from lensdq.operators.ranking import group_quantiles
 
 AGGREGATES: dict[str, Callable[[Column], Column]] = {
     "SUM": F.sum,
@@ -42,13 +43,14 @@ class Metric:
     expression: str | None = None
     where: str | None = None
 
-    def column(self) -> Column:
+    def value(self) -> Column:
         value = F.lit(1) if self.expression is None else F.expr(self.expression)
-        if self.where is not None:
-            value = F.when(F.expr(self.where), value)
-            if self.agg == "COUNTROWS":
-                return F.count(value)
-        return AGGREGATES[self.agg](value)
+        return value if self.where is None else F.when(F.expr(self.where), value)
+
+    def column(self) -> Column:
+        if self.where is not None and self.agg == "COUNTROWS":
+            return F.count(self.value())
+        return AGGREGATES[self.agg](self.value())
 
 
 @dataclass(frozen=True)
@@ -65,9 +67,22 @@ class Ratio:
 
 
 def evaluate(df: DataFrame, metrics: list[Metric | Ratio], by: list[str] = ()) -> DataFrame:
-    """All metrics as columns, for the whole table or per group, in one aggregation."""
-    cols = [m.column().alias(m.name) for m in metrics]
-    return df.groupBy(*by).agg(*cols) if by else df.agg(*cols)
+    """All metrics as columns, for the whole table or per group, in one aggregation.
+
+    Medians are selected by rank (``group_quantiles``) and joined to it, so no group is held in
+    one buffer. A median inside a ratio is not supported.
+    """
+    medians = {m.name: m for m in metrics if isinstance(m, Metric) and m.agg == "MEDIAN"}
+    cols = [m.column().alias(m.name) for m in metrics if m.name not in medians]
+    if not medians:
+        return df.groupBy(*by).agg(*cols) if by else df.agg(*cols)
+    rest = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"), *cols)
+    found = group_quantiles(df, list(by), {f"_m{i}": m.value() for i, m in enumerate(medians.values())}, {"m": 0.5})
+    keys = [f"_k{i}" for i in range(len(by))]
+    found = found.withColumnsRenamed(dict(zip(by, keys)))
+    joined = rest.join(found, all_of([rest[quoted(b)].eqNullSafe(F.col(k)) for b, k in zip(by, keys)]), "left") if by else rest.crossJoin(F.broadcast(found))  # one row each
+    names = {name: f"_m{i}_m" for i, name in enumerate(medians)}
+    return joined.select(*by, *[F.col(names[m.name]).alias(m.name) if m.name in names else F.col(quoted(m.name)) for m in metrics])
 
 
 def exact_median(df: DataFrame, column: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lensdq.functions.columns import as_double, as_text, is_numeric, numeric_columns, percent, quoted, side_by_side
 from lensdq.operators.longform import chunked, ordered_prefix, unpivoted
+from lensdq.operators.ranking import split_at
 
 SHARE_FLOOR = 1e-6
 
@@ -288,10 +289,5 @@ def drift_summary(report: DataFrame) -> DataFrame:
 
 
 def split_by_time(df: DataFrame, order: list[str], share: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """The first ``share`` of the rows in order, and the rest; ties are settled by the later order columns."""
-    total = df.count()
-    placed = ordered_prefix(df, [F.col(quoted(o)) for o in order])
-    cut = int(total * share)
-    return placed.where(F.col("pos") < cut).drop("pos"), placed.where(F.col("pos") >= cut).drop("pos")
-
-
+    """The first ``share`` of the rows in order, and the rest, as filters on ``df``; ties go by a hash of the row."""
+    return split_at(df, order, int(df.count() * share))

@@ -1,7 +1,8 @@
 """Ordered calculations: trends, gaps, previous rows, ranks, running totals, period to date.
 
-Running calculations work on view rows, that is on data first summed per key and period, so
-the calendar bounds every window partition.
+Ranks, running values and lookups take rows in any number and any partition: they run over range
+partitions and carry state between them. Period to date works on view rows, that is on data first
+summed per key and period, so the calendar bounds every window partition.
 """
 
 from __future__ import annotations
@@ -9,32 +10,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lensdq.functions.columns import as_double, quoted
-from lensdq.operators.longform import ordered_prefix, time_gaps
-
-
-def early_late_trend(df: DataFrame, order: list[str], value: str, share: float = 0.1, use: str = "sum") -> DataFrame:
-    """Change from the first to the last ``share`` of rows in order, by sums or means; over 5% is a trend."""
-    x = as_double(df, value)
-    rows = df.where(x.isNotNull()).select(*[quoted(o) for o in order], x.alias("x"))
-    for o in order:
-        rows = rows.where(F.col(quoted(o)).isNotNull())
-    placed = ordered_prefix(rows, [F.col(quoted(o)) for o in order])
-    n = placed.count()
-    edge = max(1, int(n * share))
-    fold = F.sum if use == "sum" else F.avg
+from lensdq.functions.columns import all_of, as_double, quoted
+from lensdq.operators.longform import time_gaps
+from lensdq.operators.ranking import carried, digits, rank_cuts, running_folds, scanned, with_totals
+
+
+def early_late_trends(df: DataFrame, order: list[str], values: list[str], share: float = 0.1, use: str = "sum") -> DataFrame:
+    """Per value, its change from the first to the last ``share`` of rows in order, by sums or means; over 5% is a trend.
+
+    Rows with a null value or order count for nothing; ties in the order go by the value. The two
+    edges of all values are found together by ``rank_cuts``, so no row is sorted or moved.
+    """
+    keys = [d for o in order for d in digits(df, o)]
+    present = all_of([F.col(quoted(o)).isNotNull() for o in order])
+    x = {v: as_double(df, v) for v in values}
+    sizes = df.agg(*[F.count_if(present & x[v].isNotNull()).alias(f"n{i}") for i, v in enumerate(values)]).first()
+    n = {v: sizes[i] for i, v in enumerate(values)}
+    edge = {v: max(1, int(n[v] * share)) for v in values}
+    spots = {f"{side}{i}": (present & x[v].isNotNull(), [*keys, x[v]], edge[v] - 1 if side == "f" else n[v] - edge[v]) for i, v in enumerate(values) if n[v] for side in "fl"}
+    cuts = rank_cuts(df, spots)
+    aggs, rows = [F.count(F.lit(1)).alias("rows")], []
+    for i, v in enumerate(values):
+        first = last = F.lit(None).cast("double")
+        if n[v]:
+            f, l = cuts[f"f{i}"], cuts[f"l{i}"]
+            for name, side, rest in ((f"f{i}", f.before(), f.at()), (f"l{i}", l.after(), l.at())):
+                aggs += [F.sum(F.when(side, x[v])).alias(name), F.max(F.when(rest, x[v])).alias(f"{name}_at")]
+            divide = 1 if use == "sum" else edge[v]
+            first = (F.coalesce(f"f{i}", F.lit(0.0)) + F.col(f"f{i}_at") * (edge[v] - f.less)) / divide
+            last = (F.coalesce(f"l{i}", F.lit(0.0)) + F.col(f"l{i}_at") * (l.less + l.equal - (n[v] - edge[v]))) / divide
+        rows.append(F.struct(F.lit(v).alias("value"), F.lit(n[v]).cast("bigint").alias("n"), first.alias("first_value"), last.alias("last_value")))
     first, last = F.col("first_value"), F.col("last_value")
     change = F.when(first != 0, (last - first) / F.abs(first) * 100).otherwise(0.0)
-    return placed.agg(
-        fold(F.when(F.col("pos") < edge, F.col("x"))).alias("first_value"),
-        fold(F.when(F.col("pos") >= n - edge, F.col("x"))).alias("last_value"),
-    ).select(
-        F.lit(n).cast("bigint").alias("n"), F.round(first, 4).alias("first_value"), F.round(last, 4).alias("last_value"),
-        F.round(change, 2).alias("pct_change"),
+    return df.agg(*aggs).select(F.explode(F.array(*rows)).alias("r")).select("r.*").select(
+        "value", "n", F.round(first, 4).alias("first_value"), F.round(last, 4).alias("last_value"), F.round(change, 2).alias("pct_change"),
         F.when(change > 5, "upward").when(change < -5, "downward").otherwise("stable").alias("trend"),
     )
 
 
+def early_late_trend(df: DataFrame, order: list[str], value: str, share: float = 0.1, use: str = "sum") -> DataFrame:
+    """``early_late_trends`` of one value."""
+    return early_late_trends(df, order, [value], share, use).drop("value")
+
+
 def series_change(series: DataFrame, period: str = "period", y: str = "y") -> DataFrame:
     """First against last period and the peak of a (period, y) series."""
     first, last = F.col("first_y"), F.col("last_y")
@@ -61,37 +79,49 @@ def latest(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> D
 
 
 def ranks(view: DataFrame, measure: str, partition: list[str] = (), tie: list[str] = ()) -> DataFrame:
-    """rank, dense rank, unique rank and index of view rows by descending measure."""
-    by = Window.partitionBy(*partition).orderBy(F.col(quoted(measure)).desc())
-    unique = Window.partitionBy(*partition).orderBy(F.col(quoted(measure)).desc(), *tie)
-    return view.select(
-        "*", F.rank().over(by).alias("rank"), F.dense_rank().over(by).alias("dense_rank"), F.row_number().over(unique).alias("unique_rank"),
-        F.row_number().over(Window.partitionBy(*partition).orderBy(*tie)).alias("index"),
-    )
+    """rank, dense rank, unique rank and index of rows by descending measure.
+
+    Rows are range-partitioned by (partition, measure, tie); a run of equal measures that spans
+    partitions is carried on, so one partition value, or none, spreads over tasks. Ties without
+    ``tie`` columns are in no certain order.
+    """
+    group, y = list(partition), F.col(quoted(measure))
+    placed = scanned(view, group, [y.desc(), *[F.col(quoted(t)) for t in tie]])
+    placed = carried(placed, group, {"_last": (F.max_by(F.struct(y.alias("y")), "_mid"), lambda s: F.last(s, True))})
+    inside = Window.partitionBy("_pid", *group).orderBy("_mid")
+    before = F.coalesce(F.lag(F.struct(y.alias("y"))).over(inside), F.col("_last"))
+    runs = placed.withColumn("_new", (F.col("_at") == 0) | before.isNull() | ~before["y"].eqNullSafe(y)).drop("_last")
+    found = running_folds(runs, group, {"rank": (F.when(F.col("_new"), F.col("_at") + 1), "last"), "dense_rank": (F.col("_new").cast("int"), "sum")})
+    ranked = found.select(*view.columns, "rank", "dense_rank", (F.col("_at") + 1).alias("unique_rank"))
+    if not tie:
+        return ranked.withColumn("index", F.col("unique_rank"))
+    names = ranked.columns
+    return scanned(ranked, group, [F.col(quoted(t)) for t in tie]).select(*names, (F.col("_at") + 1).alias("index"))
 
 
 def running(view: DataFrame, measure: str, order: list[str], partition: list[str] = ()) -> DataFrame:
-    """Running sum, average, count, minimum, maximum and whole-partition totals of view rows."""
-    w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*partition)
-    x = F.col(quoted(measure))
-    return view.select(
-        "*", F.sum(x).over(w).alias("running_sum"), F.avg(x).over(w).alias("running_avg"), F.count(x).over(w).alias("running_count"),
-        F.min(x).over(w).alias("running_min"), F.max(x).over(w).alias("running_max"), F.sum(x).over(whole).alias("window_sum"),
-        F.avg(x).over(whole).alias("window_avg"), F.count(F.lit(1)).over(whole).alias("size"),
-    )
+    """Running sum, average, count, minimum, maximum and whole-partition totals, carried between range partitions."""
+    group, x = list(partition), F.col(quoted(measure))
+    placed = scanned(view, group, [F.col(quoted(o)) for o in order])
+    kinds = {f"running_{k}": (x, k) for k in ("sum", "count", "min", "max")}
+    found = running_folds(placed, group, kinds).withColumn("running_avg", F.when(F.col("running_count") > 0, F.col("running_sum") / F.col("running_count")))
+    whole = with_totals(found, group, {"window_sum": F.sum(x), "window_avg": F.avg(x), "size": F.count(F.lit(1))})
+    return whole.select(*view.columns, "running_sum", "running_avg", "running_count", "running_min", "running_max", "window_sum", "window_avg", "size")
 
 
 def lookups(view: DataFrame, measure: str, order: list[str], partition: list[str] = (), offset: int = 1) -> DataFrame:
-    """Neighbouring values and offsets: LOOKUP back and ahead, FIRST, LAST, accumulated PREVIOUS_VALUE."""
-    w = Window.partitionBy(*partition).orderBy(*order)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*partition))
-    x, rn = F.col(quoted(measure)), F.row_number().over(w)
-    return view.select(
-        "*", F.lag(x, offset).over(w).alias("lookup_back"), F.lead(x, offset).over(w).alias("lookup_ahead"),
-        (F.lit(1) - rn).alias("first_offset"), (n - rn).alias("last_offset"),
-        F.sum(x).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("previous_value_sum"),
-    )
+    """Neighbouring values and offsets: LOOKUP back and ahead, FIRST, LAST, accumulated PREVIOUS_VALUE.
+
+    Neighbours meet by their place in the partition, so they may lie in other range partitions.
+    """
+    group, x = list(partition), F.col(quoted(measure))
+    placed = running_folds(scanned(view, group, [F.col(quoted(o)) for o in order]), group, {"previous_value_sum": (x, "sum")})
+    out = with_totals(placed, group, {"_n": F.count(F.lit(1))})
+    for name, shift in (("lookup_back", offset), ("lookup_ahead", -offset)):
+        other = placed.select(*[F.col(quoted(g)).alias(f"_o{i}") for i, g in enumerate(group)], (F.col("_at") + shift).alias("_o_at"), x.alias(name))
+        same = all_of([out[quoted(g)].eqNullSafe(F.col(f"_o{i}")) for i, g in enumerate(group)])
+        out = out.join(other, same & (F.col("_at") == F.col("_o_at")), "left").drop("_o_at", *[f"_o{i}" for i in range(len(group))])
+    return out.select(*view.columns, "lookup_back", "lookup_ahead", (-F.col("_at")).alias("first_offset"), (F.col("_n") - 1 - F.col("_at")).alias("last_offset"), "previous_value_sum")
 
 
 def monthly(df: DataFrame, ts: str, measure: str, keys: list[str] = ()) -> DataFrame:

@@ -308,6 +308,18 @@ def _measures(t):
     return rounded(rounded(rounded(both, ["revenue"], 2), ["average_quantity"], 4), ["net_share"], 6)
 
 
+_MEDIANS = [Metric("rows", "COUNTROWS"), Metric("middle_price", "MEDIAN", "l_extendedprice"), Metric("middle_late_tax", "MEDIAN", "l_tax", "l_linenumber > 3")]
+add(
+    "a09_median_per_group",
+    lambda t: rounded(m.evaluate(t.gappy.join(t.lineitem.select("l_orderkey", F.col("l_linenumber").alias("line"), "l_extendedprice"), ["l_orderkey", "line"]), _MEDIANS, ["l_returnflag"]), ["middle_price", "middle_late_tax"], 4),
+    """SELECT g.l_returnflag, CAST(count(*) AS BIGINT) AS rows, round(median(l_extendedprice), 4) AS middle_price, round(median(CASE WHEN g.l_linenumber > 3 THEN g.l_tax END), 4) AS middle_late_tax
+    FROM {gappy} g JOIN {lineitem} l ON l.l_orderkey = g.l_orderkey AND l.l_linenumber = g.line GROUP BY 1""",
+)
+add(
+    "m03_median_per_supplier",
+    lambda t: rounded(m.evaluate(t.lineitem, [Metric("middle", "MEDIAN", "l_extendedprice")], ["l_suppkey"]), ["middle"], 4),
+    "SELECT l_suppkey, round(median(l_extendedprice), 4) AS middle FROM {lineitem} GROUP BY 1",
+)
 add("a09_named_measures", _measures, "SELECT '*' AS l_returnflag, " + _NAMED_SQL + " UNION ALL SELECT l_returnflag, " + _NAMED_SQL + " GROUP BY l_returnflag")
 add(
     "a10_report_pack",

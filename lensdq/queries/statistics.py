@@ -354,6 +354,12 @@ add(
     CAST(row_number() OVER (PARTITION BY c_mktsegment ORDER BY orders DESC, n_name) AS BIGINT) AS unique_rank, CAST(row_number() OVER (PARTITION BY c_mktsegment ORDER BY n_name) AS BIGINT) AS index
     FROM (SELECT n_name, c_mktsegment, CAST(count(*) AS BIGINT) AS orders FROM {sales} GROUP BY 1, 2)""",
 )
+add(
+    "w10_ranks_whole_table",
+    lambda t: windows.ranks(t.events.select("event_id", "user_id"), "user_id", tie=["event_id"]),
+    """SELECT event_id, user_id, CAST(rank() OVER (ORDER BY user_id DESC) AS BIGINT) AS rank, CAST(dense_rank() OVER (ORDER BY user_id DESC) AS BIGINT) AS dense_rank,
+    CAST(row_number() OVER (ORDER BY user_id DESC, event_id) AS BIGINT) AS unique_rank, CAST(row_number() OVER (ORDER BY event_id) AS BIGINT) AS index FROM {events}""",
+)
 _MONTHLY = "SELECT c_mktsegment, date_trunc('month', o_orderdate) AS m, CAST(sum(CAST(sales AS DECIMAL(18, 2))) AS DOUBLE) AS y FROM {sales} GROUP BY 1, 2"
 
 
@@ -382,6 +388,20 @@ add(
     FROM v WINDOW o AS (PARTITION BY c_mktsegment ORDER BY m), p AS (PARTITION BY c_mktsegment)""",
 )
 
+_RAW = "SELECT event_id, CASE WHEN user_id % 7 = 0 THEN NULL ELSE CAST(user_id AS DOUBLE) END AS y FROM {events}"
+add(
+    "w11_running_whole_table",
+    lambda t: windows.running(t.sql(_RAW), "y", ["event_id"]).withColumn("running_avg", F.round("running_avg", 4)).withColumn("window_avg", F.round("window_avg", 4)),
+    "WITH v AS (" + _RAW + """) SELECT event_id, y, sum(y) OVER r AS running_sum, round(avg(y) OVER r, 4) AS running_avg, CAST(count(y) OVER r AS BIGINT) AS running_count, min(y) OVER r AS running_min, max(y) OVER r AS running_max,
+    sum(y) OVER () AS window_sum, round(avg(y) OVER (), 4) AS window_avg, CAST(count(*) OVER () AS BIGINT) AS size FROM v WINDOW r AS (ORDER BY event_id ROWS UNBOUNDED PRECEDING)""",
+)
+add(
+    "w12_lookups_whole_table",
+    lambda t: windows.lookups(t.sql(_RAW), "y", ["event_id"], offset=3),
+    "WITH v AS (" + _RAW + """) SELECT event_id, y, lag(y, 3) OVER o AS lookup_back, lead(y, 3) OVER o AS lookup_ahead, CAST(1 - row_number() OVER o AS BIGINT) AS first_offset,
+    CAST(count(*) OVER () - row_number() OVER o AS BIGINT) AS last_offset, sum(y) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS previous_value_sum FROM v WINDOW o AS (ORDER BY event_id)""",
+)
+
 
 def _ptd(t):
     view = _monthly_view(t)
