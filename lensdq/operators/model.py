@@ -52,6 +52,22 @@ def build_dimension(df: DataFrame, column: str, effective: str) -> DataFrame:
     )
 
 
+def extend_dimension(dimension: DataFrame, df: DataFrame, column: str, effective: str) -> DataFrame:
+    """``dimension`` with the values of ``df`` it does not hold yet, keyed on from its highest key.
+
+    Old rows keep their keys, wherever new values stand in the order; new values are numbered in
+    value order by range partitions and offsets. Values of expired rows count as held. Running it
+    again with the same values changes nothing. Nulls are no value.
+    """
+    found = df.where(F.col(quoted(column)).isNotNull()).select(F.col(quoted(column)).alias("value")).distinct()
+    top = dimension.agg(F.max("dim_key")).first()[0] or 0
+    fresh = ordered_prefix(found.join(dimension.select("value").distinct(), "value", "left_anti"), [F.col("value")])
+    added = fresh.select(
+        (F.col("pos") + 1 + top).alias("dim_key"), "value", F.lit(effective).cast("date").alias("effective_date"), F.lit(HIGH_DATE).cast("date").alias("expiry_date"), F.lit(True).alias("is_current"),
+    )
+    return dimension.unionByName(added)
+
+
 def attach_keys(fact: DataFrame, dimension: DataFrame, column: str, key_name: str) -> DataFrame:
     """Replace a value column by its current dimension key; unknown values keep a null key."""
     current = dimension.where("is_current").select(F.col("dim_key").alias(key_name), F.col("value").alias("_v"))

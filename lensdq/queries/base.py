@@ -67,7 +67,7 @@ DERIVED = {
                CASE WHEN event_id % 5 > 1 THEN ts + INTERVAL '1' HOUR * CAST(1 + user_id % 50 AS INTEGER) END AS resolved_at,
                CASE WHEN user_id % 4 = 0 THEN NULL WHEN user_id % 4 = 1 THEN 'Source change' ELSE 'Pipeline' END AS root_cause,
                event_id % 3 = 0 AS postmortem_complete
-        FROM {events} WHERE event_type = 'error'""",
+        FROM {events}""",
     "inventory": """
         SELECT concat('D', CAST(o_orderkey AS VARCHAR(20))) AS dashboard_id, concat('Report ', CAST(o_orderkey AS VARCHAR(20))) AS dashboard_name,
                o_orderpriority AS workspace, concat('owner', CAST(o_custkey % 300 AS VARCHAR(20)), '@example.com') AS owner_email,

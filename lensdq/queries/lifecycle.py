@@ -82,6 +82,14 @@ add(
     lambda t: model.attach_keys(t.part.select("p_partkey", "p_brand", "p_retailprice"), model.build_dimension(t.part, "p_brand", "2024-01-01"), "p_brand", "brand_key"),
     "SELECT p_partkey, p_retailprice, k AS brand_key FROM {part} JOIN (SELECT v, CAST(row_number() OVER (ORDER BY v) AS BIGINT) AS k FROM (SELECT DISTINCT p_brand AS v FROM {part})) ON v = p_brand",
 )
+_LATER = "SELECT p_type AS p_brand FROM {part} UNION ALL SELECT p_brand FROM {part}"
+add(
+    "k02_dimension_extend",
+    lambda t: model.extend_dimension(model.build_dimension(t.part, "p_brand", "2024-01-01"), t.sql(_LATER), "p_brand", "2024-02-01").withColumns({c: F.col(c).cast("string") for c in ("effective_date", "expiry_date")}),
+    """WITH old AS (SELECT CAST(row_number() OVER (ORDER BY v) AS BIGINT) AS dim_key, v AS value, '2024-01-01' AS effective_date FROM (SELECT DISTINCT p_brand AS v FROM {part})),
+    fresh AS (SELECT DISTINCT p_brand AS v FROM (""" + _LATER + """) WHERE p_brand NOT IN (SELECT value FROM old))
+    SELECT *, '9999-12-31' AS expiry_date, true AS is_current FROM (SELECT * FROM old UNION ALL SELECT CAST((SELECT max(dim_key) FROM old) + row_number() OVER (ORDER BY v) AS BIGINT), v, '2024-02-01' FROM fresh)""",
+)
 
 
 def _dates(t):
@@ -333,52 +341,46 @@ add(
 )
 
 # --- sources and sinks: whole tables written to a fresh shared location and read back
-ORDER_SCHEMA = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderpriority string"
-_ORDERS = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM {orders}"
+ORDER_SCHEMA = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
+_ORDERS = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.%f') AS o_orderdate, o_orderpriority FROM {orders}"
 
 
-def plain_orders(t):
-    return t.orders.drop("o_orderdate")
+def _stamped(df, column="o_orderdate"):
+    return df.withColumn(column, F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
 def _file(t, kind):
     return writers.scratch_path(t.spark, f"orders.{kind}")
 
 
-add("s01_csv", lambda t: readers.read_csv(t.spark, writers.write_csv(plain_orders(t), _file(t, "csv")), ORDER_SCHEMA), _ORDERS)
-add("s02_tsv", lambda t: readers.read_tsv(t.spark, writers.write_csv(plain_orders(t), _file(t, "tsv"), sep="\t"), ORDER_SCHEMA), _ORDERS)
-add("s03_parquet", lambda t: readers.read_parquet(t.spark, writers.write_parquet(plain_orders(t), _file(t, "parquet"))), _ORDERS)
+add("s01_csv", lambda t: _stamped(readers.read_csv(t.spark, writers.write_csv(t.orders, _file(t, "csv")), ORDER_SCHEMA)), _ORDERS)
+add("s02_tsv", lambda t: _stamped(readers.read_tsv(t.spark, writers.write_csv(t.orders, _file(t, "tsv"), sep="\t"), ORDER_SCHEMA)), _ORDERS)
+add("s03_parquet", lambda t: _stamped(readers.read_parquet(t.spark, writers.write_parquet(t.orders, _file(t, "parquet")))), _ORDERS)
 
 
 def _json(t):
     from lensdq.functions.text import flatten_json
 
-    back = readers.read_json(t.spark, writers.write_json(t.events.select("event_id", "event_type", "props"), _file(t, "json")), "event_id bigint, event_type string, props string")
-    return flatten_json(back, "props", "k bigint")
-
+    schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+    back = readers.read_json(t.spark, writers.write_json(t.events, _file(t, "json")), schema)
+    return _stamped(flatten_json(back, "props", "k bigint"), "ts")
 
-add("s04_json", _json, "SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM {events}")
 
+add("s04_json", _json, "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, user_id, event_type, value, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM {events}")
 
-def _xml(t):
-    path = _file(t, "xml")
-    plain_orders(t).write.option("rowTag", "order").xml(path)
-    return readers.read_xml(t.spark, path, "order", ORDER_SCHEMA)
 
-
-add("s05_xml", _xml, _ORDERS)
-add("s06_sniffed", lambda t: readers.read_delimited(t.spark, writers.write_csv(plain_orders(t), _file(t, "txt"), sep="|"), ORDER_SCHEMA), _ORDERS)
+add("s05_xml", lambda t: _stamped(readers.read_xml(t.spark, writers.write_xml(t.orders, _file(t, "xml"), "order"), "order", ORDER_SCHEMA)), _ORDERS)
+add("s06_sniffed", lambda t: _stamped(readers.read_delimited(t.spark, writers.write_csv(t.orders, _file(t, "txt"), sep="|"), ORDER_SCHEMA)), _ORDERS)
+_LAYOUT = [("o_orderkey", 1, 20), ("o_custkey", 21, 20), ("o_orderstatus", 42, 3), ("o_totalprice", 45, 26), ("o_orderdate", 72, 26), ("o_orderpriority", 99, 20)]
 
 
 def _fixed(t):
-    path = _file(t, "rpt")
-    wide = F.concat(F.rpad(F.col("o_orderkey").cast("string"), 12, " "), F.rpad("o_orderstatus", 3, " "), F.rpad("o_orderpriority", 20, " "))
-    t.orders.select(wide.alias("value")).write.text(path)
-    rows = readers.read_fixed_width(t.spark, path, [("o_orderkey", 1, 12), ("o_orderstatus", 13, 3), ("o_orderpriority", 16, 20)])
-    return rows.withColumn("o_orderkey", F.col("o_orderkey").cast("bigint"))
+    rows = readers.read_fixed_width(t.spark, writers.write_fixed_width(t.orders, _file(t, "rpt"), _LAYOUT), _LAYOUT)
+    typed = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_totalprice": "double", "o_orderdate": "timestamp_ntz"}
+    return _stamped(rows.withColumns({c: F.col(c).cast(kind) for c, kind in typed.items()}))
 
 
-add("s07_fixed_width", _fixed, "SELECT o_orderkey, o_orderstatus, o_orderpriority FROM {orders}")
+add("s07_fixed_width", _fixed, _ORDERS)
 
 
 def _folder(t):
@@ -386,12 +388,15 @@ def _folder(t):
     writers.write_csv(t.nation, f"{base}/nation.csv")
     writers.write_json(t.region, f"{base}/region.json")
     writers.write_parquet(t.customer, f"{base}/customer.parquet")
-    return _union([readers.table_profile(df, n).select("table_name", "row_count", "column_count") for n, df in readers.read_folder(t.spark, readers.list_folder(t.spark, base)).items()])
+    writers.write_xml(t.supplier, f"{base}/supplier.xml")
+    writers.write_fixed_width(t.orders, f"{base}/orders.prn", _LAYOUT)
+    tables = readers.read_folder(t.spark, readers.list_folder(t.spark, base), layouts={"orders": _LAYOUT})
+    return _union([readers.table_profile(df, n).select("table_name", "row_count", "column_count") for n, df in tables.items()])
 
 
 add(
     "s08_folder", _folder,
-    " UNION ALL ".join(f"SELECT '{n}' AS table_name, CAST(count(*) AS BIGINT) AS row_count, CAST({k} AS BIGINT) AS column_count FROM {{{n}}}" for n, k in (("nation", 3), ("region", 2), ("customer", 5))),
+    " UNION ALL ".join(f"SELECT '{n}' AS table_name, CAST(count(*) AS BIGINT) AS row_count, CAST({k} AS BIGINT) AS column_count FROM {{{n}}}" for n, k in (("nation", 3), ("region", 2), ("customer", 5), ("supplier", 4), ("orders", 6))),
 )
 
 
@@ -444,4 +449,9 @@ add(
     """SELECT o_orderstatus AS label, CAST(count(*) AS BIGINT) AS n, round(sum(o_totalprice), 2) AS total FROM {orders} GROUP BY 1
     UNION ALL SELECT 'nation', CAST(count(*) AS BIGINT), sum(n_nationkey)::DOUBLE FROM {nation} UNION ALL SELECT 'region', CAST(count(*) AS BIGINT), sum(r_regionkey)::DOUBLE FROM {region}""",
 )
-add("s14_preview", lambda t: readers.preview(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity"), 5, ["l_orderkey", "l_linenumber", "l_partkey"]), "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM {lineitem} ORDER BY l_orderkey, l_linenumber, l_partkey LIMIT 5")
+_FIRST = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+add(
+    "s14_preview",
+    lambda t: _stamped(readers.preview(t.lineitem, 5, _FIRST), "l_shipdate"),
+    "SELECT * REPLACE (strftime(l_shipdate, '%Y-%m-%d %H:%M:%S.%f') AS l_shipdate) FROM {lineitem} ORDER BY " + ", ".join(_FIRST) + " LIMIT 5",
+)

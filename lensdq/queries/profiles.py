@@ -9,9 +9,10 @@ from lensdq.functions.wordlists import (
     DIMENSION_HINTS, DIMENSION_WEIGHTS, FORMAT_PATTERNS, KPI_HINTS, SUSPECT_VALUES,
 )
 from lensdq.operators import dimensions as dim
-from lensdq.operators import profile
+from lensdq.operators import profile, summaries
 from lensdq.plans import scan
 from lensdq.queries.base import AS_OF, Suite, each
+from lensdq.sources.writers import scratch_path
 
 suite = Suite()
 add = suite.add
@@ -535,3 +536,25 @@ add(
         round(quantile_cont(@c, 0.75), 4) AS q75, round(max(@c), 4) AS max_value FROM {lineitem}""",
     ),
 )
+
+
+def _incremental(t):
+    """The table arrives in three parts, the second one twice; only stored summaries are merged."""
+    store = summaries.SummaryStore(t.spark, scratch_path(t.spark, "summaries"))
+    for part in (0, 1, 2, 1):
+        store.add(t.gappy.where(F.col("l_orderkey") % 3 == part), f"part={part}")
+    return store.profile().select(
+        "column_name", "parts", "row_count", "null_count", F.round("min_value", 4).alias("min_value"), F.round("max_value", 4).alias("max_value"), F.round("total", 2).alias("total"),
+        F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "zero_count", "negative_count",
+    )
+
+
+_GAPPY_NUMBERS = ["l_orderkey", "line", "l_linenumber", "l_tax", "l_quantity"]
+add(
+    "q01_incremental_profile",
+    _incremental,
+    each(_GAPPY_NUMBERS, """SELECT '@c' AS column_name, CAST(3 AS BIGINT) AS parts, CAST(count(*) AS BIGINT) AS row_count, CAST(count(*) - count(@c) AS BIGINT) AS null_count, round(min(@c)::DOUBLE, 4) AS min_value, round(max(@c)::DOUBLE, 4) AS max_value,
+    round(sum(@c)::DOUBLE, 2) AS total, round(avg(@c), 4) AS mean, round(stddev_samp(@c), 4) AS std, CAST(count(*) FILTER (@c = 0) AS BIGINT) AS zero_count, CAST(count(*) FILTER (@c < 0) AS BIGINT) AS negative_count FROM {gappy}""")
+    + "\nUNION ALL\n"
+    + each(["l_shipdate", "l_returnflag"], "SELECT '@c', 3, count(*), count(*) - count(@c), NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM {gappy}"),
+)

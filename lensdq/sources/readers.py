@@ -85,14 +85,21 @@ def read_fixed_width(spark: SparkSession, path: str, fields: list[tuple[str, int
 READERS = {"csv": read_csv, "tsv": read_tsv, "parquet": read_parquet, "json": read_json, "txt": read_delimited}
 
 
-def read_folder(spark: SparkSession, paths: list[str]) -> dict[str, DataFrame]:
-    """One table per data file or data directory, named after its stem; the ending picks the reader."""
+def read_folder(spark: SparkSession, paths: list[str], row_tag: str = "row", layouts: dict[str, list[tuple[str, int, int]]] | None = None) -> dict[str, DataFrame]:
+    """One table per data file or data directory, named after its stem; the ending picks the reader.
+
+    XML entries hold one record per ``row_tag``; an entry whose stem has a layout is fixed-width
+    text, whatever its ending.
+    """
     tables = {}
     for path in paths:
         stem, _, ending = path.rstrip("/").rsplit("/", 1)[-1].rpartition(".")
-        reader = READERS.get(ending.lower())
-        if reader is not None:
-            tables[stem] = reader(spark, path)
+        if stem in (layouts or {}):
+            tables[stem] = read_fixed_width(spark, path, layouts[stem])
+        elif ending.lower() == "xml":
+            tables[stem] = read_xml(spark, path, row_tag)
+        elif ending.lower() in READERS:
+            tables[stem] = READERS[ending.lower()](spark, path)
     return tables
 
 
