@@ -79,13 +79,14 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts that a smaller id holds, under whatever version they stand by then.
     """
     ranks = {v: bpe.read_ranks(public_tokenizers.path(f"{v}.tiktoken")) for v in ("byte_bpe_50k", "byte_bpe_multi_50k")}
-    counted = saved(rollup.count_tokens(read_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), "counts")
+    foreign = F.coalesce(F.col("lang") != "en", F.lit(True))
+    documents = read_table(spark, sf_dir, "documents")
+    counted = saved(rollup.count_tokens(documents, ranks, public_tokenizers.PATTERN, wanted={"byte_bpe_multi_50k": foreign}), "counts")
 
     def under(rows: DataFrame, version: str) -> DataFrame:
         return rows.select("source", "lang", F.lit(version).alias("tokenizer_version"), F.col("tokens")[version].alias("n_tokens"))
 
     first, second = "byte_bpe_50k", "byte_bpe_multi_50k"
-    foreign = F.coalesce(F.col("lang") != "en", F.lit(True))
     lowest = counted.groupBy("digest").agg(F.min("doc_id").alias("lowest"), F.count(F.lit(1)).alias("n")).where("n > 1")
     copies = counted.join(lowest, "digest").where("doc_id > lowest")
     book = rollup.Rollup(spark, scratch_path(spark, "rollup"))

@@ -3,52 +3,61 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from operator import mul
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lensdq.llm.bpe import merge_word
 
 KEYS = ["source", "lang", "tokenizer_version"]
 #: Words whose token counts a task remembers.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 
-def count_tokens(df: DataFrame, tokenizers: dict[str, dict[bytes, int]], pattern: str, doc_id: str = "doc_id", source: str = "source", lang: str = "lang", text: str = "text") -> DataFrame:
+def count_tokens(df: DataFrame, tokenizers: dict[str, dict[bytes, int]], pattern: str, doc_id: str = "doc_id", source: str = "source", lang: str = "lang", text: str = "text", wanted: dict[str, Column] | None = None) -> DataFrame:
     """(doc_id, source, lang, digest, tokens map<version, count>): byte-level BPE token counts of whole texts.
 
-    All tokenizers share one pre-token pattern. Null texts have no tokens. ``digest`` is the hash
-    of the text, null for null. Each row is counted for itself.
+    All tokenizers share one pre-token pattern. ``wanted`` names the rows that a version is to
+    count (all, where it names none); other rows lack the version in ``tokens``. Null texts have
+    no tokens. ``digest`` is the hash of the text, null for null. Each row is counted for itself;
+    a task remembers the counts of ``REMEMBERED`` words.
     """
-    slim = df.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(lang).cast("string").alias("lang"), F.sha2(F.col(text).cast("string").cast("binary"), 256).alias("digest"), F.col(text).cast("string").alias("text"))
-    shared = df.sparkSession.sparkContext.broadcast(tokenizers)
     versions = sorted(tokenizers)
+    asked = F.array(*[F.coalesce((wanted or {}).get(v, F.lit(True)), F.lit(False)) for v in versions])
+    slim = df.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(lang).cast("string").alias("lang"), F.sha2(F.col(text).cast("string").cast("binary"), 256).alias("digest"), F.col(text).cast("string").alias("text"), asked.alias("asked"))
+    shared = df.sparkSession.sparkContext.broadcast(tokenizers)
     kind = slim.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import Counter
 
         import regex
+        import tiktoken
 
         cut = regex.compile(pattern).findall
-        ranks = [shared.value[v] for v in versions]
+        pieces = {v: tiktoken.Encoding(v, pat_str=pattern, mergeable_ranks=shared.value[v], special_tokens={})._core_bpe.encode_single_piece for v in versions}
+
+        def sizes_of(version: str) -> Callable[[str], int]:
+            ranks, piece = shared.value[version], pieces[version]
+
+            @lru_cache(REMEMBERED)
+            def size(word: str) -> int:
+                raw = word.encode()
+                # The library's merge is quadratic in long words.
+                return len(piece(raw)) if len(raw) <= 200 else len(merge_word(raw, ranks))
 
-        @lru_cache(REMEMBERED)
-        def sizes(word: str) -> tuple[int, ...]:
-            raw = word.encode()
-            return tuple(len(merge_word(raw, r)) for r in ranks)
+            return size
 
+        sizes = [sizes_of(v) for v in versions]
         for batch in batches:
             counted = []
-            for value in batch.column(4):
-                sums = [0] * len(versions)
-                for word, times in Counter(cut(value.as_py() or "")).items():
-                    for i, n in enumerate(sizes(word)):
-                        sums[i] += n * times
-                counted.append(list(zip(versions, sums, strict=True)))
+            for value, marks in zip(batch.column(4), batch.column(5).to_pylist(), strict=True):
+                words = Counter(cut(value.as_py() or ""))
+                counted.append([(v, sum(map(mul, map(size, words), words.values()))) for v, size, mark in zip(versions, sizes, marks, strict=True) if mark])
             yield pa.record_batch([*(batch.column(i) for i in range(4)), pa.array(counted, pa.map_(pa.string(), pa.int64()))], ["doc_id", "source", "lang", "digest", "tokens"])
 
     return slim.mapInArrow(run, f"doc_id {kind}, source string, lang string, digest string, tokens map<string,bigint>").withColumnRenamed("doc_id", doc_id)
