@@ -69,6 +69,12 @@ def paragraphs(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     return kept.select("doc_id", "row", F.size("lines").cast("bigint").alias("n_paragraphs"), F.explode_outer("lines").alias("p")).select("doc_id", "row", "n_paragraphs", "p.place", "p.paragraph")
 
 
+def _with_grams(rows: DataFrame) -> DataFrame:
+    """``rows`` with the distinct grams of their paragraph; the words are a column first, so they are cut once."""
+    cut = rows.withColumn("_w", words_of(F.col("paragraph")))
+    return cut.withColumn("grams", F.coalesce(F.array_distinct(grams(F.col("_w"))), F.array().cast("array<string>"))).drop("_w")
+
+
 def _template_rows(spark: SparkSession, templates: dict[str, list[str]]) -> DataFrame:
     rows = [(f, t) for f in sorted(templates) for t in templates[f]]
     frame = spark.createDataFrame(rows, "family string, template string").withColumn("grams", F.array_distinct(grams(words_of(F.col("template")))))
@@ -107,7 +113,8 @@ def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: di
     n = df.agg(F.sum(F.size(F.split(F.col(text).cast("string"), "\n"))).alias("n")).first()["n"] or 0
     rate = min(1.0, 2.0 * sample / max(n, 1))
     drawn = lines.where(unit_hash(2, F.col("paragraph"), F.col("doc_id").cast("string"), F.col("place")) < rate)
-    known = drawn.select("paragraph", F.array_distinct(grams(words_of(F.col("paragraph")))).alias("grams"), (unit_hash(3, F.col("paragraph")) < 0.5).alias("train"))
+    # Written before it is compared: the comparison names the grams once for every template.
+    known = saved(_with_grams(drawn).select("paragraph", "grams", (unit_hash(3, F.col("paragraph")) < 0.5).alias("train")), "drawn")
     best = F.greatest(*[overlap(F.col("grams"), F.array(*[F.lit(g) for g in t])) for t in all_grams], F.lit(0.0))
     others = saved(known.where(best < 0.5), "paragraphs")
     negatives = others.where("train").select(F.lit(0.0).alias("label"), F.lit(1.0).alias("weight"), "grams")
@@ -133,7 +140,7 @@ def scan_paragraphs(df: DataFrame, model: LicenseModel, doc_id: str = "doc_id",
     (``likeness``); otherwise ``unknown``. Paragraphs without licence text are left out, but every
     row of ``df`` stays: one without any has a single row with null place.
     """
-    rows = paragraphs(df, doc_id, text).withColumn("grams", F.coalesce(F.array_distinct(grams(words_of(F.col("paragraph")))), F.array().cast("array<string>")))
+    rows = _with_grams(paragraphs(df, doc_id, text))
     scored = model.model.transform(_features(rows)).withColumn("p", vector_to_array("probability"))
     licence = (1 - F.col("p")[0] >= model.cutoff) & F.col("paragraph").isNotNull()
     chances = F.slice("p", 2, len(model.families) - 1)
