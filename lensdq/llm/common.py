@@ -85,16 +85,21 @@ def _match(df: DataFrame, keys: list[str]) -> Column:
 
 
 class WordHashes(dict):
-    """64-bit hashes of words, kept while there are fewer than ``most`` of them."""
+    """64-bit hashes of words, kept while there are fewer than ``most`` of them; long words are not kept.
 
-    def __init__(self, most: int = 1 << 20):
+    With 64 bytes a word at most, the table stays below about 25 MB.
+    """
+
+    def __init__(self, most: int = 1 << 17, longest: int = 64):
         super().__init__()
-        self.most = most
+        self.most, self.longest = most, longest
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= self.longest:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = value
         return value
 
 

@@ -166,7 +166,8 @@ def near_duplicates(df: DataFrame, percent: int = 80, doc_id: str = "doc_id", te
     # that width: a node goes to its own class and the next, and a pair meets where one is at home.
     home = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / min(percent, 99)) * (1 + 1e-9)))
     classed = multi.join(per_node(members.select("node", "n", "score")), "node").withColumn("class", home)
-    of_members = bounded_join(docs, members.select(F.col("low").alias("doc_id")).distinct(), ["doc_id"], few, FEW_NODES, "left_semi")
+    # Texts without an id cannot be told by it: all of them are read, and those of members kept by their hash.
+    of_members = bounded_join(docs, members.select(F.col("low").alias("doc_id")).distinct(), ["doc_id"], few, FEW_NODES, "left_semi").unionByName(docs.where("doc_id is null"))
     hashed = of_members.mapInArrow(_sets, "node binary, grams array<bigint>, parity array<bigint>").join(per_node(members.select("node")), "node", "left_semi")
     grams = saved(hashed.groupBy("node").agg(F.any_value("grams").alias("grams"), F.any_value("parity").alias("parity")), "shingles")
     twice = classed.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("up"))
