@@ -16,6 +16,13 @@ from lensdq.session import read_table
 
 #: Ids up to this number, 16 MB, are broadcast rather than shuffled with the texts.
 FEW_IDS = 1_000_000
+#: Bytes of texts that go to a Python worker at a time.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts travel to Python and back in batches of bounded bytes, whatever their lengths."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,6 +30,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Texts without a letter, and texts that no language explains better than chance, go.
     """
+    small_batches(spark)
     found = langid.identify(docs, langid.fit(docs))
     kept = found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("lang_gain") > 0))
     return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
@@ -30,6 +38,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    small_batches(spark)
     kept = saved(neardup.near_duplicates(docs, percent=80).where("kept").select(F.col("doc_id").alias("_kept")).distinct(), "kept")
     side = F.broadcast(kept) if kept.count() <= FEW_IDS else kept
     return docs.join(side, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi").select(*docs.columns)
@@ -49,6 +58,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document, encoded and decoded again."""
+    small_batches(spark)
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return bpe.digests(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
 
