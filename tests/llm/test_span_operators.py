@@ -9,7 +9,7 @@ import zlib
 
 import pytest
 
-from lensdq.llm import periodic, phrases, queries, winnow
+from lensdq.llm import neardup, periodic, phrases, queries, winnow
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, d1 int, block string, part string, w int, n int, h string, runs int"
 CLASH = ("src", 1, 7, "clash", "clash", 3, 4, "clash", 5)
@@ -215,3 +215,12 @@ def test_planted_repeats_and_digests(spark, tmp_path):
         assert r["runs_sha256"] == hashlib.sha256("".join(f"{s},{length},{q}\n" for s, length, q in runs).encode()).hexdigest()
         assert r["collapsed_sha256"] == hashlib.sha256(_collapsed_by_hand(words, runs).encode()).hexdigest()
     assert planted
+
+
+def test_near_copies_without_ids_are_linked(spark):
+    words = [f"w{i}" for i in range(60)]
+    other = [f"v{i}" for i in range(60)]
+    rows = [(7, " ".join(words)), (None, " ".join([*words[:-1], "x"])), (None, " ".join(other)), (None, " ".join(["x", *other[1:]])), (9, "quite another text of some words here")]
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), percent=80).collect()
+    # The near copy of 7 belongs to it and goes; a component without any id has none and stays.
+    assert collections.Counter((r["doc_id"], r["component_id"], r["kept"]) for r in found) == collections.Counter([(7, 7, True), (None, 7, False), (None, None, True), (None, None, True), (9, 9, True)])
