@@ -23,8 +23,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = read_table(spark, sf_dir, "documents")
-    return licenses.scan(documents, licenses.fit(documents))
+    return licenses.scan(read_table(spark, sf_dir, "documents"), licenses.fit(spark))
 
 
 def op3_pii_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:

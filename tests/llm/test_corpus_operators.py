@@ -103,7 +103,7 @@ def test_license_families_and_unknown(spark, docs, rows, empty):
     notes = {1000: "Some prose first.\nReleased under the MIT License.", 1001: "Licensed under the Apache License, Version 2.0.\nLicensed under CC BY-NC 4.0.", 1002: "This work is licensed under the GNU General Public License, version 3.", 1003: "nothing of the kind"}
     extra = spark.createDataFrame([(k, v, "en", "s", 1, "c", 1, "c") for k, v in notes.items()], DOCS)
     whole = docs.unionByName(extra)
-    model = licenses.fit(whole, sample=200)
+    model = licenses.fit(spark)
     found = licenses.scan(whole, model).collect()
     assert len(found) == len(rows) + len(notes)
     by = {r["doc_id"]: r for r in found}
@@ -113,7 +113,40 @@ def test_license_families_and_unknown(spark, docs, rows, empty):
     assert all(not r["families"] for r in found if r["doc_id"] not in (1000, 1001, 1002))
     assert by[200]["n_paragraphs"] == by[201]["n_paragraphs"] == 0
     assert licenses.scan(empty, model).collect() == []
-    assert licenses.scan(empty, licenses.fit(empty)).collect() == []
+    assert licenses.scan(empty, licenses.fit(spark, {})).collect() == []
+    only = licenses.scan(extra, licenses.fit(spark, {})).collect()
+    assert all(not r["families"] for r in only) and {r["doc_id"]: r["n_unknown"] for r in only}[1000] <= 1
+
+
+def test_unlisted_licenses_are_unknown(spark):
+    unlisted = ["Released under the Foo Public License, see the file.", "Licensed under the Artistic License 2.0.", "This project is licensed under the Eclipse Public License 2.0", "Licensed under the Boost Software License, Version 1.0.", "Released under the GNU Foo License", "Released under the ISC License.", "Licence: EUPL-1.2"]
+    plain = ["Ein Mann ging mit dem Hund.", "They met in the hall and sat by the window.", "Mit und ohne.", "La maison est grande.", "12 34 56", "This is the work of a general."]
+    known = {"SPDX-License-Identifier: MIT": "mit", "Licensed under CC BY-SA 4.0.": "cc-by-sa", "Copyright 2019 Foo Inc. All rights reserved.": "proprietary"}
+    lines = [*unlisted, *plain, *known]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")
+    model = licenses.fit(spark)
+    got = {r["doc_id"]: r for r in licenses.scan_paragraphs(df, model).collect()}
+    for i, line in enumerate(lines):
+        want = "unknown" if line in unlisted else known.get(line)
+        assert got[i]["family"] == want, line
+    assert 0.5 <= model.cutoff < 1
+
+    # Likeness against the same sums in plain Python.
+    def grams(text):
+        words = regex.findall(r"[\p{L}\p{N}]+(?:[.-][\p{L}\p{N}]+)*", text.lower())
+        return {*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))}
+
+    classes = {**{f: [grams(t) for t in ts] for f, ts in model.templates.items()}, "unknown": [grams(t) for t in licenses.UNLISTED], "none": [grams(t) for t in licenses.PLAIN]}
+    users = collections.Counter(g for sets in classes.values() for g in set().union(*sets))
+    weight = {g: math.log(len(classes) / n) for g, n in users.items()}
+    most = max(weight.values())
+    for i, line in enumerate(lines):
+        if line in known:
+            own, best = grams(line), 0.0
+            for t in classes[known[line]]:
+                lighter = min(sum(weight.get(g, most) for g in own), sum(weight[g] for g in t))
+                best = max(best, sum(weight[g] for g in own & t) / lighter)
+            assert got[i]["likeness"] == pytest.approx(best)
 
 
 # 3. Personal data
