@@ -47,13 +47,8 @@ _DOMAIN = "CASE " + " ".join(f"WHEN starts_with(lower(column_name), '{p}') THEN
 ) + " ELSE 'General' END"
 _TERM = "regexp_replace(regexp_replace(column_name, '(?i)^(" + "|".join(PREFIX_DOMAIN) + ")', ''), '[_-]+', ' ', 'g')"
 _GLOSS = f"""gl AS (SELECT table_name, column_name, distinct_count, valid_values, upper(term[1]) || lower(term[2:]) AS term, domain,
-  CASE WHEN ends_with(column_name, 'date') OR ends_with(column_name, '_dt') THEN 'When ' || lower(term) || ' took place.'
-    WHEN ends_with(column_name, 'key') OR ends_with(column_name, '_id') THEN 'Key that tells one ' || lower(term) || ' from another.'
-    WHEN ends_with(column_name, '_amt') OR ends_with(column_name, 'amount') THEN 'Amount of ' || lower(term) || ' in base currency.'
-    WHEN ends_with(column_name, 'name') THEN 'Name under which ' || lower(term) || ' is shown.'
-    WHEN ends_with(column_name, 'status') THEN 'Stage that ' || lower(term) || ' has reached.'
-    ELSE CASE WHEN data_type IN ('bigint', 'int', 'double') THEN 'Number that gives the ' WHEN data_type = 'timestamp_ntz' THEN 'Point in time of the ' ELSE 'Text that gives the ' END || lower(term)
-      || CASE domain WHEN 'Financial' THEN ' in financial figures' WHEN 'Customer' THEN ' of a customer' WHEN 'Transaction' THEN ' of a transaction' WHEN 'Operations' THEN ' in daily operations' ELSE '' END || '.' END AS definition
+  data_type || ' of ' || table_name || ': ' || CASE WHEN row_count = 0 THEN 'no rows yet' WHEN distinct_count <= 1 THEN 'the same in all rows' WHEN valid_values IS NOT NULL THEN 'one of ' || replace(valid_values, '|', ', ')
+    WHEN distinct_count = row_count AND NOT nullable THEN 'tells the rows apart' ELSE distinct_count || ' values in ' || row_count || ' rows' END || CASE WHEN nullable THEN ', may be missing' ELSE '' END AS definition
   FROM (SELECT *, {_TERM} AS term, {_DOMAIN} AS domain FROM cat))"""
 
 add("g01_catalog", cat, "WITH " + _CAT + " SELECT * FROM cat")

@@ -186,7 +186,8 @@ WORKBOOK = [("Region", "string", "dimension"), ("Sales", "real", "measure"), ("P
 
 
 def _generated(t):
-    pools = {"Region": [r["r_name"] for r in t.region.orderBy("r_name").collect()], "Category": ["Electronics", "Furniture", "Clothing", "Food"]}
+    few = lambda df, c: sorted(r[c] for r in df.select(c).distinct().collect())  # pools of a handful of values
+    pools = {"Region": few(t.region, "r_name"), "Category": few(t.orders, "o_orderpriority")}
     return generate.generate_rows(t.orders.select(F.col("o_orderkey").alias("id")), WORKBOOK, "2024-06-30", 42, pools)
 
 
@@ -229,9 +230,16 @@ def _stale_days() -> str:
     return "CASE " + " ".join(cases) + " END"
 
 
+def _inventory(t):
+    """Workspaces are the nations, as often as they have suppliers."""
+    suppliers = t.supplier.groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n"))
+    pool = {r["n_name"]: float(r["n"]) for r in t.nation.join(suppliers, F.col("n_nationkey") == F.col("s_nationkey")).orderBy("n_name").collect()}
+    return generate.generate_inventory(t.orders.select(F.col("o_orderkey").alias("id")), pool)
+
+
 add(
     "n03_generate_inventory",
-    lambda t: portfolio.zombies(portfolio.derive(generate.generate_inventory(t.orders.select(F.col("o_orderkey").alias("id"))))),
+    lambda t: portfolio.zombies(portfolio.derive(_inventory(t))),
     f"""WITH s AS (SELECT {_stale_days()} AS days FROM (SELECT o_orderkey AS id FROM {{orders}}))
     SELECT over_days, CAST(count(*) FILTER (days > over_days) AS BIGINT) AS n, round(count(*) FILTER (days > over_days) * 100.0 / count(*), 1) AS pct FROM s, (VALUES (90), (180), (365)) o(over_days) GROUP BY 1""",
 )
