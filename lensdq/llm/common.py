@@ -59,9 +59,9 @@ def split_ranks(df: DataFrame, group: list[str], hashed: str, order: list[str],
     hash ranges; ranks are counted inside a range and start at the rows of the ranges before it.
     Only rows equal in ``hashed`` share a range for certain.
     """
-    size, piece, start = fresh(df, "_size", "_piece", "_start")
+    size, piece, start, *same = fresh(df, "_size", "_piece", "_start", *[f"_k{i}" for i in range(len(group) + 1)])
     sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias(size))
-    keyed = df.join(_same(sizes, group), _match(df, group)).drop(*[f"_k{i}" for i in range(len(group))])
+    keyed = df.join(_same(sizes, group, same), _match(df, group, same)).drop(*same)
     cut = keyed.withColumn(piece, F.floor(F.col(hashed) * F.ceil(F.col(size) / slice_rows)))
     counts = cut.groupBy(*group, piece).agg(F.count(F.lit(1)).alias(size))
     before = Window.partitionBy(*group).orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
@@ -69,18 +69,18 @@ def split_ranks(df: DataFrame, group: list[str], hashed: str, order: list[str],
     inner = Window.partitionBy(*group, piece).orderBy(hashed, *order)
     ranked = cut.drop(size).withColumn(rank, F.row_number().over(inner))
     keys = [*group, piece]
-    joined = ranked.join(_same(starts, keys), _match(ranked, keys)).drop(*[f"_k{i}" for i in range(len(keys))])
+    joined = ranked.join(_same(starts, keys, same), _match(ranked, keys, same)).drop(*same)
     return joined.withColumn(rank, F.col(rank) - 1 + F.col(start)).drop(piece, start)
 
 
-def _same(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+def _same(df: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    return df.withColumnsRenamed(dict(zip(keys, names)))
 
 
-def _match(df: DataFrame, keys: list[str]) -> Column:
+def _match(df: DataFrame, keys: list[str], names: list[str]) -> Column:
     test = F.lit(True)
-    for i, k in enumerate(keys):
-        test = test & df[k].eqNullSafe(F.col(f"_k{i}"))
+    for k, n in zip(keys, names):
+        test = test & df[k].eqNullSafe(F.col(n))
     return test
 
 

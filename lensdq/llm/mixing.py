@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lensdq.llm.common import saved, split_ranks, unit_hash, word_count
+from lensdq.llm.common import fresh, saved, split_ranks, unit_hash, word_count
 
 #: Largest number of times a document is taken.
 REPEATS = 3
@@ -114,14 +114,16 @@ def mix(df: DataFrame, source: str = "source", text: str = "text", doc_id: str =
 def mixed(df: DataFrame, source: str = "source", text: str = "text", doc_id: str = "doc_id", weights: tuple[int, ...] = (1, 2, 3), seed: int = 7) -> DataFrame:
     """The rows of ``df`` as the mix takes them, repeated ones several times.
 
-    Rows alike in id, source and size share the copies that were found for them together.
+    Rows alike in id, source and size share the copies that were found for them together. The
+    columns stay as they are, whatever their names.
     """
-    plan = mix(df, source, text, doc_id, weights, seed).groupBy(doc_id, source, "size").agg(F.sum("copies").alias("_all"), F.count(F.lit(1)).alias("_rows")).where("_all > 0")
-    found = plan.select(F.col(doc_id).alias("_d"), F.col(source).alias("_s"), F.col("size").alias("_z"), "_all", "_rows")
-    sized = df.withColumn("_size", word_count(F.col(text).cast("string")))
-    joined = sized.join(found, sized[doc_id].eqNullSafe(F.col("_d")) & sized[source].cast("string").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")))
-    place = F.row_number().over(Window.partitionBy("_d", "_s", "_z").orderBy(F.lit(0)))
+    every, rows, d, s, z, size, place, own, copy = fresh(df, "_all", "_rows", "_d", "_s", "_z", "_size", "_place", "_own", "_copy")
+    plan = mix(df, source, text, doc_id, weights, seed).select(F.col(doc_id).alias(d), F.col(source).alias(s), F.col("size").alias(z), "copies")
+    found = plan.groupBy(d, s, z).agg(F.sum("copies").alias(every), F.count(F.lit(1)).alias(rows)).where(F.col(every) > 0)
+    sized = df.withColumn(size, word_count(F.col(text).cast("string")))
+    joined = sized.join(found, sized[doc_id].eqNullSafe(F.col(d)) & sized[source].cast("string").eqNullSafe(F.col(s)) & (F.col(size) == F.col(z)))
+    nth = F.row_number().over(Window.partitionBy(d, s, z).orderBy(F.lit(0)))
     # Whole shares first, the remainder to the first rows.
-    own = F.floor((F.col("_all") + F.col("_rows") - F.col("_place")) / F.col("_rows")).cast("int")
-    shared = joined.withColumn("_place", F.when(F.col("_rows") > 1, place).otherwise(1)).withColumn("_own", own).where("_own > 0")
-    return shared.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_own")))).select(*[shared[c] for c in df.columns])
+    share = F.floor((F.col(every) + F.col(rows) - F.col(place)) / F.col(rows)).cast("int")
+    shared = joined.withColumn(place, F.when(F.col(rows) > 1, nth).otherwise(1)).withColumn(own, share).where(F.col(own) > 0)
+    return shared.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(own)))).select(*[shared[c] for c in df.columns])

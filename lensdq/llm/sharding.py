@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lensdq.llm.common import saved, split_ranks, unit_hash
+from lensdq.llm.common import fresh, saved, split_ranks, unit_hash
+from lensdq.operators.longform import ordered_prefix
 
 #: Bits per dimension; the curve has 2 ** (BITS * dimensions) cells.
 BITS = 5
@@ -58,11 +59,11 @@ def _cells(df: DataFrame, dimension: str, into: str, bits: int) -> DataFrame:
     kind = df.schema[dimension].dataType.typeName()
     top = 1 << bits
     if kind in ("string", "boolean", "binary"):
-        values = df.select(F.col(dimension).alias("_v")).where(F.col("_v").isNotNull()).distinct()
-        place = F.row_number().over(Window.orderBy("_v")) - 1
-        ranked = values.select("_v", place.alias("_p"), F.count(F.lit(1)).over(Window.partitionBy()).alias("_n"))
-        cells = ranked.select("_v", F.floor(F.col("_p") * top / F.greatest(F.col("_n"), F.lit(top))).cast("bigint").alias(into))
-        return df.join(cells, df[dimension] == F.col("_v"), "left").drop("_v").withColumn(into, F.coalesce(into, F.lit(0).cast("bigint")))
+        [value] = fresh(df, "_v")
+        # Sorted by range partitions, as there may be a value for every row.
+        values = ordered_prefix(df.select(F.col(dimension).alias(value)).where(F.col(value).isNotNull()).distinct(), [F.col(value)])
+        cells = values.select(value, F.floor(F.col("pos") * top / max(values.count(), top)).cast("bigint").alias(into))
+        return df.join(cells, df[dimension] == F.col(value), "left").drop(value).withColumn(into, F.coalesce(into, F.lit(0).cast("bigint")))
     number = F.col(dimension).cast("double")
     marks = [i / top for i in range(1, top)]
     cuts = df.agg(F.percentile_approx(number, marks, 10_000).alias("c")).first()["c"] or []
@@ -79,26 +80,28 @@ def shard(df: DataFrame, dimensions: list[str], shards: int, key: list[str], bit
     counted (at most 2 ** (bits * dimensions) rows) and a cell with very many rows is ranked in
     slices, so nothing is sorted in one task. Texts get cells by the rank of their distinct values
     and numbers by equal depth; nulls share the lowest cell. Rows equal in ``key`` may trade
-    places. With fewer rows than shards some shards stay empty; no rows give no rows.
+    places. With fewer rows than shards some shards stay empty; no rows give no rows. Columns
+    that are called hilbert, shard or slot already are replaced.
     """
     if len(dimensions) > MOST_DIMENSIONS:
         raise ValueError(f"at most {MOST_DIMENSIONS} dimensions")
-    celled = df.withColumn("_h", unit_hash(6, *[F.col(k).cast("string") for k in key]))
-    names = [f"_x{i}" for i in range(len(dimensions))]
+    hashed, cell, other, many, curve, start, total, place, at, part, *names = fresh(df, "_h", "_cell", "_c", "_m", "_curve", "_first", "_total", "_place", "_at", "_part", *[f"_x{i}" for i in range(len(dimensions))])
+    celled = df.withColumn(hashed, unit_hash(6, *[F.col(k).cast("string") for k in key]))
     for d, n in zip(dimensions, names, strict=True):
         celled = _cells(celled, d, n, bits)
     packed = sum((F.col(n) * (1 << (bits * i)) for i, n in enumerate(names)), F.lit(0).cast("bigint"))
-    celled = saved(celled.withColumn("_cell", packed).drop(*names), "cells")
-    axes = [F.call_function("shiftright", F.col("_cell"), F.lit(bits * i)).bitwiseAND(F.lit((1 << bits) - 1).cast("bigint")) for i in range(len(names))]
-    cells = celled.groupBy("_cell").agg(F.count(F.lit(1)).alias("_m")).withColumn("hilbert", hilbert_index(axes, bits))
-    before = Window.orderBy("hilbert").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cells.select(F.col("_cell").alias("_c"), "hilbert", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_start"), F.sum("_m").over(Window.partitionBy()).alias("_total"))
-    ranked = split_ranks(celled, ["_cell"], "_h", key, "_place")
-    placed = ranked.join(starts, F.col("_cell") == F.col("_c")).withColumn("_at", F.col("_start") + F.col("_place"))
-    exact = F.expr(f"(_at * {shards}) div _total")
-    first = F.expr(f"(shard * _total + {shards - 1}) div {shards}")
-    out = placed.withColumn("shard", exact.cast("int")).withColumn("slot", (F.col("_at") - first).cast("bigint"))
-    return out.select(*df.columns, "hilbert", "shard", "slot")
+    celled = saved(celled.withColumn(cell, packed).drop(*names), "cells")
+    axes = [F.call_function("shiftright", F.col(cell), F.lit(bits * i)).bitwiseAND(F.lit((1 << bits) - 1).cast("bigint")) for i in range(len(names))]
+    cells = celled.groupBy(cell).agg(F.count(F.lit(1)).alias(many)).withColumn(curve, hilbert_index(axes, bits))
+    before = Window.orderBy(curve).rowsBetween(Window.unboundedPreceding, -1)
+    starts = cells.select(F.col(cell).alias(other), curve, F.coalesce(F.sum(many).over(before), F.lit(0)).alias(start), F.sum(many).over(Window.partitionBy()).alias(total))
+    ranked = split_ranks(celled, [cell], hashed, key, place)
+    placed = ranked.join(starts, F.col(cell) == F.col(other)).withColumn(at, F.col(start) + F.col(place))
+    exact = F.expr(f"({at} * {shards}) div {total}")
+    first = F.expr(f"({part} * {total} + {shards - 1}) div {shards}")
+    out = placed.withColumn(part, exact.cast("int"))
+    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in ("hilbert", "shard", "slot")]
+    return out.select(*kept, F.col(curve).alias("hilbert"), F.col(part).alias("shard"), (F.col(at) - first).cast("bigint").alias("slot"))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
