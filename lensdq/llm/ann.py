@@ -36,9 +36,16 @@ class Router:
     def partitions(self) -> int:
         return len(self.b2)
 
+    @property
+    def layers(self) -> tuple[np.ndarray, ...]:
+        return self.mean, self.scale, self.w1, self.b1, self.w2, self.b2
+
     def logits(self, x: np.ndarray) -> np.ndarray:
-        h = np.tanh((x - self.mean) / self.scale @ self.w1 + self.b1)
-        return h @ self.w2 + self.b2
+        return layer_logits(x, *self.layers)
+
+
+def layer_logits(x: np.ndarray, mean: np.ndarray, scale: np.ndarray, w1: np.ndarray, b1: np.ndarray, w2: np.ndarray, b2: np.ndarray) -> np.ndarray:
+    return np.tanh((x - mean) / scale @ w1 + b1) @ w2 + b2
 
 
 def neighbour_graph(x: np.ndarray, k: int = 10) -> np.ndarray:
@@ -176,12 +183,13 @@ def nearest(df: DataFrame, queries: Column, k: int = 10, vec_id: str = "vec_id",
     groups = distinct_ids.withColumn("_r", lead).where(F.col("_r") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("first", F.col("ids")[0])
     vectors = saved(groups, "vectors")
     router = fit(vectors, sample)
-    shared = spark.sparkContext.broadcast(router)
+    # Plain arrays: executors need no package to read them.
+    shared, probes = spark.sparkContext.broadcast(router.layers), router.probes
 
     @F.pandas_udf("int")
     def home(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for v in batches:
-            yield pd.Series(shared.value.logits(np.array(v.tolist(), np.float32)).argmax(axis=1) if len(v) else [], dtype="int32")
+            yield pd.Series(layer_logits(np.array(v.tolist(), np.float32), *shared.value).argmax(axis=1) if len(v) else [], dtype="int32")
 
     placed = saved(vectors.withColumn("part", home("v")), "placed")
     sizes = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per partition
@@ -193,10 +201,10 @@ def nearest(df: DataFrame, queries: Column, k: int = 10, vec_id: str = "vec_id",
             if not len(v):
                 yield pd.Series([], dtype=object)
                 continue
-            order = np.argsort(-shared.value.logits(np.array(v.tolist(), np.float32)), axis=1, kind="stable")
+            order = np.argsort(-layer_logits(np.array(v.tolist(), np.float32), *shared.value), axis=1, kind="stable")
             enough = (np.cumsum(held[order], axis=1) > k + 1).argmax(axis=1) + 1
             enough = np.where(np.cumsum(held[order], axis=1)[:, -1] > k + 1, enough, order.shape[1])
-            yield pd.Series([o[: max(e, shared.value.probes)].tolist() for o, e in zip(order, enough, strict=True)])
+            yield pd.Series([o[: max(e, probes)].tolist() for o, e in zip(order, enough, strict=True)])
 
     asking = saved(rows.where("asks").select("id", "v").distinct(), "asking")
     asked = asking.groupBy("v").agg(F.min("id").alias("q"))

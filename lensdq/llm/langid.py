@@ -129,14 +129,15 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text", penalty: f
     added = ["lang_pred", "score", "lang_set", "lang_gain"]
     base = df.drop(*[c for c in df.columns if c.lower() in added])
     schema = StructType([*base.schema.fields, *StructType.fromDDL("lang_pred string, score double, lang_set array<struct<lang:string,share:double>>, lang_gain double")])
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    # Plain values: executors need no package to read them.
+    shared = df.sparkSession.sparkContext.broadcast((list(model.languages), model.shares))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
         import regex
 
-        names = shared.value.languages
-        shares = np.ascontiguousarray(np.array(shared.value.shares).T) if names else None
+        names, likely = shared.value
+        shares = np.ascontiguousarray(np.array(likely).T) if names else None
         letter = regex.compile(r"\p{L}").search
         set_type = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
         for batch in batches:
