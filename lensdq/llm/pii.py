@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lensdq.llm.common import bounded_join, saved
+from lensdq.llm.common import bounded_join, fresh, saved
 from lensdq.operators.match import clusters
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -268,17 +268,18 @@ def find(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **thresholds
     few = flagged.count()
     if not few:
         return found
+    own_terms, own_doc = fresh(df, "_terms", "_doc")
     held_by = texts.select("doc", F.explode(F.array_distinct(_units(F.col("text")))).alias("term"))
-    by_doc = bounded_join(held_by, flagged.select("term", "action"), ["term"], few, FEW_TERMS).groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("action", "term"))).alias("_pii_terms"))
-    joined = found.join(by_doc.withColumnRenamed("doc", "_pii_doc"), F.col(doc_id).eqNullSafe(F.col("_pii_doc")), "left")
+    by_doc = bounded_join(held_by, flagged.select("term", "action"), ["term"], few, FEW_TERMS).groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("action", "term"))).alias(own_terms))
+    joined = found.join(by_doc.withColumnRenamed("doc", own_doc), F.col(doc_id).eqNullSafe(F.col(own_doc)), "left")
     added = F.array().cast(shape)
     for action in ("generalise", "remove"):
-        own = F.transform(F.filter("_pii_terms", _acts(action)), lambda t: t["term"])
+        own = F.transform(F.filter(own_terms, _acts(action)), lambda t: t["term"])
         pattern = _any_of(own)
         hits = matches(words, pattern, F.size(own) > 0)
         added = F.concat(added, F.transform(hits, _span(F.lit(TERM), F.lit(action))))
     in_order = F.array_sort(added, lambda a, b: (a["start"] - b["start"]).cast("int"))
-    terms = F.when(F.col("_pii_terms").isNotNull(), in_order).otherwise(F.array().cast(shape))
+    terms = F.when(F.col(own_terms).isNotNull(), in_order).otherwise(F.array().cast(shape))
     return joined.withColumn("spans", F.concat("spans", terms).cast(shape)).select(*df.columns, "spans")
 
 
