@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lensdq.llm import bpe, langid, mixing, neardup, pii
-from lensdq.llm.common import saved
+from lensdq.llm.common import fresh, saved
 from lensdq.session import read_table
 
 
-#: Ids up to this number, 16 MB, are broadcast rather than shuffled with the texts.
-FEW_IDS = 1_000_000
+#: Keys of up to this number, 16 MB, are broadcast rather than shuffled with the texts.
+FEW_KEYS = 200_000
 #: Bytes of texts that go to a Python worker at a time.
 BATCH_BYTES = 8 << 20
 
@@ -37,11 +37,24 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    """Keep one document of each group of near-duplicates: five-word shingles, similarity 0.8 or more.
+
+    Rows are told by their id and their text, so null ids and ids that repeat are documents of
+    their own. Rows that repeat both are one document. Texts without words are linked with nothing.
+    """
     small_batches(spark)
-    kept = saved(neardup.near_duplicates(docs, percent=80).where("kept").select(F.col("doc_id").alias("_kept")).distinct(), "kept")
-    side = F.broadcast(kept) if kept.count() <= FEW_IDS else kept
-    return docs.join(side, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi").select(*docs.columns)
+    key, kept_key, rows = fresh(docs, "_key", "_kept", "_rows")
+    number = F.col("doc_id").cast("string")
+    # Ids of one width keep their order, null ids come last.
+    own_id = F.coalesce(F.lpad(number, F.greatest(F.length(number), F.lit(20)), F.lit("0")), F.lit("~"))
+    keyed = docs.withColumn(key, F.concat_ws(":", own_id, F.hex(F.xxhash64("text"))))
+    found = neardup.near_duplicates(keyed, percent=80, doc_id=key).where("kept")
+    kept = saved(found.groupBy(F.col(key).alias(kept_key)).agg(F.count(F.lit(1)).alias(rows)), "kept")
+    side = F.broadcast(kept) if kept.count() <= FEW_KEYS else kept
+    joined = keyed.join(side, F.col(key) == F.col(kept_key))
+    once = joined.where(F.col(rows) == 1).drop(kept_key, rows)
+    again = joined.where(F.col(rows) > 1).drop(kept_key, rows).dropDuplicates([key])
+    return once.unionByName(again).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
