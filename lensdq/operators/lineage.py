@@ -90,6 +90,52 @@ def impact(edges: DataFrame, nodes: DataFrame, start: str, depth: int | None = N
     )
 
 
+def reachable_from(edges: DataFrame, starts: DataFrame, direction: str = "down", depth: int | None = None, levels: int = 3) -> DataFrame:
+    """(start, id, distance, via) of all nodes within ``depth`` steps (None: all) of each start.
+
+    ``starts`` has a column ``id``. All starts walk together: one table holds (start, node,
+    distance), and ``levels`` steps are one plan with one checkpoint, so jobs grow with the depth
+    of the graph and not with the starts. ``via`` is the node before on a shortest way, the first
+    in text order; following it from any node gives the way back to the start. A start is not
+    reached by itself, cycles end, null ids and edges with a null end lead nowhere.
+    """
+    a, b = ("source", "target") if direction == "down" else ("target", "source")
+    steps = checkpointed(edges.select(F.col(a).alias("here"), F.col(b).alias("there")).where("here IS NOT NULL AND there IS NOT NULL").distinct())
+    first = starts.select(F.col("id").cast("string").alias("start")).where("start IS NOT NULL").distinct()
+    seen = edge_of = checkpointed(first.select("start", F.col("start").alias("id"), F.lit(0).alias("distance"), F.lit(None).cast("string").alias("via")))
+    done = 0
+    while depth is None or done < depth:
+        more = levels if depth is None else min(levels, depth - done)
+        walk, ways = edge_of, None
+        for step in range(1, more + 1):
+            next_to = walk.join(steps, walk["id"] == steps["here"]).groupBy("start", "there").agg(F.min("here").alias("via"))
+            walk = next_to.select("start", F.col("there").alias("id"), F.lit(done + step).alias("distance"), "via")
+            ways = walk if ways is None else ways.unionByName(walk)
+        nearest = ways.groupBy("start", "id").agg(F.min(F.struct("distance", "via")).alias("w")).select("start", "id", "w.distance", "w.via")
+        found = checkpointed(nearest.join(seen.select("start", "id"), ["start", "id"], "left_anti"))
+        done += more
+        seen = seen.unionByName(found)
+        edge_of = found.where(F.col("distance") == done)
+        if edge_of.isEmpty():
+            break
+    return seen.where(F.col("distance") > 0)
+
+
+def impacts(edges: DataFrame, nodes: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:
+    """``impact`` of every start in one walk; a start with nothing below it has zeros."""
+    below = reachable_from(edges, starts, "down", depth).join(nodes.select("id", "type"), "id", "left")
+    kind = F.col("type")
+    hit = lambda *names: F.count_if(kind.isin(*names))
+    counts = below.groupBy("start").agg(
+        F.count(F.lit(1)).alias("total_downstream"), hit("dashboard").alias("dashboards"), hit("report").alias("reports"),
+        hit("table").alias("tables"), hit("column").alias("columns"), F.max("distance").alias("depth"),
+    )
+    every = starts.select(F.col("id").cast("string").alias("start")).where("start IS NOT NULL").distinct().join(counts, "start", "left")
+    filled = every.fillna(0, ["total_downstream", "dashboards", "reports", "tables", "columns", "depth"])
+    severity = F.when((F.col("dashboards") > 0) | (F.col("reports") > 0), "HIGH").when(F.col("tables") > 0, "MEDIUM").otherwise("LOW")
+    return filled.withColumnRenamed("start", "impacted_node").withColumn("impact_severity", severity)
+
+
 def counts_by_type(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     n = nodes.groupBy(F.lit("node").alias("element"), F.col("type").alias("label")).agg(F.count(F.lit(1)).alias("n"))
     return n.unionByName(edges.groupBy(F.lit("edge").alias("element"), F.col("relationship").alias("label")).agg(F.count(F.lit(1)).alias("n")))

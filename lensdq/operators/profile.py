@@ -14,6 +14,7 @@ from lensdq.functions.columns import (
 )
 from lensdq.functions.typing import semantic_types
 from lensdq.functions.wordlists import DIMENSION_HINTS, KPI_HINTS
+from lensdq.operators.dependencies import column_counts, holding
 from lensdq.operators.longform import (
     distinct_stats, full_row_counts, gap_median, per_column, quantiles, time_gaps, top_values, value_counts,
 )
@@ -381,44 +382,18 @@ def correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def hierarchies(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Child-to-parent dependencies between text columns where the child has more than twice the values.
 
-    child determines parent exactly when (child, parent) has as many distinct pairs as child
-    has values among rows where both are present.
+    Column pairs are pruned by their distinct counts before any row is grouped; child determines
+    parent when no child value has two parents among rows where both are present.
     """
     columns = columns if columns is not None else string_columns(df)
-    pairs = list(combinations(columns, 2))
-    texts = df.select(*[as_text(df, c).alias(c) for c in columns])
-    entries = F.array(
-        *[
-            F.struct(F.lit(i).alias("pair"), F.col(quoted(a)).alias("a"), F.col(quoted(b)).alias("b"))
-            for i, (a, b) in enumerate(pairs)
-        ]
-    )
-    distinct_pairs = (
-        texts.select(F.explode(entries).alias("s")).select("s.*").distinct()
-    )
-    both = F.col("a").isNotNull() & F.col("b").isNotNull()
-    sided = distinct_pairs.where(both)
-
-    def fanout(child: str) -> DataFrame:
-        return sided.groupBy("pair", child).agg(F.count(F.lit(1)).alias("parents")).groupBy("pair").agg(
-            F.max("parents").alias(f"max_for_{child}")
-        )
-
-    stats = distinct_stats(value_counts(df, columns)).select("column_name", "distinct_count")
-    meta = df.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "pair int, a string, b string")
-    joined = (
-        meta.join(F.broadcast(stats.toDF("a", "na")), "a")
-        .join(F.broadcast(stats.toDF("b", "nb")), "b")
-        .join(F.broadcast(fanout("a")), "pair")
-        .join(F.broadcast(fanout("b")), "pair")
-    )
-    down = joined.where("na < nb AND nb > na * 2 AND max_for_b = 1").selectExpr(
-        "a AS parent", "b AS child", "na AS parent_cardinality", "nb AS child_cardinality"
-    )
-    up = joined.where("nb < na AND na > nb * 2 AND max_for_a = 1").selectExpr(
-        "b AS parent", "a AS child", "nb AS parent_cardinality", "na AS child_cardinality"
-    )
-    return down.unionByName(up)
+    counts = column_counts(df, columns)
+    wanted = {}
+    for child in columns:
+        parents = [p for p in columns if 0 < counts[p][0] and counts[child][0] > 2 * counts[p][0]]
+        if parents:
+            wanted[child,] = parents
+    rows = [(parent, child, counts[parent][0], counts[child][0]) for (child,), parent in sorted(holding(df, wanted, counts))]
+    return df.sparkSession.createDataFrame(rows, "parent string, child string, parent_cardinality bigint, child_cardinality bigint")
 
 
 def business_signals(df: DataFrame) -> DataFrame:

@@ -118,6 +118,17 @@ add(
         for s in ("nation:3", "region:2")
     ),
 )
+add(
+    "g08_impact_of_all",
+    lambda t: lineage.impacts(t.lineage_edges, t.lineage_nodes, t.lineage_nodes.where("type IN ('source_system', 'database')").select("id")),
+    """WITH RECURSIVE s AS (SELECT id FROM {lineage_nodes} WHERE type IN ('source_system', 'database')),
+    d(start, id, n) AS (SELECT id, id, 0 FROM s UNION SELECT start, target, n + 1 FROM d JOIN {lineage_edges} e ON e.source = d.id),
+    b AS (SELECT start, d.id, min(n) AS n, any_value(type) AS type FROM d JOIN {lineage_nodes} x ON x.id = d.id WHERE d.id <> start GROUP BY 1, 2)
+    SELECT s.id AS impacted_node, CAST(count(b.id) AS BIGINT) AS total_downstream, CAST(count(*) FILTER (type = 'dashboard') AS BIGINT) AS dashboards, CAST(0 AS BIGINT) AS reports,
+      CAST(count(*) FILTER (type = 'table') AS BIGINT) AS tables, CAST(count(*) FILTER (type = 'column') AS BIGINT) AS columns, CAST(coalesce(max(n), 0) AS INTEGER) AS depth,
+      CASE WHEN count(*) FILTER (type = 'dashboard') > 0 THEN 'HIGH' WHEN count(*) FILTER (type = 'table') > 0 THEN 'MEDIUM' ELSE 'LOW' END AS impact_severity
+    FROM s LEFT JOIN b ON b.start = s.id GROUP BY s.id""",
+)
 add(
     "g09_lineage_stats",
     lambda t: lineage.lineage_stats(t.lineage_nodes, t.lineage_edges),

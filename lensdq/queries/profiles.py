@@ -11,6 +11,7 @@ from lensdq.functions.wordlists import (
 from lensdq.operators import dimensions as dim
 from lensdq.operators import profile, summaries
 from lensdq.plans import scan
+from lensdq.operators.dependencies import dependencies
 from lensdq.queries.base import AS_OF, Suite, each
 from lensdq.sources.writers import scratch_path
 
@@ -488,6 +489,22 @@ add(
     ),
 )
 
+_FD = ("o_orderpriority", "o_orderstatus", "c_mktsegment", "n_name", "r_name", "o_orderkey")
+
+
+def _determines(left, right):
+    return f"(SELECT coalesce(max(k), 0) = 1 FROM (SELECT count(DISTINCT {right}) AS k FROM {{sales}} GROUP BY {', '.join(left)}))"
+
+
+_FD_SINGLE = [((a,), b) for a in _FD for b in _FD if a != b]
+_FD_DOUBLE = [((a, b), c) for i, a in enumerate(_FD) for b in _FD[i + 1 :] for c in _FD if c not in (a, b)]
+add(
+    "q23_dependencies",
+    lambda t: dependencies(t.sales, list(_FD), 2).select(F.array_join("determinant", ",").alias("determinant"), "dependent"),
+    " UNION ALL ".join(f"SELECT '{a[0]}' AS determinant, '{b}' AS dependent WHERE {_determines(a, b)}" for a, b in _FD_SINGLE) + " UNION ALL "
+    + " UNION ALL ".join(f"SELECT '{a},{b}', '{c}' WHERE {_determines((a, b), c)} AND NOT {_determines((a,), c)} AND NOT {_determines((b,), c)}" for (a, b), c in _FD_DOUBLE if "o_orderkey" not in (a, b)),
+)
+
 # --- Q24 business signals
 _KPI = "(" + " OR ".join(f"contains(s, '{w}')" for w in KPI_HINTS) + ")"
 _DIMH = "(" + " OR ".join(f"contains(s, '{w}')" for w in DIMENSION_HINTS) + ")"
