@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lensdq import streaming
 from lensdq.functions.wordlists import CLASS_HINTS, COST_PARAMETERS, PART_DOMAIN, PREFIX_DOMAIN
 from lensdq.operators import catalog, compliance, lineage, observe, relate, rules
 from lensdq.operators import governance as gov
+from lensdq.operators.rules import Rule
 from lensdq.plans.validate import validate_and_catalog
 from lensdq.queries.base import Suite
 from lensdq.queries.profiles import _DIMS_CTE, scan_all, scanned
 from lensdq.queries.rule_checks import MIXED, _BAD, result_sql
+from lensdq.sources.writers import scratch_path
 
 suite = Suite()
 add = suite.add
@@ -265,6 +268,32 @@ def _history_chain(t):
     return gov.degradation(store).select("table_name", "overall_change", "degraded").join(now, "table_name")
 
 
+def _streamed(t):
+    """Days of the events as a stream: two rules and a unique rule, appended to a history and read back."""
+    source = t.spark.readStream.schema(t.events.schema).parquet(f"{t.base_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+    rules = [Rule("known_user", "user_id", "not_null"), Rule("small", "value", "range", {"max": 100})]
+    place = scratch_path(t.spark, "stream")
+    runs = [
+        (streaming.windowed_results(source, rules, "ts", "1 day"), None, "rules"),
+        (streaming.key_counts(source, ["user_id"], "ts", "1 day"), lambda closed: streaming.unique_results(closed, "once_a_day"), "unique"),
+    ]
+    found = []
+    for results, fold, name in runs:
+        query = streaming.record(results, f"{place}/{name}", f"{place}/{name}-state", fold, once=True)
+        query.awaitTermination()
+        found.append(streaming.history(t.spark, f"{place}/{name}").drop("batch_id"))
+    return found[0].unionByName(found[1])
+
+
+add(
+    "g15_stream_history",
+    _streamed,
+    """WITH e AS (SELECT date_trunc('day', ts) AS d, user_id, value FROM {events} WHERE ts IS NOT NULL), closed AS (SELECT max(ts) - INTERVAL 1 HOUR AS upto FROM {events}),
+    r AS (SELECT d, 'known_user' AS rule_id, count(*) AS n, count(*) FILTER (user_id IS NULL) AS f FROM e GROUP BY d
+      UNION ALL SELECT d, 'small', count(*), count(*) FILTER (value > 100) FROM e GROUP BY d
+      UNION ALL SELECT d, 'once_a_day', sum(n), coalesce(sum(n) FILTER (n > 1 AND user_id IS NOT NULL), 0) FROM (SELECT d, user_id, count(*) AS n FROM e GROUP BY 1, 2) GROUP BY d)
+    SELECT CAST(d AS TIMESTAMP) AS window_start, rule_id, CAST(n AS BIGINT) AS total_rows, CAST(f AS BIGINT) AS failing_rows, round((n - f) * 100.0 / n, 2) AS pass_rate FROM r, closed WHERE d + INTERVAL 1 DAY <= upto""",
+)
 add(
     "g15_stored_scans_compared",
     _history_chain,
