@@ -7,12 +7,12 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lensdq.llm.common import WordHashes, saved, shingle_hashes
 
-#: Rules (a high score is bad) and their cutoffs from lax to strict, fixed before any label is seen.
+#: Rules (a high score is bad) and their cutoffs from lax to strict, as many for each, fixed before any label is seen.
 RULES: dict[str, list[float]] = {
     "symbol_share": [0.9, 0.7, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.075, 0.05, 0.03, 0.02],
     "dup_line_share": [0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.1],
@@ -91,44 +91,59 @@ def _fraction(a: float, b: float, x: float) -> float:
     return h
 
 
+def certified_step(good: list[int], bad: list[int], n: int, risk: float, level: float) -> int:
+    """The step to use, 0 for none, of rejections that grow from step to step.
+
+    ``good`` and ``bad`` count the holdout documents rejected at each step, ``n`` the good ones in
+    all. Steps are tested in order until the exact binomial test that more than ``risk`` of the
+    good documents are rejected can no longer be refuted at ``level``. Of the steps before, the
+    first that rejects the most bad documents is taken, none if none is rejected.
+    """
+    most = 0
+    for at, k in enumerate(good):
+        # Above the expected number the bound exceeds the risk anyway.
+        if k > n * risk or binomial_tail(int(k), int(n), risk) > level:
+            break
+        most = at + 1
+    return 1 + list(bad).index(bad[most - 1]) if most and bad[most - 1] > 0 else 0
+
+
 def certified_cutoffs(measured: DataFrame, labels: DataFrame, doc_id: str = "doc_id", quality: str = "quality", risk: float = 0.01, confidence: float = 0.95) -> DataFrame:
     """(stratum, rule, cutoff): from which score on a rule rejects documents of a stratum.
 
-    All labelled documents are the holdout; the cutoffs to test are fixed in ``RULES``. A cutoff
-    is certified if the exact binomial (Clopper-Pearson) upper bound on the share of good
-    documents it rejects is at most ``risk`` divided by the number of rules. The error level
-    1 - ``confidence`` is divided by strata times rules (Bonferroni); within a rule cutoffs are
-    tested from lax to strict until the first fails, which needs no further correction. So with
-    ``confidence``, in no stratum more than ``risk`` of the good documents are rejected. Of the
-    certified cutoffs the laxest that rejects the most bad documents is taken, none if none does.
-    Several labels of one document count as bad if any is; null labels take no part.
+    All labelled documents are the holdout; the cutoffs to test are fixed in ``RULES``. Step i
+    rejects what any rule rejects at its i-th cutoff, so the rules are tested together and share
+    one bound: a step is certified if the exact binomial (Clopper-Pearson) upper bound on the
+    share of good documents it rejects is at most ``risk``. The error level 1 - ``confidence`` is
+    divided by the strata (Bonferroni); within a stratum steps are tested from lax to strict until
+    the first fails, which needs no further correction. So with ``confidence``, in no stratum more
+    than ``risk`` of the good documents are rejected. Of the certified steps the laxest that
+    rejects the most bad documents is taken, with those of its rules that reject any; a part of a
+    certified step rejects no more than the whole. Several labels of one document count as bad if
+    any is; null labels take no part.
     """
     known = labels.where(F.col(quality).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_d")).agg((F.min(quality) > 0).alias("good"))
     joined = measured.join(known, F.col(doc_id) == F.col("_d"))
-    tested = [F.struct(F.lit(r).alias("rule"), _passed(s, RULES[r]).alias("passed")) for r, s in scores().items()]
-    counts = joined.select("stratum", "good", F.explode(F.array(*tested)).alias("t")).groupBy("stratum", "t.rule", "t.passed").agg(F.count(F.when(F.col("good"), 1)).alias("good"), F.count(F.when(~F.col("good"), 1)).alias("bad"))
-    per = saved(counts, "labelled")
+    reached = joined.select("stratum", "good", *[_passed(s, RULES[r]).alias(r) for r, s in scores().items()])
+    # A row per stratum, label and set of cutoffs reached, whatever the number of labels.
+    per = saved(reached.groupBy("stratum", "good", *RULES).agg(F.count(F.lit(1)).alias("n")), "labelled")
     strata = max(1, per.select("stratum").distinct().count())
-    level = (1 - confidence) / (strata * len(RULES))
-    limit = risk / len(RULES)
-
-    @F.pandas_udf("double")
-    def tail(k: pd.Series, n: pd.Series) -> pd.Series:
-        # Above the expected number the bound exceeds the limit anyway.
-        return pd.Series([1.0 if a > b * limit else binomial_tail(int(a), int(b), limit) for a, b in zip(k, n, strict=True)])
-
-    # A score that reaches ``least`` of the cutoffs reaches this one, as they descend.
-    cuts = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(i + 1).alias("at"), F.lit(len(cs) - i).alias("least"), F.lit(c).alias("cutoff")) for r, cs in RULES.items() for i, c in enumerate(cs)]))
-    grid = per.select("stratum").distinct().select("stratum", cuts.alias("c")).select("stratum", "c.*")
-    totals = per.groupBy("stratum", "rule").agg(F.sum("good").alias("n"))
-    hit = per.select(F.col("stratum").alias("s"), F.col("rule").alias("r"), "passed", F.col("good").alias("g"), F.col("bad").alias("b"))
-    same = F.col("stratum").eqNullSafe(F.col("s")) & (F.col("rule") == F.col("r")) & (F.col("passed") >= F.col("least"))
-    rejected = grid.join(hit, same, "left").groupBy("stratum", "rule", "at", "cutoff").agg(F.coalesce(F.sum("g"), F.lit(0)).alias("k"), F.coalesce(F.sum("b"), F.lit(0)).alias("bad"))
-    t = totals.select(F.col("stratum").alias("s2"), F.col("rule").alias("r2"), "n")
-    judged = rejected.join(t, F.col("stratum").eqNullSafe(F.col("s2")) & (F.col("rule") == F.col("r2"))).withColumn("tail", tail("k", "n"))
-    order = Window.partitionBy("stratum", "rule").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    passed = judged.withColumn("worst", F.max("tail").over(order)).where((F.col("worst") <= level) & (F.col("bad") > 0))
-    return passed.groupBy("stratum", "rule").agg(F.max_by("cutoff", F.struct("bad", -F.col("at"))).alias("cutoff"))
+    level = (1 - confidence) / strata
+    steps = len(next(iter(RULES.values())))
+
+    # A score that reaches ``steps`` + 1 - i of the cutoffs reaches the i-th, as they descend.
+    def rejected(score: Column, which: Column) -> Column:
+        return F.array(*[F.coalesce(F.sum(F.when(which & (score >= steps + 1 - at), F.col("n"))), F.lit(0)) for at in range(1, steps + 1)])
+
+    @F.pandas_udf("int")
+    def step(good: pd.Series, bad: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([certified_step(list(g), list(b), k, risk, level) for g, b, k in zip(good, bad, n, strict=True)])
+
+    is_good, any_rule = F.col("good"), F.greatest(*RULES)
+    of_rules = F.array(*[F.struct(F.lit(r).alias("rule"), rejected(F.col(r), ~is_good).alias("bad"), F.array(*map(F.lit, RULES[r])).alias("cutoffs")) for r in RULES])
+    facts = per.groupBy("stratum").agg(rejected(any_rule, is_good).alias("good"), rejected(any_rule, ~is_good).alias("bad"), F.coalesce(F.sum(F.when(is_good, F.col("n"))), F.lit(0)).alias("n"), of_rules.alias("rules"))
+    chosen = facts.withColumn("step", step("good", "bad", "n")).where("step > 0").select("stratum", "step", F.explode("rules").alias("r"))
+    return chosen.where("element_at(r.bad, step) > 0").select("stratum", "r.rule", F.expr("element_at(r.cutoffs, step)").alias("cutoff"))
 
 
 def _passed(score: Column, cutoffs: list[float]) -> Column:
