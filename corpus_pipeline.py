@@ -17,7 +17,7 @@ from lensdq.session import read_table
 #: Keys of up to this number, 16 MB, are broadcast rather than shuffled with the texts.
 FEW_KEYS = 200_000
 #: Bytes of texts that go to a Python worker at a time.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -105,7 +105,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], bands: int, kind: pa.DataType
                 pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * bands, pa.int32()), pa.array(np.concatenate(banded) if n else none_bands[:0])),
                 pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * SKETCH_WORDS, pa.int32()), pa.array(np.concatenate(sketches) if n else none_sketch[:0])),
             ],
-            ["doc_id", "n_shingles", "node", "bands", "sketch"],
+            ["doc_id", "n_shingles", "digest", "bands", "sketch"],
         )
 
 
@@ -121,7 +121,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = pa.array([xxhash.xxh3_128_digest(g.tobytes()) for g in grams], pa.binary())
             bits = [np.packbits((np.bincount((g & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1).astype(np.uint8)).view(np.int64) for g in grams]
             parity = pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1) * PARITY_WORDS, pa.int32()), pa.array(np.concatenate(bits)))
-            yield pa.record_batch([keys, pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(grams).view(np.int64))), parity], ["node", "grams", "parity"])
+            yield pa.record_batch([keys, pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(grams).view(np.int64))), parity], ["digest", "grams", "parity"])
 
 
 def near_duplicates(df: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -149,8 +149,11 @@ def near_duplicates(df: DataFrame, percent: int = 80, doc_id: str = "doc_id", te
     docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").cast("binary").alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     arrow_id = docs.select("doc_id").limit(0).toArrow().schema.field(0).type
-    found = saved(docs.mapInArrow(lambda it: _signatures(it, bands, arrow_id), f"doc_id {id_type}, n_shingles bigint, node binary, bands array<bigint>, sketch array<bigint>"), "signatures")
-    nodes = saved(found.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("low"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")), "nodes")
+    found = saved(docs.mapInArrow(lambda it: _signatures(it, bands, arrow_id), f"doc_id {id_type}, n_shingles bigint, digest binary, bands array<bigint>, sketch array<bigint>"), "signatures")
+    sets = found.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("low"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
+    # From here on a number stands for a set. What is broadcast by a number is as large as its
+    # rows; by the digest it would take a whole memory page of the executor, however few they are.
+    nodes = saved(sets.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -158,17 +161,17 @@ def near_duplicates(df: DataFrame, percent: int = 80, doc_id: str = "doc_id", te
     scores = saved(multi.groupBy("node").agg(F.sum("size").alias("score")), "scores")
     few = scores.count()
     if not few:
-        return _with_components(found, nodes.select("node", F.col("low").alias("component_id")), doc_id)
+        return _with_components(found, nodes.select("digest", F.col("low").alias("component_id")), doc_id)
     # Tables with one row per candidate node are broadcast up to a counted size.
     per_node = F.broadcast if few <= FEW_NODES else lambda frame: frame
-    members = saved(nodes.join(per_node(scores), "node").select("node", "low", "n", "sketch", "score"), "members")
+    members = saved(nodes.join(per_node(scores), "node").select("node", "digest", "low", "n", "sketch", "score"), "members")
     # Linked sizes differ by a factor of 100 / percent at most, so a bucket falls into classes of
     # that width: a node goes to its own class and the next, and a pair meets where one is at home.
     home = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / min(percent, 99)) * (1 + 1e-9)))
     classed = multi.join(per_node(members.select("node", "n", "score")), "node").withColumn("class", home)
     # Texts without an id cannot be told by it: all of them are read, and those of members kept by their hash.
     of_members = bounded_join(docs, members.select(F.col("low").alias("doc_id")).distinct(), ["doc_id"], few, FEW_NODES, "left_semi").unionByName(docs.where("doc_id is null"))
-    hashed = of_members.mapInArrow(_sets, "node binary, grams array<bigint>, parity array<bigint>").join(per_node(members.select("node")), "node", "left_semi")
+    hashed = of_members.mapInArrow(_sets, "digest binary, grams array<bigint>, parity array<bigint>").join(per_node(members.select("digest", "node")), "digest")
     grams = saved(hashed.groupBy("node").agg(F.any_value("grams").alias("grams"), F.any_value("parity").alias("parity")), "shingles")
     twice = classed.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("up"))
     keyed = twice.select(F.xxhash64("bucket", F.col("class") + F.col("up")).alias("bucket"), "node", "n", "score", (F.col("up") == 0).alias("home"), F.col("node").alias("component"))
@@ -218,9 +221,9 @@ def near_duplicates(df: DataFrame, percent: int = 80, doc_id: str = "doc_id", te
         rest = active.join(pivots.select("bucket", "node"), ["bucket", "node"], "left_anti")
         active = saved(_open(_relabelled(rest, per_node(merged))), f"active{step}")
 
-    rooted = nodes.select("node", "low").join(per_node(labels), "node", "left").select("node", "low", F.coalesce("component", "node").alias("root"))
+    rooted = nodes.select("node", "digest", "low").join(per_node(labels), "node", "left").select("digest", "low", F.coalesce("component", "node").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    return _with_components(found, rooted.join(lowest, "root").select("node", "component_id"), doc_id)
+    return _with_components(found, rooted.join(lowest, "root").select("digest", "component_id"), doc_id)
 
 
 def _differing(one: str, two: str, words: int) -> Column:
@@ -240,6 +243,6 @@ def _relabelled(rows: DataFrame, merged: DataFrame) -> DataFrame:
 
 
 def _with_components(found: DataFrame, labels: DataFrame, doc_id: str) -> DataFrame:
-    own = found.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"))
-    whole = own.join(labels, "node", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+    own = found.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest"))
+    whole = own.join(labels, "digest", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return whole.select(F.col("doc_id").alias(doc_id), "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

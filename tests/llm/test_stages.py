@@ -3,10 +3,12 @@
 import random
 import string
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from lensdq.llm import pii
+from lensdq.llm import neardup, pii
+from lensdq.llm.common import saved
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, _key string, _kept string, _rows int"
 
@@ -75,3 +77,35 @@ def test_stages_take_empty_tables(spark, at):
     empty = spark.createDataFrame([], SCHEMA)
     out = corpus_pipeline.STAGES[at][1](spark, empty, "")
     assert out.columns == empty.columns and out.count() == 0
+
+
+def test_sets_of_shingles_are_joined_by_numbers(spark, monkeypatch):
+    """A relation broadcast by a digest takes a whole memory page of every executor, one by a number as much as its rows."""
+    tables = {}
+
+    def noted(df, name):
+        out = saved(df, name)
+        tables[name.rstrip("0123456789")] = out
+        return out
+
+    monkeypatch.setattr(neardup, "saved", noted)
+    base = [" ".join(f"w{k}x{i}" for i in range(60)) for k in range(4)]
+    rows = [(f"{i:02}", b.replace("x30", f"y{n}")) for n in range(3) for i, b in enumerate(base, 4 * n)]
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string"), percent=80).collect()
+    assert sorted(r["doc_id"] for r in found if r["kept"]) == ["00", "01", "02", "03"]
+    assert sorted(r["component_id"] for r in found) == sorted(["00", "01", "02", "03"] * 3)
+    keys = {(t, c): dict(df.dtypes)[c] for t, df in tables.items() for c in ("node", "component", "a", "b", "ca", "cb") if c in df.columns}
+    assert {t for t, _ in keys} >= {"nodes", "buckets", "members", "shingles", "active", "pairs", "links", "labels"}
+    assert set(keys.values()) == {"bigint"}
+    assert tables["nodes"].select("node").distinct().count() == tables["nodes"].count() == 12
+
+
+def test_python_workers_get_small_batches(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    try:
+        corpus_pipeline.small_batches(spark)
+        held = spark.range(64, numPartitions=1).selectExpr("repeat('x', 200000) text").mapInArrow(lambda it: (pa.record_batch([pa.array([b.nbytes])], ["n"]) for b in it), "n bigint").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)
+    assert sum(r["n"] for r in held) >= 64 * 200_000
+    assert max(r["n"] for r in held) < 3 << 20
